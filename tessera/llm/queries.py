@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .line_dedup import OP2_SQL, op2_line_dedup
+from .packing import op5_linear_grouping_packing
+from .quality_rules import op3_compression_bands
 from .sharding import op10_sampled_splitter_shards
 
-QUERIES = {"op10_sampled_splitter_shards": op10_sampled_splitter_shards}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op2_line_dedup, op3_compression_bands, op5_linear_grouping_packing, op9_benchmark_decontamination, op10_sampled_splitter_shards)}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}
