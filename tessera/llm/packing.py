@@ -170,12 +170,12 @@ def _substituted(groups: list[list[tuple[int, int]]], found: list[tuple[dict[int
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 96, large_from: int | None = None) -> pd.DataFrame:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 512, large_from: int | None = None) -> pd.DataFrame:
     """Where the pieces of each length go: rows (length, lo, hi, each, base, offset).
 
     Ranks lo to hi - 1 of a length fill sequences from base on, `each` pieces to a sequence from offset on.
     """
-    large_from = large_from or capacity // 8 + 1
+    large_from = large_from or capacity // 4 + 1
     large = {x: n for x, n in histogram.items() if x >= large_from and n}
     parts = grouped(large, groups)
     sizes = [g[0][0] for g in parts]  # rounded up to the longest of the group
@@ -210,7 +210,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 96,
     return pd.DataFrame(rows, columns=["length", "lo", "hi", "each", "base", "offset"]).sort_values(["length", "lo"], ignore_index=True)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 96) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 512) -> DataFrame:
     """Add sequence_id and offset to the rows of token_pieces(), which must be a written table (the numbering is by task)."""
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -231,7 +231,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 96) -> Data
     return ranked.select(*[c for c in pieces.columns if c not in ("part", "nth")], "found.sequence_id", "found.offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = 96, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = 512, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack whole documents into sequences of at most capacity tokens: one row a piece with its place.
 
     Null or empty text is the end id alone; only documents longer than capacity are cut; repeated rows are packed each;
