@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_and_text, map_batches, plain_id, stage
+from .common import map_batches, plain_id, stage
 
 MIN_KEY = 10
 _SPACE = " \t\n\x0b\x0c\r"
@@ -91,9 +91,10 @@ def dropped_lines(bitmap: bytes | None, n_lines: int) -> np.ndarray:
     return keep
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and text with the key of a row: its id and a hash of its text, as rows may repeat an id."""
-    return id_and_text(docs, id_col, text_col).select("doc_id", "text", plain_id().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"carry_{c}") for c in carry])
+    return rows.withColumns({"doc": plain_id(), "tk": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def keep_bitmaps(rows: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
@@ -111,15 +112,16 @@ def keep_bitmaps(rows: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     return drops.groupBy("doc", "tk").agg(F.sort_array(F.collect_set("pos")).alias("pos")).select("doc", "tk", bitmap("pos").alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept_text, n_lines, n_dropped for each row of docs.
+def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept_text, n_lines, n_dropped for each row of docs, with the columns of carry.
 
     A line whose key has min_key code points and is in two documents or more stays only in the smallest doc_id. Null or
     empty text is one empty line (kept_text ''); a null doc_id counts as one document that comes before all others; rows
     that share a doc_id are one document and keep or lose a line together; other columns are ignored.
     """
-    rows = keyed(docs, id_col, text_col)
-    both = rows.select("doc_id", "text", "doc", "tk").join(keep_bitmaps(rows, min_key), ["doc", "tk"], "left")
+    rows = keyed(docs, id_col, text_col, carry)
+    both = rows.join(keep_bitmaps(rows, min_key), ["doc", "tk"], "left").drop("doc", "tk")
+    carried = [c for c in rows.columns if c.startswith("carry_")]
 
     def start():
         def each(batch: pa.RecordBatch):
@@ -134,11 +136,12 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, id_col: str = "doc_id",
                 keep = dropped_lines(bitmap, len(lines))
                 out.append("\n".join(x for x, k in zip(lines, keep, strict=True) if k))
                 dropped.append(int(len(keep) - keep.sum()))
-            return {"doc_id": batch.column("doc_id"), "kept_text": out, "n_lines": lines_of, "n_dropped": dropped}
+            return {"doc_id": batch.column("doc_id"), "kept_text": out, "n_lines": lines_of, "n_dropped": dropped} | {c: batch.column(c) for c in carried}
 
         return each
 
-    return map_batches(both.select("doc_id", "text", "keep"), "doc_id long, kept_text string, n_lines long, n_dropped long", start)
+    kinds = "doc_id long, kept_text string, n_lines long, n_dropped long" + "".join(f", `{c}` {t}" for c, t in rows.dtypes if c in carried)
+    return map_batches(both, kinds, start).select("doc_id", "kept_text", "n_lines", "n_dropped", *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

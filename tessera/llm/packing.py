@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,16 +25,30 @@ from .common import arrow_lists, id_and_text, map_batches, stage
 CAPACITY = 2048
 
 
+def byte_letters() -> str:
+    """The public byte-to-letter table of byte-level BPE: printable Latin-1 stands for itself, other bytes follow from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in own else chr(next(others)) for b in range(256))
+
+
 class Encoder:
-    """Token ids of whole texts, encoded space-separated chunk by chunk with the chunks' ids remembered.
+    """Token ids of whole texts, found space-separated chunk by chunk; the ids of a chunk are remembered, up to a number.
 
-    The tokenizer drops white space and never joins across it, so chunks are independent; the memory is bounded.
+    The tokenizer lower-cases, drops white space and never joins across it or between a letter and a stop, so A-Z can be
+    lower-cased first, chunks are independent, and a stop at a chunk's end has ids of its own. A new chunk of lower-case Latin
+    letters goes to the tokenizer's model right away, as normalising and splitting would leave it as it is; others go through
+    the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    STOPS = frozenset(".,!?;:")
+    LATIN = frozenset(chr(c) for c in range(0x61, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower())
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -41,30 +56,57 @@ class Encoder:
         self.start, self.size = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids = got.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            n = len(self.at)
-            self.at[chunk], self.start[n], self.size[n] = n, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+    def _remember(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        n = len(self.at)
+        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.size[n : n + len(chunks)] = sizes
+        self.start[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _word(self, chunk: str) -> list[int]:
+        if not chunk.isascii():
+            chunk = chunk.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(chunk)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        ended = [c for c in chunks if c[-1] in self.STOPS and c[:-1].isalpha()]
+        bare = [c for c in chunks.difference(ended).union([c[:-1] for c in ended], [c[-1] for c in ended]) if c not in self.at]
+        plain = [c for c in bare if self.LATIN.issuperset(c)]
+        odd = [c for c in bare if not self.LATIN.issuperset(c)]
+        lists = [self._word(c) for c in plain]
+        if odd:
+            lists += [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._remember(plain + odd, sizes, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
+        if ended:
+            both = np.fromiter((i for c in ended for i in (self.at[c[:-1]], self.at[c[-1]])), np.int64, 2 * len(ended))
+            self._remember(ended, self.size[both].reshape(-1, 2).sum(axis=1), self._gathered(both))
 
     def ids(self, text: str | None) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ") if text else []
+        if not text:
+            return np.empty(0, np.uint32)
+        whole = lambda: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if "<|" in text:  # may name a special token, which is matched before lower-casing
+            return whole()
+        lowered = text.lower() if text.isascii() else text.encode().lower().decode()
+        chunks = lowered.replace("\n", " ").split(" ")
         new = {c for c in chunks if c not in self.at}
-        if len(self.at) + len(new) > self.most or self.used > 16 * self.most:
+        if len(self.at) + 2 * len(new) + len(self.STOPS) > self.most or self.used > 16 * self.most:
             self._forget()
             new = set(chunks) - {""}
-            if len(new) >= self.most:
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            if 2 * len(new) + len(self.STOPS) >= self.most:
+                return whole()
         if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            self._learn(new)
+        return self._gathered(np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks)))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .licenses import op1_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .near_dedup import OP4_SQL, op4_bottom_k_near_dedup
 from .packing import op5_linear_grouping_packing
+from .quality_classifier import op6_subword_embeddings
 from .quality_rules import op3_compression_bands
 from .sharding import op10_sampled_splitter_shards
+from .suffix_dedup import op8_anchored_suffix_dedup
+from .toxicity import op7_nnpu_toxicity
 
-QUERIES = {q.__name__: q for q in (op2_line_dedup, op3_compression_bands, op5_linear_grouping_packing, op9_benchmark_decontamination, op10_sampled_splitter_shards)}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_license_scan, op2_line_dedup, op3_compression_bands, op4_bottom_k_near_dedup, op5_linear_grouping_packing,
+        op6_subword_embeddings, op7_nnpu_toxicity, op8_anchored_suffix_dedup, op9_benchmark_decontamination, op10_sampled_splitter_shards,
+    )
+}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_bottom_k_near_dedup": OP4_SQL, "op9_benchmark_decontamination": OP9_SQL}
