@@ -46,7 +46,7 @@ def shingles(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarr
 
 
 def sketches(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, n_shingles, the set's 128-bit fingerprint (f1, f2) and its k smallest hashes, for each row of docs."""
+    """doc, tk (a hash of the text), n_shingles, the set's 128-bit fingerprint (f1, f2) and its k smallest hashes, for each row."""
 
     def start():
         hashes = WordHashes()
@@ -55,14 +55,14 @@ def sketches(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, id_col: str = "
             sets = [shingles(t, hashes, n) for t in batch.column("text").to_pylist()]
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
             return {
-                "doc": batch.column("doc"), "n_shingles": [len(s) for s in sets], "f1": prints[:, 0], "f2": prints[:, 1],
+                "doc": batch.column("doc"), "tk": batch.column("tk"), "n_shingles": [len(s) for s in sets], "f1": prints[:, 0], "f2": prints[:, 1],
                 "sketch": arrow_lists([s[:k].view(np.int64) for s in sets], pa.int64()),
             }
 
         return each
 
-    rows = id_and_text(docs, id_col, text_col).select(plain_id().alias("doc"), "text")
-    return map_batches(rows, "doc long, n_shingles long, f1 long, f2 long, sketch array<long>", start)
+    rows = id_and_text(docs, id_col, text_col).select(plain_id().alias("doc"), F.xxhash64("text").alias("tk"), "text")
+    return map_batches(rows, "doc long, tk long, n_shingles long, f1 long, f2 long, sketch array<long>", start)
 
 
 def _prefixes(classes: DataFrame, k: int) -> DataFrame:
@@ -92,21 +92,17 @@ def _cold_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _neighbours(batches):
-    """Pairs of rows at most three apart that hold the same value, over rows sorted by (value, signature)."""
+    """Pairs of neighbouring rows that hold the same value, over rows sorted by (value, signature)."""
     tail = None
     for batch in batches:
         value, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "node", "n"))
         if tail is not None:
             value, node, n = (np.concatenate([t, x]) for t, x in zip(tail, (value, node, n), strict=True))
-        out = []
-        for gap in (1, 2, 3):
-            if len(value) > gap:
-                fit = (value[gap:] == value[:-gap]) & (5 * n[gap:] >= 4 * n[:-gap]) & (5 * n[:-gap] >= 4 * n[gap:]) & (node[gap:] != node[:-gap])
-                out.append(np.stack([np.minimum(node[gap:], node[:-gap])[fit], np.maximum(node[gap:], node[:-gap])[fit]]))
-        tail = (value[-3:], node[-3:], n[-3:])
-        if out:
-            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        fit = (value[1:] == value[:-1]) & (5 * n[1:] >= 4 * n[:-1]) & (5 * n[:-1] >= 4 * n[1:]) & (node[1:] != node[:-1])
+        pairs = np.stack([np.minimum(node[1:], node[:-1])[fit], np.maximum(node[1:], node[:-1])[fit]])
+        tail = (value[-1:], node[-1:], n[-1:])
+        a, b = np.unique(pairs, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _hot_pairs(hot: DataFrame, labels: DataFrame, sketch_of: DataFrame, turn: int) -> DataFrame:
@@ -249,14 +245,14 @@ def _rest_of_hot_lists(hot: DataFrame, labels: DataFrame, texts: DataFrame, n: i
 
 
 def _packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, zstd-compressed text) of the representatives in nodes (node, doc, f1)."""
-    spark_rows = docs.select(plain_id().alias("doc"), "text").where("text is not null")
+    """(node, zstd-compressed text) of the representatives in nodes (node, doc, tk)."""
+    spark_rows = docs.where("text is not null").select(plain_id().alias("doc"), F.xxhash64("text").alias("tk"), "text")
 
     def start():
         pack = zstandard.ZstdCompressor(level=1)
-        return lambda batch: {"doc": batch.column("doc"), "packed": [pack.compress(t.encode()) for t in batch.column("text").to_pylist()]}
+        return lambda batch: {"doc": batch.column("doc"), "tk": batch.column("tk"), "packed": [pack.compress(t.encode()) for t in batch.column("text").to_pylist()]}
 
-    return map_batches(spark_rows, "doc long, packed binary", start).join(nodes, "doc")
+    return map_batches(spark_rows, "doc long, tk long, packed binary", start).join(nodes, ["doc", "tk"]).dropDuplicates(["doc", "tk"])
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent: int = 80, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,18 +260,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent:
 
     component_id is the smallest doc_id reachable over links. Texts without words (null, empty) have no shingles and link with
     nothing; a null doc_id comes before all others and its component reads null; rows that share a doc_id each link by their
-    own text, but a representative text is found by its doc_id, so ids should be unique; other columns are ignored.
+    own text; repeated rows are copies; an empty table gives no rows; other columns are ignored.
     """
     docs = id_and_text(docs, id_col, text_col)
     rows = stage(sketches(docs, n, k), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc", "tk")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stage(classes.select("f1", "f2", "rep.doc", "rep.tk", "n", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
     sketch_of = classes.select("node", "sketch")
     lists = stage(_prefixes(classes, k), "lists")
     hot = lists.where(F.col("df") > COLD)
     cold = stage(_estimated(_cold_pairs(lists), sketch_of, k, percent / 100), "pairs")
     needed = cold.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
-    texts = stage(_packed_texts(docs, classes.join(needed, "node").select("node", "doc")).select("node", "packed"), "texts")
+    texts = stage(_packed_texts(docs, classes.join(needed, "node").select("node", "doc", "tk")).select("node", "packed"), "texts")
     links = stage(_confirmed(cold, texts, n, percent), "links")
     labels = connected_components(links)
     if not hot.isEmpty():

@@ -120,7 +120,8 @@ def _candidate_texts(docs: DataFrame, reps: DataFrame, hot: int) -> tuple[DataFr
         return lambda batch: {"doc": batch.column("doc"), "tk": batch.column("tk"), "packed": [pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()]}
 
     packed = map_batches(docs, "doc long, tk long, packed binary", start)
-    return stage(packed.join(wanted, ["doc", "tk"]).select("row", "packed", "anchors"), "texts"), n
+    # a repeated row is the same text again; the join has brought both to one place
+    return stage(packed.join(wanted, ["doc", "tk"]).dropDuplicates(["doc", "tk"]).select("row", "packed", "anchors"), "texts"), n
 
 
 def _runs(texts: DataFrame, ranges: int, length: int) -> DataFrame:

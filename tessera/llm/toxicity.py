@@ -1,5 +1,5 @@
-"""Toxicity by non-negative positive-unlabelled learning: a linear model over hashed words, fitted in numpy from confirmed
-toxic examples and unlabelled text with a class-prior-corrected risk that is kept from going below zero."""
+"""Toxicity by non-negative positive-unlabelled learning: a linear model over hashed words and word beginnings, fitted in numpy
+from confirmed toxic examples and unlabelled text with a class-prior-corrected risk that is kept from going below zero."""
 
 from __future__ import annotations
 
@@ -18,8 +18,15 @@ from .sampling import fold, sampled_ids, texts_of
 BUCKETS = 1 << 20
 
 
-def bucket(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
+#: Word beginnings of so many characters are features, too: forms of one stem share them.
+STEMS = (4, 5)
+
+
+def buckets(word: bytes) -> list[int]:
+    """The buckets of a word and of its beginnings."""
+    chars = word.decode()
+    parts = [word, *(chars[:n].encode() + b"-" for n in STEMS if len(chars) > n)]
+    return [xxhash.xxh3_64_intdigest(p) & (BUCKETS - 1) for p in parts]
 
 
 def _bags(texts: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,7 +35,7 @@ def _bags(texts: DataFrame, columns: list[str]) -> DataFrame:
 
     def start():
         def each(batch: pa.RecordBatch):
-            bags = [sorted({bucket(w) for w in set(words_of(t))}) for t in batch.column("text").to_pylist()]
+            bags = [sorted({b for w in set(words_of(t)) for b in buckets(w)}) for t in batch.column("text").to_pylist()]
             return {"bag": pa.array(bags, pa.list_(pa.int32()))} | {c: batch.column(c) for c in columns}
 
         return each
@@ -45,35 +52,35 @@ class Model:
     def scorer(self):
         """text -> probability of the positive class; each known word counts once a text."""
         weight = dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
-        known: dict[bytes, int] = {}
+        known: dict[bytes, tuple[int, ...]] = {}
 
         def score(text: str | None) -> float:
             found = set()
             for w in set(words_of(text)):
-                b = known.get(w)
-                if b is None:
-                    b = bucket(w)
-                    b = b if b in weight else -1
+                bs = known.get(w)
+                if bs is None:
+                    bs = tuple(b for b in buckets(w) if b in weight)
                     if len(w) <= 64:
                         if len(known) >= 400_000:
                             known.clear()
-                        known[w] = b
-                if b >= 0:
-                    found.add(b)
+                        known[w] = bs
+                if bs:
+                    found.update(bs)
             z = self.bias + sum(weight[b] for b in sorted(found))
             return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
         return score
 
 
-def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int, min_lift: float) -> np.ndarray:
-    """Buckets much more frequent in the positives than in the unlabelled texts, the surest first, at most so many."""
+def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int, least_odds: float) -> np.ndarray:
+    """Buckets that mark the positive class: prior * share in positives / share in unlabelled estimates how often a text with
+    the bucket is positive. Those over least_odds, the surest first, at most so many."""
     p, u = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int64), minlength=BUCKETS) for x in (positive, unlabelled))
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
     share_p, share_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
     pooled = (p + u + 1) / (n_p + n_u + 2)
     z = (share_p - share_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    good = np.flatnonzero((p >= max(3, 0.005 * n_p)) & (share_p >= min_lift * share_u) & (z > 3))
+    good = np.flatnonzero((p >= max(3, 0.01 * n_p)) & (prior * share_p >= least_odds * share_u) & (z > 5))
     return np.sort(good[np.argsort(-z[good], kind="stable")][:most])
 
 
@@ -87,31 +94,33 @@ def _matrix(bags: list[np.ndarray], features: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, min_lift: float = 2.5, epochs: int = 60, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Model:
-    """Non-negative PU learning with the logistic loss: the risk of the negatives, R_u- minus prior * R_p-, is an estimate of
-    something that cannot be negative; when a batch makes it so, the step goes the other way."""
-    features = _selected(positive, unlabelled, most_features, min_lift)
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, least_odds: float = 0.5, steps: int = 600, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Non-negative PU learning with the logistic loss and stochastic (Adam) steps: the risk of the negatives, R_u- minus
+    prior * R_p-, estimates something that cannot be negative; where a batch makes it so it counts as zero."""
+    features = _selected(positive, unlabelled, prior, most_features, least_odds)
     xp, xu = _matrix(positive, features), _matrix(unlabelled, features)
-    w, b, rng = np.zeros(len(features)), float(np.log(prior / (1 - prior))), np.random.default_rng(seed)
+    w, rng = np.append(np.zeros(len(features)), np.log(prior / (1 - prior))), np.random.default_rng(seed)
     if not len(xp) or not len(xu):
-        return Model(features, w, b)
+        return Model(features, w[:-1], float(w[-1]))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    steps = max(1, -(-max(len(xp), len(xu)) // batch))
-    for epoch in range(epochs):
-        step = rate / (1 + 0.05 * epoch)
-        for _ in range(steps):
-            p, u = xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), batch)]
-            sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
-            negative = np.logaddexp(0, u @ w + b).mean() - prior * np.logaddexp(0, p @ w + b).mean()
-            g_neg = u.T @ su / batch - prior * (p.T @ sp) / batch
-            b_neg = su.mean() - prior * sp.mean()
-            if negative < 0:
-                g, gb = -g_neg, -b_neg
-            else:
-                g, gb = g_neg - prior * (p.T @ (1 - sp)) / batch, b_neg - prior * (1 - sp).mean()
-            w -= step * (g / prior * 0.5 + decay * w)
-            b -= step * gb
-    return Model(features, w, b)
+    one, first, second = np.ones(batch, np.float32), np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, steps + 1):
+        p, u = (np.column_stack([x[rng.integers(0, len(x), batch)], one]) for x in (xp, xu))
+        zp, zu = p @ w, u @ w
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        g = -prior * (p.T @ sigmoid(-zp)) / batch
+        if negative > 0:
+            g += (u.T @ sigmoid(zu) - prior * (p.T @ sigmoid(zp))) / batch
+        g[:-1] += decay * w[:-1]
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w -= rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    # one half belongs where the prior says: at the widest gap (by ratio) between the scores of unlabelled texts around that share
+    scores = np.log1p(np.sort(np.maximum(xu @ w[:-1], 0)))
+    lo, hi = (int(len(scores) * (1 - share * prior)) for share in (1.15, 0.7))
+    near = scores[max(0, lo - 1) : max(lo + 1, hi)]
+    gaps = np.diff(near)
+    cut = np.expm1(near[gaps.argmax()] + 0.3 * gaps.max()) if len(gaps) and gaps.max() > 0 else -w[-1]
+    return Model(features, w[:-1], float(-cut))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, max_positive: int = 2000, max_unlabelled: int = 6000, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:

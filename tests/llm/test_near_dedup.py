@@ -53,7 +53,7 @@ def near_copies(seed, n, size=150, edits=6):
 
 
 def test_against_brute_force(spark):
-    rows = mixed_rows() + near_copies(2, 25) + near_copies(3, 20, 30, 2)
+    rows = mixed_rows() + near_copies(2, 25) + near_copies(3, 20, 30, 2) + [(40, "another text under the same id as before"), (41, "again twice one row"), (41, "again twice one row")]
     assert got(near_duplicates(frame(spark, rows))) == brute(rows)
 
 
