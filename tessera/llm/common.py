@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +68,20 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
-        for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None:
+        for batch in chain.from_iterable(map(sliced, batches)):
+            if (out := each(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_as_array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def sliced(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes, so that a task's Python objects stay few whatever the session's batch size."""
+    rows = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _as_array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 

@@ -13,6 +13,7 @@ A gram that very many distinct texts hold (over `hot` anchors) is not gathered i
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_lists, id_and_text, map_batches, mixed, null_id, plain_id, stage
+from .common import arrow_lists, id_and_text, map_batches, mixed, null_id, plain_id, sliced, stage
 from .lcp_merge import common_prefix, common_suffix, front_code, merged
 
 LENGTH, GRAM = 400, 100
 HOT = 4096
-RUN = 50_000
+RUN = 20_000
 _PLACE = 28  # low bits of a key that hold the position
 
 
@@ -136,7 +137,7 @@ def _runs(texts: DataFrame, ranges: int, length: int) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
 
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             for row, packed, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "anchors")), strict=True):
                 raw = unpack.decompress(packed)
                 for m in marks:

@@ -72,7 +72,7 @@ class Model:
         return score
 
 
-def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int, least_odds: float) -> np.ndarray:
+def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int, least_odds: float, min_share: float, min_z: float) -> np.ndarray:
     """Buckets that mark the positive class: prior * share in positives / share in unlabelled estimates how often a text with
     the bucket is positive. Those over least_odds, the surest first, at most so many."""
     p, u = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int64), minlength=BUCKETS) for x in (positive, unlabelled))
@@ -80,7 +80,7 @@ def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     share_p, share_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
     pooled = (p + u + 1) / (n_p + n_u + 2)
     z = (share_p - share_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    good = np.flatnonzero((p >= max(3, 0.01 * n_p)) & (prior * share_p >= least_odds * share_u) & (z > 5))
+    good = np.flatnonzero((p >= max(3, min_share * n_p)) & (prior * share_p >= least_odds * share_u) & (z > min_z))
     return np.sort(good[np.argsort(-z[good], kind="stable")][:most])
 
 
@@ -94,10 +94,10 @@ def _matrix(bags: list[np.ndarray], features: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, least_odds: float = 0.5, steps: int = 600, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, least_odds: float = 0.7, min_share: float = 0.01, min_z: float = 5.0, steps: int = 600, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
     """Non-negative PU learning with the logistic loss and stochastic (Adam) steps: the risk of the negatives, R_u- minus
     prior * R_p-, estimates something that cannot be negative; where a batch makes it so it counts as zero."""
-    features = _selected(positive, unlabelled, prior, most_features, least_odds)
+    features = _selected(positive, unlabelled, prior, most_features, least_odds, min_share, min_z)
     xp, xu = _matrix(positive, features), _matrix(unlabelled, features)
     w, rng = np.append(np.zeros(len(features)), np.log(prior / (1 - prior))), np.random.default_rng(seed)
     if not len(xp) or not len(xu):
