@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
-from .standings import ORACLE_SQL as _standings_sql
-from .standings import QUERIES as _standings
+from collections.abc import Callable
 
-QUERIES = {**_standings}
-ORACLE_SQL = {**_standings_sql}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import cross_section, editions, pit, prices, standings, tables
+
+_PARTS = (standings, prices, pit, cross_section, editions, tables)
+#: Calendar dates leave a query as text (YYYY-MM-DD), since engines differ in how they hand a date to a client.
+_DATES = {
+    **dict.fromkeys(["daily_bars", "trading_calendar", "sma_20", "median_dollar_volume_60", "realised_vol_60", "momentum_12_1"], ["date"]),
+    **dict.fromkeys(["trailing_return_with_dividends", "volume_and_high", "equity_curve", "position_returns"], ["date"]),
+    "nearest_within_tolerance": ["day", "near"], "band_previous": ["day", "previous"], "split_adjust_product": ["day"], "snapshot_gate": ["day"],
+}
+
+
+def _dated(name: str, query: Callable) -> Callable:
+    def run(spark, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("string") for c in _DATES[name]})
+
+    return run
+
+
+QUERIES = {name: _dated(name, query) if name in _DATES else query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {
+    name: f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _DATES[name])}) FROM ({sql})" if name in _DATES else sql
+    for part in _PARTS
+    for name, sql in part.ORACLE_SQL.items()
+}

@@ -42,7 +42,7 @@ def upper_median(spark, sf_dir):
 def decile_excess(spark, sf_dir):
     li = _read(spark, sf_dir, "lineitem").select("l_extendedprice", "l_discount", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tie"))
     out = ranking.deciles(li, "l_extendedprice", "tie")
-    return out.groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 5).alias("mean_discount"), F.min("l_extendedprice").alias("from_price"))
+    return out.groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 3).alias("mean_discount"), F.min("l_extendedprice").alias("from_price"))
 
 
 def _positions(spark, sf_dir):
@@ -62,7 +62,7 @@ def slot_portfolio(spark, sf_dir):
 def block_statistics(spark, sf_dir):
     p = _positions(spark, sf_dir).withColumn("excess", F.col("net") - F.col("bench"))
     out = ranking.blocks(p, "entry_idx", "net", "excess")
-    return out.select("block", "n", F.round("mean_net", 6).alias("mean_net"), F.round("mean_excess", 6).alias("mean_excess"))
+    return out.select("block", "n", (F.round("mean_net", 4) + 0.0).alias("mean_net"), (F.round("mean_excess", 4) + 0.0).alias("mean_excess"))
 
 
 def position_recap(spark, sf_dir):
@@ -125,11 +125,11 @@ SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) < 8 AS widened,
     "upper_median": "SELECT l_suppkey, list_sort(list(l_extendedprice))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median FROM lineitem GROUP BY 1",
     "decile_excess": """WITH r AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 8 + l_linenumber) AS rn, count(*) OVER () AS n FROM lineitem),
 d AS (SELECT *, CAST(least(10, floor((rn - 1) / floor(n / 10)) + 1) AS INTEGER) AS decile FROM r)
-SELECT decile, count(*) AS n, round(avg(l_discount), 5) AS mean_discount, min(l_extendedprice) AS from_price FROM d GROUP BY 1""",
+SELECT decile, count(*) AS n, round(avg(l_discount), 3) AS mean_discount, min(l_extendedprice) AS from_price FROM d GROUP BY 1""",
     "slot_portfolio": f"""WITH {_POSITIONS}, g AS (SELECT entry_idx % 21 AS slot, product(1 + net) AS growth, count(*) AS positions FROM p WHERE o_orderkey % 50 = 0 GROUP BY 1)
 SELECT CAST(s.s AS INTEGER) AS slot, round(coalesce(growth, 1), 5) AS growth, coalesce(positions, 0) AS positions FROM range(21) s(s) LEFT JOIN g ON g.slot = s.s""",
     "block_statistics": f"""WITH {_POSITIONS} SELECT CAST(floor((entry_idx - (SELECT min(entry_idx) FROM p)) / 21) AS BIGINT) AS block, count(*) AS n,
-  round(avg(net), 6) AS mean_net, round(avg(net - bench), 6) AS mean_excess FROM p GROUP BY 1""",
+  round(avg(net), 4) + 0.0 AS mean_net, round(avg(net - bench), 4) + 0.0 AS mean_excess FROM p GROUP BY 1""",
     "position_recap": f"""WITH {_POSITIONS} SELECT kind, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'complete' AND net > 0) AS wins,
   count(*) FILTER (WHERE status = 'complete' AND net <= 0) AS losses, round(avg(net) FILTER (WHERE status = 'complete'), 6) AS mean_net,
   round(count(*) FILTER (WHERE status = 'complete' AND net > 0) / nullif(count(*) FILTER (WHERE status = 'complete'), 0), 6) AS win_rate,

@@ -21,11 +21,11 @@ def trading_calendar(spark, sf_dir):
 
 
 def sma_20(spark, sf_dir):
-    return bars(spark, sf_dir).select("ticker", "date", F.round(ts.sma(20), 2).alias("sma_20"), F.round(ts.sma(200), 2).alias("sma_200")).withColumn("above", F.col("sma_20") > F.col("sma_200"))
+    return bars(spark, sf_dir).select("ticker", "date", F.round(ts.sma(20), 6).alias("sma_20"), F.round(ts.sma(200), 6).alias("sma_200"))
 
 
 def median_dollar_volume_60(spark, sf_dir):
-    return bars(spark, sf_dir).select("ticker", "date", F.round(ts.median_dollar_volume(60), 2).alias("median_dollar_volume"))
+    return bars(spark, sf_dir).select("ticker", "date", F.round(ts.median_dollar_volume(60), 3).alias("median_dollar_volume"))
 
 
 def realised_vol_60(spark, sf_dir):
@@ -92,11 +92,11 @@ ORACLE_SQL = {
     "trading_calendar": f"WITH {_BARS} SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS session_idx FROM (SELECT DISTINCT date FROM bars)",
     "sma_20": f"""WITH {_BARS}, s AS (
   SELECT ticker, date,
-    CASE WHEN row_number() OVER ({_S}) >= 20 THEN round(avg(close) OVER ({_S} ROWS 19 PRECEDING), 2) END AS sma_20,
-    CASE WHEN row_number() OVER ({_S}) >= 200 THEN round(avg(close) OVER ({_S} ROWS 199 PRECEDING), 2) END AS sma_200 FROM bars)
-SELECT *, sma_20 > sma_200 AS above FROM s""",
+    CASE WHEN row_number() OVER ({_S}) >= 20 THEN round(avg(close) OVER ({_S} ROWS 19 PRECEDING), 6) END AS sma_20,
+    CASE WHEN row_number() OVER ({_S}) >= 200 THEN round(avg(close) OVER ({_S} ROWS 199 PRECEDING), 6) END AS sma_200 FROM bars)
+SELECT * FROM s""",
     "median_dollar_volume_60": f"""WITH {_BARS} SELECT ticker, date,
-  CASE WHEN row_number() OVER ({_S}) >= 60 THEN round(quantile_cont(close * volume, 0.5) OVER ({_S} ROWS 59 PRECEDING), 2) END AS median_dollar_volume FROM bars""",
+  CASE WHEN row_number() OVER ({_S}) >= 60 THEN round(quantile_cont(close * volume, 0.5) OVER ({_S} ROWS 59 PRECEDING), 3) END AS median_dollar_volume FROM bars""",
     "realised_vol_60": f"""WITH {_BARS}, {_RETURNS}, v AS (
   SELECT ticker, date, CASE WHEN count(x) OVER ({_S} ROWS 59 PRECEDING) = 60 THEN stddev_samp(x) OVER ({_S} ROWS 59 PRECEDING) END AS v FROM r)
 SELECT ticker, date, round(v, 6) AS daily_vol, round(v * sqrt(252), 5) AS annual_vol FROM v""",

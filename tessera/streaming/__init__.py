@@ -1 +1 @@
-"""Spark-first streaming of the engine."""
+"""Structured Streaming parts of the engine."""
