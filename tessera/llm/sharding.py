@@ -38,7 +38,7 @@ def _sampled(rows: DataFrame, share) -> np.ndarray:
     return _packed(*(got[c].to_numpy(np.int64) for c in ("key", "doc", "row")))
 
 
-def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int = 16_384, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int = 16_384, cuts: int = 256, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal documents to n_shards shards of near equal bytes.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, range_id, shard, slot (gapless from 0 in each shard).
@@ -61,21 +61,24 @@ def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int
     found = np.unique(_sampled(rows, F.least(F.lit(1.0), F.col("size") * (sample / max(total, 1)))))
     at = np.unique(np.linspace(0, len(found), min(n_ranges, len(found) + 1), endpoint=False).astype(int)[1:])
     splitters = found[at] if len(at) else np.empty(0, "S24")
-    for _ in range(rounds):
+    for last in [False] * rounds + [True]:
         placed = rows.withColumn("range_id", _range_of(splitters))
         sums = placed.groupBy("range_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("range_id").toPandas()
-        over = sums[(sums["bytes"] > 2 * total / n_ranges) & (sums["n"] > 1)]
-        if not len(over):
+        ends = sums["bytes"].cumsum()
+        # where a range crosses the end of a shard, its size is the shards' inequality
+        crosses = (ends * n_shards // max(total, 1)) != ((ends - sums["bytes"]) * n_shards // max(total, 1))
+        coarse = (sums["bytes"] > 2 * total / n_ranges) | (crosses & (sums["bytes"] > total / (1000 * n_shards)))
+        over = sums[coarse & (sums["n"] > 1)]
+        if last or not len(over):
             break
-        # each overfull range is sampled as densely as its own bytes ask for
-        dense = placed.where(F.col("range_id").isin([int(x) for x in over["range_id"]]))
-        extra = np.unique(_sampled(dense, F.least(F.lit(1.0), F.col("size") * (4 * n_ranges / max(total, 1)))))
-        more = np.unique(np.concatenate([splitters, extra]))
+        # each of these is sampled as densely as its own bytes ask for, about `cuts` keys
+        share = np.zeros(int(sums["range_id"].max()) + 1)
+        share[over["range_id"]] = cuts / over["bytes"]
+        share_of = F.pandas_udf(lambda r, share=share: pd.Series(share[r.to_numpy()]), "double")
+        more = np.unique(np.concatenate([splitters, _sampled(placed, F.least(F.lit(1.0), F.col("size") * share_of("range_id")))]))
         if len(more) == len(splitters):
             break
         splitters = more
-    placed = rows.withColumn("range_id", _range_of(splitters))
-    sums = placed.groupBy("range_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("range_id").toPandas()
     before = sums["bytes"].cumsum() - sums["bytes"]
     sums["shard"] = np.minimum(n_shards - 1, (before + sums["bytes"] / 2) * n_shards // max(total, 1)).astype(int)
     sums["first"] = sums.groupby("shard")["n"].cumsum() - sums["n"]

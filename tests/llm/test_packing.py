@@ -59,7 +59,7 @@ def test_plan_uses_each_rank_once():
         for length, rows in p.groupby("length"):
             assert rows["lo"].iloc[0] == 0 and rows["hi"].iloc[-1] == histogram[length] and (rows["lo"].iloc[1:].to_numpy() == rows["hi"].iloc[:-1].to_numpy()).all()
         total = sum(k * n for k, n in histogram.items())
-        assert (p["base"] + (p["hi"] - p["lo"] - 1) // p["each"]).max() + 1 <= max(1.03 * total / 2048 + 2, sum(n for k, n in histogram.items() if k > 1024), sum(n for k, n in histogram.items() if k > 682) / 2 + 1)
+        assert (p["base"] + (p["hi"] - p["lo"] - 1) // p["each"]).max() + 1 <= max(1.03 * total / 2048 + 2, sum(n for k, n in histogram.items() if k > 1024), sum(n for k, n in histogram.items() if k > 682) / 2 + 2)
 
 
 def test_groups_and_configurations():
