@@ -52,12 +52,12 @@ def url_host(url) -> Column:
 
 
 def truncated(text, most: int) -> Column:
-    """At most `most` characters: cut at the last space if that is past 60 %, closing punctuation off, an ellipsis on."""
+    """The first `most` characters, cut at their last space if that is past 60 %, closing punctuation off, an ellipsis on."""
     t = _c(text)
-    head = F.substring(t, 1, most - 1)
-    at_space = F.regexp_extract(head, r"(?s)^(.*)\s", 1)
+    head = F.substring(t, 1, most)
+    at_space = F.regexp_extract(head, "(?s)^(.*) ", 1)
     cut = F.when(F.length(at_space) > most * 0.6, at_space).otherwise(head)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, r"[\s.,;:!?-]+$", ""), F.lit("…")))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, r"[\s,;:.–-]+$", ""), F.lit("…")))
 
 
 def plain_html(html) -> Column:

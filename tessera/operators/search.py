@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normal_title
 
@@ -16,7 +17,7 @@ NEUTRAL = tuple(
 )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def alignment_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edits with swaps of neighbours (optimal string alignment)."""
 

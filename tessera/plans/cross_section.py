@@ -56,7 +56,7 @@ def _positions(spark, sf_dir):
 
 def slot_portfolio(spark, sf_dir):
     out = ranking.slot_portfolio(_positions(spark, sf_dir).where("o_orderkey % 50 = 0"), "entry_idx", "net")
-    return out.select("slot", F.round("growth", 5).alias("growth"), "positions")
+    return out.select("slot", F.round("growth", 3).alias("growth"), "positions")
 
 
 def block_statistics(spark, sf_dir):
@@ -127,7 +127,7 @@ SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) < 8 AS widened,
 d AS (SELECT *, CAST(least(10, floor((rn - 1) / floor(n / 10)) + 1) AS INTEGER) AS decile FROM r)
 SELECT decile, count(*) AS n, round(avg(l_discount), 3) AS mean_discount, min(l_extendedprice) AS from_price FROM d GROUP BY 1""",
     "slot_portfolio": f"""WITH {_POSITIONS}, g AS (SELECT entry_idx % 21 AS slot, product(1 + net) AS growth, count(*) AS positions FROM p WHERE o_orderkey % 50 = 0 GROUP BY 1)
-SELECT CAST(s.s AS INTEGER) AS slot, round(coalesce(growth, 1), 5) AS growth, coalesce(positions, 0) AS positions FROM range(21) s(s) LEFT JOIN g ON g.slot = s.s""",
+SELECT CAST(s.s AS INTEGER) AS slot, round(coalesce(growth, 1), 3) AS growth, coalesce(positions, 0) AS positions FROM range(21) s(s) LEFT JOIN g ON g.slot = s.s""",
     "block_statistics": f"""WITH {_POSITIONS} SELECT CAST(floor((entry_idx - (SELECT min(entry_idx) FROM p)) / 21) AS BIGINT) AS block, count(*) AS n,
   round(avg(net), 4) + 0.0 AS mean_net, round(avg(net - bench), 4) + 0.0 AS mean_excess FROM p GROUP BY 1""",
     "position_recap": f"""WITH {_POSITIONS} SELECT kind, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'complete' AND net > 0) AS wins,

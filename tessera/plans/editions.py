@@ -120,8 +120,8 @@ SELECT page_id, regexp_replace(scheme || '://' || host || CASE WHEN path = '' TH
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a""",
     "html_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1) AS l FROM pages) SELECT page_id, CAST(u.i - 1 AS INTEGER) AS pos, l[u.i] AS href FROM l, unnest(range(1, len(l) + 1)) AS u(i)""",
     "normal_titles": f"""WITH t AS (SELECT doc_id, {_NORMAL} AS normal, split_part(text, chr(10), 1) AS title FROM documents),
-c AS (SELECT *, left(title, 59) AS head, regexp_extract(left(title, 59), '(?s)^(.*)\\s', 1) AS space FROM t)
-SELECT doc_id, normal, CASE WHEN length(title) <= 60 THEN title ELSE regexp_replace(CASE WHEN length(space) > 36 THEN space ELSE head END, '[\\s.,;:!?-]+$', '') || '…' END AS short FROM c""",
+c AS (SELECT *, left(title, 60) AS head, regexp_extract(left(title, 60), '(?s)^(.*) ', 1) AS space FROM t)
+SELECT doc_id, normal, CASE WHEN length(title) <= 60 THEN title ELSE regexp_replace(CASE WHEN length(space) > 36 THEN space ELSE head END, '[\\s,;:.–-]+$', '') || '…' END AS short FROM c""",
     "title_jaccard_pairs": f"WITH {_TITLES}, {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs",
     "title_classes": f"""WITH {_TITLES}, {_PAIRS}, n AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY rep)
 SELECT doc_id, rep AS class_id, coalesce(links, 0) AS links FROM t JOIN reps USING (tokens) LEFT JOIN n USING (rep)""",

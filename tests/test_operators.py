@@ -127,7 +127,7 @@ def test_urls_and_truncation(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "u string")
     assert {r.u: r.c for r in rows.select("u", text.canonical_url("u").alias("c")).collect()} == cases
     t = spark.createDataFrame([("short",), ("word " * 10,), ("x" * 30,)], "t string").select(text.truncated("t", 20).alias("t")).collect()
-    assert [r.t for r in t] == ["short", "word word word word…", "x" * 19 + "…"]
+    assert [r.t for r in t] == ["short", "word word word word…", "x" * 20 + "…"]
 
 
 def test_stream_upsert_equals_the_batch(spark, tmp_path):
