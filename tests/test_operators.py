@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import asof, merge, ranking, search, similarity, standings, timeseries
+from tessera.operators import asof, calendar, merge, ranking, search, similarity, standings, timeseries
 
 
 def test_known_at_prefers_not_superseded_then_latest_then_greatest(spark):
@@ -141,3 +141,17 @@ def test_stream_upsert_equals_the_batch(spark, tmp_path):
     assert {r.key: (r["at"], r.status, r.value) for r in out.collect()} == {k: (30 + k, "final", 3) for k in range(5)}
     events = spark.createDataFrame([(datetime(2024, 1, 1, 0, 5), "a", 1.0), (datetime(2024, 1, 1, 0, 55), "a", 2.0), (datetime(2024, 1, 1, 1, 5), "b", 4.0)], "ts timestamp_ntz, kind string, value double")
     assert sorted((r.kind, r.n, r.total) for r in windowed_counts(events, "ts", "kind").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_trailing_sum_never_gives_a_part(spark):
+    rows = spark.createDataFrame([("a", p, 10) for p in (1, 2, 3, 4, 6, 7, 8, 9)], "k string, p int, v int")
+    got = {r.p: r.trailing for r in calendar.trailing_sum(rows, "k", "p", "v").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 40, 6: None, 7: None, 8: None, 9: 40}
+
+
+def test_next_by_median_gap_and_changes(spark):
+    rows = spark.createDataFrame([("a", date(2024, 1, d)) for d in (1, 5, 11)] + [("b", date(2024, 1, 1))], "k string, d date")
+    got = calendar.next_by_median_gap(rows, "k", "d").collect()
+    assert [tuple(r) for r in got] == [("a", date(2024, 1, 11), date(2024, 1, 16), 3, 2)]
+    old, new = (spark.createDataFrame(x, "id int, v string") for x in ([(1, "x"), (2, "y"), (3, None)], [(1, "x"), (2, "z"), (3, None), (4, "n")]))
+    assert {tuple(r) for r in calendar.changes(old, new, "id", ["v"]).collect()} == {(2, "changed"), (4, "came")}
