@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -36,10 +37,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most so many rows while a stage is written: rows here hold whole texts, and a batch is off-heap memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(was)) if int(was) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,7 +103,7 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a number of words; a word's hash never depends on what is remembered."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -63,7 +63,7 @@ class Model:
             def __missing__(self, word: bytes) -> float:
                 value = float(table[subwords(word)].mean())
                 if len(word) <= 64:
-                    if len(self) >= 400_000:
+                    if len(self) >= 150_000:
                         self.clear()
                     self[word] = value
                 return value

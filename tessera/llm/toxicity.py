@@ -61,7 +61,7 @@ class Model:
                 if bs is None:
                     bs = tuple(b for b in buckets(w) if b in weight)
                     if len(w) <= 64:
-                        if len(known) >= 400_000:
+                        if len(known) >= 150_000:
                             known.clear()
                         known[w] = bs
                 if bs:
