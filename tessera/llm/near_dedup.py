@@ -6,9 +6,8 @@ values of a sketch first: sets of Jaccard J >= 0.8 share so many retained values
 the full shingle sets confirms each link; links are joined to components.
 
 Documents with equal sets are one class with one representative. A value that many classes hold makes a hot list, which is not
-expanded into pairs. First every member is compared with the list's most central member and with its neighbours in a
-similarity-sorted order; this joins nearly all that belongs together. Members outside the component of their list's centre are
-then compared exactly with all members of other components, in pairs of blocks of bounded size over the full shingle sets; a
+expanded into pairs. First every member is compared with the list's most central members; this joins nearly all that belongs
+together. Members outside the component of their list's centre are then compared exactly with all members of other components, in pairs of blocks of bounded size over the full shingle sets; a
 pair of blocks gives out a spanning forest of its links at most. So no link between components is lost, and no task holds more
 than two blocks.
 """
@@ -34,7 +33,6 @@ SHARED = 0.5625
 SLACK = 0.225
 #: Lists of up to so many classes are expanded into pairs.
 COLD = 32
-ROUNDS = 2
 #: Members of a block when the rest of a hot list is compared.
 BLOCK = 512
 
@@ -91,41 +89,15 @@ def _cold_pairs(lists: DataFrame) -> DataFrame:
     return a.join(b, "value").where((F.col("a") < F.col("b")) & _fitting("n_a", "n_b")).groupBy("a", "b").agg(F.count("*").alias("overlap")).select("a", "b")
 
 
-def _neighbours(batches):
-    """Pairs of neighbouring rows that hold the same value, over rows sorted by (value, signature)."""
-    tail = None
-    for batch in batches:
-        value, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "node", "n"))
-        if tail is not None:
-            value, node, n = (np.concatenate([t, x]) for t, x in zip(tail, (value, node, n), strict=True))
-        fit = (value[1:] == value[:-1]) & (5 * n[1:] >= 4 * n[:-1]) & (5 * n[:-1] >= 4 * n[1:]) & (node[1:] != node[:-1])
-        pairs = np.stack([np.minimum(node[1:], node[:-1])[fit], np.maximum(node[1:], node[:-1])[fit]])
-        tail = (value[-1:], node[-1:], n[-1:])
-        a, b = np.unique(pairs, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def _hot_pairs(hot: DataFrame, labels: DataFrame, sketch_of: DataFrame, turn: int) -> DataFrame:
-    """Candidates of the hot lists in one round: each member with the list's centre, and neighbours in a sorted order."""
-    rows = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # the centre holds the most common values; later rounds draw it from other quarters of the members
-    drawn = F.when(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4)) == 0, 1).otherwise(0) if turn else F.lit(0)
-    centre = rows.groupBy("value").agg(F.max(F.struct(drawn.alias("d"), "hot", (-F.col("node")).alias("minus"), "n", "label")).alias("c"))
-    centre = centre.select("value", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("n_c"), F.col("c.label").alias("label_c"))
-    stars = rows.join(centre, "value").where((F.col("label") != F.col("label_c")) & _fitting("n", "n_c"))
-    stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    open_lists = rows.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    signed = rows.join(open_lists, "value").join(sketch_of, "node").select(
-        "value", "node", "n",
-        *[F.array_min(F.transform("sketch", lambda x, s=s: F.xxhash64(x, F.col("value"), F.lit(2 * turn + s)))).alias(f"s{s}") for s in (0, 1)],
-    )
-    parts = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["value", "s0", "s1", "node"]
-    beside = stage(signed, "signed").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value", "node", "n").mapInArrow(_neighbours, "a long, b long")
-    pairs = stars.union(beside).distinct()
-    for x in "ab":
-        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}")), x, "left")
-    return pairs.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+def _hot_pairs(hot: DataFrame) -> DataFrame:
+    """Each member of a hot list with its two centres: the member that holds the most common values, of all and of a quarter."""
+    drawn = F.pmod(F.xxhash64("node"), F.lit(4)) == 0
+    best = F.struct("hot", (-F.col("node")).alias("minus"), "n")
+    centres = hot.groupBy("value").agg(F.max(best).alias("one"), F.max(F.when(drawn, best)).alias("two"))
+    centres = centres.select("value", F.explode(F.array_distinct(F.array_compact(F.array("one", "two")))).alias("c"))
+    centres = centres.select("value", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("n_c"))
+    stars = hot.join(centres, "value").where((F.col("node") != F.col("centre")) & _fitting("n", "n_c"))
+    return stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, sketch_of: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -255,7 +227,7 @@ def _packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(spark_rows, "doc long, tk long, packed binary", start).join(nodes, ["doc", "tk"]).dropDuplicates(["doc", "tk"])
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent: int = 80, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     component_id is the smallest doc_id reachable over links. Texts without words (null, empty) have no shingles and link with
@@ -269,21 +241,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent:
     sketch_of = classes.select("node", "sketch")
     lists = stage(_prefixes(classes, k), "lists")
     hot = lists.where(F.col("df") > COLD)
-    cold = stage(_estimated(_cold_pairs(lists), sketch_of, k, percent / 100), "pairs")
-    needed = cold.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
+    pairs = stage(_estimated(_cold_pairs(lists).union(_hot_pairs(hot)).distinct(), sketch_of, k, percent / 100), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
     texts = stage(_packed_texts(docs, classes.join(needed, "node").select("node", "doc", "tk")).select("node", "packed"), "texts")
-    links = stage(_confirmed(cold, texts, n, percent), "links")
-    labels = connected_components(links)
+    labels = connected_components(_confirmed(pairs, texts, n, percent))
     if not hot.isEmpty():
-        for turn in range(rounds):
-            pairs = stage(_estimated(_hot_pairs(hot, labels, sketch_of, turn), sketch_of, k, percent / 100), "pairs")
-            found = stage(_confirmed(pairs, texts, n, percent), "links")
-            if found.isEmpty():
-                break
-            links = links.union(found)
-            labels = connected_components(links)
-        rest = stage(_rest_of_hot_lists(hot, labels, texts, n, percent), "links")
-        labels = connected_components(links.union(rest))
+        labels = stage(labels, "labels")
+        rest = _rest_of_hot_lists(hot, labels, texts, n, percent)
+        for x in "ab":
+            rest = rest.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}")), x, "left")
+        # the links that are left join whole components, so their graph is that of the labels
+        joined = connected_components(rest.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
+        over = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti"))
     named = classes.join(labels, "node", "left").select("f1", "f2", "doc", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component"))
     of_class = named.join(smallest, "label").select("f1", "f2", "component")
