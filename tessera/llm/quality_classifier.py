@@ -20,7 +20,10 @@ BUCKETS = 1 << 16
 AGAIN = b" again"
 
 
-def subwords(word: bytes, grams: tuple[int, ...] = (2, 3)) -> np.ndarray:
+GRAMS = (2, 3)
+
+
+def subwords(word: bytes, grams: tuple[int, ...] = GRAMS) -> np.ndarray:
     """Buckets of a word: its own and those of its character n-grams, ends marked."""
     chars = f"<{word.decode()}>"
     parts = [word, *(chars[i : i + n].encode() for n in grams for i in range(len(chars) - n + 1))] if word != AGAIN else [word]
@@ -57,18 +60,30 @@ class Model:
 
     def scorer(self):
         """text -> probability of label 1, whole texts; a word's score is remembered."""
-        table = self.word_score
+        table = self.word_score.tolist()
+
+        class Grams(dict):
+            def __missing__(self, gram: str) -> float:
+                if len(self) >= 150_000:
+                    self.clear()
+                value = self[gram] = table[xxhash.xxh3_64_intdigest(gram.encode(), seed=1) & (BUCKETS - 1)]
+                return value
+
+        grams = Grams()
 
         class Scores(dict):
             def __missing__(self, word: bytes) -> float:
-                value = float(table[subwords(word)].mean())
+                chars = f"<{word.decode()}>"
+                parts = [chars[i : i + n] for n in GRAMS for i in range(len(chars) - n + 1)]
+                own = table[xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)]
+                value = (own + sum(map(grams.__getitem__, parts))) / (1 + len(parts))
                 if len(word) <= 64:
                     if len(self) >= 150_000:
                         self.clear()
                     self[word] = value
                 return value
 
-        known, again_score = Scores(), float(table[subwords(AGAIN)].mean())
+        known, again_score = Scores(), table[int(subwords(AGAIN)[0])]
 
         def score(text: str | None) -> float:
             words, again = document(text)
