@@ -97,6 +97,8 @@ class Model:
 
 def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 8, epochs: int = 12, rate: float = 1.0, seed: int = 3) -> Model:
     """Stochastic gradient descent, one document a step, with a rate that falls to zero."""
+    if not examples:
+        return Model(np.zeros(BUCKETS), 0.0)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
     out, bias = rng.uniform(-1 / dims, 1 / dims, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
