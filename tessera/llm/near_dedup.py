@@ -34,7 +34,7 @@ SLACK = 0.225
 #: Lists of up to so many classes are expanded into pairs.
 COLD = 32
 #: Members of a block when the rest of a hot list is compared.
-BLOCK = 512
+BLOCK = 2048
 
 
 def shingles(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
