@@ -6,7 +6,7 @@ the others go, as front-coded sorted runs, to ranges of the anchor hash, where a
 prefix merges them. Neighbours' common prefixes to the right, and the same of the left contexts, tell exactly which of an
 anchor's windows occur again. Texts with equal bytes are one class with one representative.
 
-A gram that very many distinct texts hold (over `hot` anchors) is not gathered in one place: each of its windows is hashed
+A gram that more anchors hold than a task should gather (`hot`, about 70 MB of contexts) is not brought to one place: each of its windows is hashed
 (128 bits) and counted by a shuffled aggregation, which is as exact.
 """
 
@@ -26,7 +26,7 @@ from .common import arrow_lists, id_and_text, map_batches, mixed, null_id, plain
 from .lcp_merge import common_prefix, common_suffix, front_code, merged
 
 LENGTH, GRAM = 400, 100
-HOT = 4096
+HOT = 50_000
 RUN = 20_000
 _PLACE = 28  # low bits of a key that hold the position
 
