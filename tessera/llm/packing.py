@@ -8,9 +8,11 @@ one length are interchangeable, so the plan says which ranks of a length go wher
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import zlib
 from collections import defaultdict
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,13 +37,13 @@ def byte_letters() -> str:
 class Encoder:
     """Token ids of whole texts, found space-separated chunk by chunk; the ids of a chunk are remembered, up to a number.
 
-    The tokenizer lower-cases, drops white space and never joins across it or between a letter and a stop, so A-Z can be
-    lower-cased first, chunks are independent, and a stop at a chunk's end has ids of its own. A new chunk of lower-case Latin
-    letters goes to the tokenizer's model right away, as normalising and splitting would leave it as it is; others go through
-    the whole tokenizer.
+    The tokenizer lower-cases, drops white space and never joins across it or between a letter and ASCII punctuation other than
+    an apostrophe, so A-Z can be lower-cased first, chunks are independent, and the punctuation at a word's end has ids of its
+    own. A new word of lower-case Latin letters goes to the tokenizer's model right away, as normalising and splitting would
+    leave it as it is; others go through the whole tokenizer.
     """
 
-    STOPS = frozenset(".,!?;:")
+    TAIL = string.punctuation.replace("'", "")
     LATIN = frozenset(chr(c) for c in range(0x61, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower())
 
     def __init__(self, path: str, most: int = 400_000):
@@ -71,14 +73,19 @@ class Encoder:
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
+    def _is_word(self, stem: str) -> bool:
+        """Letters that stay letters when normalised and lower-cased, so that nothing joins what follows."""
+        return bool(stem) and (self.LATIN.issuperset(stem) or stem.isalpha() and unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha())
+
     def _word(self, chunk: str) -> list[int]:
         if not chunk.isascii():
             chunk = chunk.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(chunk)]
 
     def _learn(self, chunks: set[str]) -> None:
-        ended = [c for c in chunks if c[-1] in self.STOPS and c[:-1].isalpha()]
-        bare = [c for c in chunks.difference(ended).union([c[:-1] for c in ended], [c[-1] for c in ended]) if c not in self.at]
+        stems = {c: stem for c in chunks if c[-1] in self.TAIL and self._is_word(stem := c.rstrip(self.TAIL))}
+        tails = {c[len(stem) :] for c, stem in stems.items()}
+        bare = [c for c in chunks.difference(stems).union(stems.values(), tails) if c not in self.at]
         plain = [c for c in bare if self.LATIN.issuperset(c)]
         odd = [c for c in bare if not self.LATIN.issuperset(c)]
         lists = [self._word(c) for c in plain]
@@ -86,9 +93,9 @@ class Encoder:
             lists += [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self._remember(plain + odd, sizes, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
-        if ended:
-            both = np.fromiter((i for c in ended for i in (self.at[c[:-1]], self.at[c[-1]])), np.int64, 2 * len(ended))
-            self._remember(ended, self.size[both].reshape(-1, 2).sum(axis=1), self._gathered(both))
+        if stems:
+            both = np.fromiter((i for c, stem in stems.items() for i in (self.at[stem], self.at[c[len(stem) :]])), np.int64, 2 * len(stems))
+            self._remember(list(stems), self.size[both].reshape(-1, 2).sum(axis=1), self._gathered(both))
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -98,15 +105,18 @@ class Encoder:
             return whole()
         lowered = text.lower() if text.isascii() else text.encode().lower().decode()
         chunks = lowered.replace("\n", " ").split(" ")
-        new = {c for c in chunks if c not in self.at}
-        if len(self.at) + 2 * len(new) + len(self.STOPS) > self.most or self.used > 16 * self.most:
-            self._forget()
-            new = set(chunks) - {""}
-            if 2 * len(new) + len(self.STOPS) >= self.most:
-                return whole()
-        if new:
+        at = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = {chunks[i] for i in missing.tolist()}
+            if len(self.at) + 3 * len(new) > self.most or self.used > 16 * self.most:
+                self._forget()
+                missing, new = np.arange(len(chunks)), set(chunks) - {""}
+                if 3 * len(new) >= self.most:
+                    return whole()
             self._learn(new)
-        return self._gathered(np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks)))
+            at[missing] = np.fromiter((self.at[chunks[i]] for i in missing.tolist()), np.int64, len(missing))
+        return self._gathered(at)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

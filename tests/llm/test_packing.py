@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from tessera.llm.packing import Encoder, configurations, grouped, pack, plan, sequences, vocabulary
 from tessera.llm.queries import QUERIES
 
-ODD = ["<|endoftext|> a<|startoftext|>b  c", "É́ é ﬁ Σας ΟΔΟΣ don't it's 'll x y z\x1cq\x85r", "日本語 テキスト 12345 a1b2", "\t\n\r\x0b ", "I'M WE'LL", "e ́x \ń", "", "x" * 500, "Ünïcödé ñandú straße ÿ ŉ ǆ ªº µ word., İstanbul ıI ſt ŀl"]
+ODD = ["<|endoftext|> a<|startoftext|>b  c", "É́ é ﬁ Σας ΟΔΟΣ don't it's 'll x y z\x1cq\x85r", "日本語 テキスト 12345 a1b2", "\t\n\r\x0b ", "I'M WE'LL", "e ́x \ń", "", "x" * 500, "ʼİ< b漢İ| \u0958! #?é_ (word)-,", "Ünïcödé ñandú straße ÿ ŉ ǆ ªº µ word., İstanbul ıI ſt ŀl"]
 
 
 def test_encoder_equals_the_tokenizer():
