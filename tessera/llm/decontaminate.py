@@ -43,8 +43,12 @@ class Index:
         self.span, self.gram = span, gram
         hashes = WordHashes(10_000_000)
         self.ids = [i for i, _ in items]
-        self.words = [hashes.of(words_of(text)) for _, text in items]
-        self.known = {w: hashes[w] for w in list(hashes)}
+        self.words, self.known = [], {}
+        for _, text in items:
+            words = words_of(text)
+            self.words.append(hashes.of(words))
+            # every word, whatever its length: `hashes` itself remembers short ones only
+            self.known.update(zip(words, self.words[-1].tolist()))
         long = [(n, w) for n, w in enumerate(self.words) if len(w) >= span]
         prints, item, pos = [], [], []
         for n, w in long:

@@ -66,6 +66,19 @@ def test_in_blocks(spark):
         assert r.n_hit == sum(b - a for a, b in zip(r.hit_starts, r.hit_ends)) and r.hit_starts == sorted(r.hit_starts)
 
 
+def test_long_words(spark):
+    rng = random.Random(5)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    token, sentence = "x" * 65, han(22)
+    spread = prose(rng, 6) + f" {token} {sentence} " + prose(rng, 12)
+    items = [(1, spread), (2, sentence), (3, f"{han(40)}, {han(30)}"), (4, token + " " + token), (5, " ".join(han(25) for _ in range(15)))]
+    rows = [(i, f"{prose(rng, 9)} {t}, {prose(rng, 30)}") for i, t in items] + [(6, han(22)), (7, f"{han(40)} {sentence} {token}"), (8, spread.replace(token, "y" * 65))]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)
+    want = brute(rows, items)
+    assert [r[0] for r in want if r[2]] == [1, 2, 3, 4, 5, 7, 8] and want[4][2] >= 15
+    assert got(find_contamination(frame(spark, rows), bench)) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert got(find_contamination(frame(spark, []), none)) == []
