@@ -85,10 +85,15 @@ def census(rows: DataFrame, reason: str) -> DataFrame:
 
 
 def slot_portfolio(positions: DataFrame, entry_idx: str, net: str, slots: int = 21) -> DataFrame:
-    """Growth of each slot (entry index modulo slots); a slot without positions stays at 1."""
-    grown = positions.groupBy((F.col(entry_idx) % slots).cast("int").alias("slot")).agg(F.product(1 + F.col(net)).alias("growth"), F.count("*").alias("positions"))
+    """Growth of each slot (entry index modulo slots); a slot without positions stays at 1.
+
+    log_growth is the sum of logarithms, which holds where the product leaves the range of a double; null if a position loses all.
+    """
+    grown = positions.groupBy((F.col(entry_idx) % slots).cast("int").alias("slot")).agg(
+        F.product(1 + F.col(net)).alias("growth"), F.when(F.min(net) > -1, F.sum(F.log1p(net))).alias("_log"), F.count("*").alias("positions"))
     every = positions.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    return every.join(grown, "slot", "left").fillna({"growth": 1.0, "positions": 0})
+    out = every.join(grown, "slot", "left").withColumn("log_growth", F.when(F.col("positions").isNull(), 0.0).otherwise(F.col("_log")))
+    return out.fillna({"growth": 1.0, "positions": 0}).drop("_log")
 
 
 def blocks(positions: DataFrame, entry_idx: str, net: str, excess: str, sessions: int = 21) -> DataFrame:
