@@ -61,8 +61,8 @@ def snapshot_changes(spark, sf_dir):
 
 
 def step_dates(spark, sf_dir):
-    """Each day with an error event, with the days before and after it on which there was one."""
-    days = _read(spark, sf_dir, "events").where("event_type = 'error' and user_id % 10 = 0").select("user_id", F.to_date("ts").alias("day")).distinct()
+    """Each user's days with an error event, with the days before and after them on which there was one."""
+    days = _read(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", F.to_date("ts").alias("day")).distinct()
     w = W.partitionBy("user_id").orderBy("day")
     return days.select("user_id", F.col("day").cast("string").alias("day"), F.lag("day").over(w).cast("string").alias("before"), F.lead("day").over(w).cast("string").alias("after"))
 

@@ -38,9 +38,9 @@ def buy_again(spark, sf_dir):
 
 
 def discover_unseen(spark, sf_dir):
-    """Parts never ordered by the first customers' segment, by shared brand, name word and type."""
+    """Parts that no purchase or view names (the events' k is the key of a part), by shared brand, name word and type."""
     p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_type").alias("section"), F.array("p_brand").alias("tags"))
-    h = _read(spark, sf_dir, "lineitem").where("l_orderkey % 200 = 0").select(F.col("l_partkey").alias("product_id"))
+    h = _read(spark, sf_dir, "events").where("event_type in ('purchase', 'view')").select(F.get_json_object("props", "$.k").cast("long").alias("product_id"))
     return search.discover(h, p, 3)
 
 

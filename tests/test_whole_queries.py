@@ -39,3 +39,13 @@ def test_slot_growth_beyond_a_double(spark):
     p = spark.range(3000).selectExpr("cast(0 as int) i", "1.0D net").union(spark.createDataFrame([(1, -1.0), (1, 0.5)], "i int, net double"))
     got = {r.slot: r for r in ranking.slot_portfolio(p, "i", "net").collect()}
     assert got[0].log_growth == pytest.approx(3000 * math.log(2)) and got[1].growth == 0 and got[1].log_growth is None and got[2].log_growth == 0
+
+
+def test_step_dates_of_all_users(spark, duck):  # noqa: F811
+    same(spark, duck, "step_dates", without("step_dates", " AND user_id % 10 = 0"))
+
+
+def test_discover_unseen_after_all_events(spark, duck):  # noqa: F811
+    lines = "SELECT l_partkey AS id FROM lineitem WHERE l_orderkey % 200 = 0"
+    sql = ORACLE_SQL["discover_unseen"].replace(lines, "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events WHERE event_type IN ('purchase', 'view')")
+    same(spark, duck, "discover_unseen", sql)
