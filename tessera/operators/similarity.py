@@ -38,18 +38,25 @@ def rare_token_pairs(rows: DataFrame, key: str, tokens: str, max_share: float =
     """(a, b, shared) of rows that share min_shared distinctive tokens and min_overlap of the smaller set of these.
 
     Distinctive: in at most max(min_limit, floor(rows * max_share)) rows, or in most_df if that is given.
+    Prefix filter: from the rarest token that two rows share, each has at least as many tokens left as they must share, so
+    candidates meet under such tokens only; then whole sets are compared.
     """
     words = rows.select(F.col(key).alias("k"), F.explode(tokens).alias("token")).distinct()
     total = rows.agg(F.count("*").alias("total"))
     df = words.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     limit = F.lit(most_df) if most_df else F.greatest(F.lit(min_limit), F.floor(F.col("total") * max_share))
-    kept = words.join(df.where(F.col("df") <= limit).where("df > 1").select("token"), "token")
-    distinctive = words.join(df.where(F.col("df") <= limit).select("token"), "token").groupBy("k").agg(F.count("*").alias("n"))
-    a, b = (kept.select("token", F.col("k").alias(x)) for x in "ab")
-    pairs = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    distinctive = words.join(df.where(F.col("df") <= limit).select("token", "df"), "token")
+    # tokens of one row count for the overlap but are never shared
+    by_df = F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "token"))))
+    sets = distinctive.groupBy("k").agg(F.count("*").alias("n"), by_df["token"].alias("tokens")).where(F.size("tokens") >= min_shared)
+    listed = sets.select("k", "n", F.posexplode("tokens").alias("i", "token"), F.size("tokens").alias("m")).withColumn("rest", F.col("m") - F.col("i")).where(F.col("rest") >= min_shared)
+    a, b = (listed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("k", "n", "rest")]) for x in "ab")
+    need = min_overlap * F.least("n_a", "n_b")
+    pairs = a.join(b, "token").where("k_a < k_b").where((F.col("rest_a") >= need) & (F.col("rest_b") >= need)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
     for x in "ab":
-        pairs = pairs.join(distinctive.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}")), x)
-    return pairs.where(F.col("shared") >= min_overlap * F.least("n_a", "n_b")).select("a", "b", "shared")
+        pairs = pairs.join(sets.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")), x)
+    out = pairs.withColumn("shared", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
+    return out.where((F.col("shared") >= min_shared) & (F.col("shared") >= need)).select("a", "b", "shared")
 
 
 def greedy_keep(items: DataFrame, links: DataFrame, key: str, rank: str, scratch: str) -> DataFrame:

@@ -57,9 +57,9 @@ def title_classes(spark, sf_dir):
 
 
 def rare_token_pairs(spark, sf_dir):
-    """Pairs of title classes that share three rare tokens."""
+    """Pairs of title classes that share three tokens of at most 15 % of the classes."""
     reps = similarity.classes(_titles(spark, sf_dir), "doc_id", "tokens")
-    return similarity.rare_token_pairs(reps, "rep", "tokens", most_df=8)
+    return similarity.rare_token_pairs(reps, "rep", "tokens")
 
 
 def document_frequency(spark, sf_dir):

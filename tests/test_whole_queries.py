@@ -49,3 +49,25 @@ def test_discover_unseen_after_all_events(spark, duck):  # noqa: F811
     lines = "SELECT l_partkey AS id FROM lineitem WHERE l_orderkey % 200 = 0"
     sql = ORACLE_SQL["discover_unseen"].replace(lines, "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events WHERE event_type IN ('purchase', 'view')")
     same(spark, duck, "discover_unseen", sql)
+
+
+def test_rare_tokens_by_share(spark, duck):  # noqa: F811
+    cap = "HAVING count(*) <= 8"
+    share = "HAVING count(*) <= (SELECT greatest(2, floor(count(*) * 0.15)) FROM reps)"
+    assert cap in ORACLE_SQL["rare_token_pairs"]
+    same(spark, duck, "rare_token_pairs", ORACLE_SQL["rare_token_pairs"].replace(cap, share))
+
+
+def test_rare_tokens_of_many_rows(spark):
+    from tessera.operators.similarity import rare_token_pairs
+
+    sets = [(i, ["often", f"t{i % 5}", f"u{i % 10}", f"v{i % 15}", f"own{i}"] + [f"pad{i}-{j}" for j in range(i % 11)]) for i in range(60)]
+    for options in ({"max_share": 0.4}, {"most_df": 15}, {"max_share": 1.0, "min_shared": 2, "min_overlap": 0.4}):
+        o = {"max_share": 0.15, "min_shared": 3, "min_overlap": 0.25, "most_df": None} | options
+        df = {}
+        for _, s in sets:
+            for t in s:
+                df[t] = df.get(t, 0) + 1
+        kept = {i: {t for t in s if df[t] <= (o["most_df"] or max(2, int(60 * o["max_share"])))} for i, s in sets}
+        want = {(a, b, n) for a in kept for b in kept if a < b and (n := len(kept[a] & kept[b])) >= o["min_shared"] and n >= o["min_overlap"] * min(len(kept[a]), len(kept[b]))}
+        assert want and {tuple(r) for r in rare_token_pairs(spark.createDataFrame(sets, "k int, tokens array<string>"), "k", "tokens", **options).collect()} == want
