@@ -44,9 +44,18 @@ def next_by_median_gap(rows: DataFrame, key: str, date: str, most_gaps: int = 8,
     return out.where("n_gaps > 0").select(key, "last", F.expr("date_add(last, cast(floor(m + 0.5) as int))").alias("expected"), spread.cast("int").alias("spread"), "n_gaps")
 
 
-def of_the_day(day: Column, n: int) -> Column:
-    """An index from 0 to n - 1 that moves on by one a day."""
-    return F.pmod(F.datediff(day, F.lit("1970-01-01").cast("date")), F.lit(n))
+def of_the_day(day: Column, n: int | Column) -> Column:
+    """An index from 0 to n - 1 that moves on by one a day; null if n is 0."""
+    return F.pmod(F.datediff(day, F.lit("1970-01-01").cast("date")), F.nullif(n if isinstance(n, Column) else F.lit(n), F.lit(0)))
+
+
+def numbered(rows: DataFrame, key: str, name: str, width: int = 1024) -> DataFrame:
+    """rows with their number from 0 in the order of a whole-numbered key: counts of the key ranges before, and the place within."""
+    ranged = rows.withColumn("_range", F.floor(F.col(key) / width))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = sizes.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1
+    return ranged.join(before, "_range").withColumn(name, F.col("_before") + place).drop("_range", "_before")
 
 
 def changes(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -48,16 +48,18 @@ def next_order_estimate(spark, sf_dir):
 
 
 def part_of_the_day(spark, sf_dir):
-    """For each day of events the part whose turn it is."""
-    days = _read(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct().withColumn("p_partkey", cal.of_the_day(F.col("day"), 97).cast("long"))
-    return days.join(_read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").withColumn("day", F.col("day").cast("string"))
+    """For each day of events the part whose turn it is among all parts in order of their keys."""
+    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    days = _read(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct().crossJoin(F.broadcast(parts.agg(F.count("*").alias("n"))))
+    turns = days.select("day", cal.of_the_day(F.col("day"), F.col("n")).alias("turn"))
+    return cal.numbered(parts, "p_partkey", "turn").join(F.broadcast(turns), "turn").select("p_partkey", F.col("day").cast("string").alias("day"), "p_name")
 
 
 def snapshot_changes(spark, sf_dir):
-    """Users' last event kinds at two times: who came, went or changed."""
+    """Users' last event kinds at two times, each from all events before it: who came, went or changed."""
     e = _read(spark, sf_dir, "events")
-    last = lambda cut, least: e.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).where(F.col("ts") >= F.lit(least).cast("timestamp_ntz")).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.count("*").alias("n"))
-    return cal.changes(last("2024-01-04", "2024-01-03"), last("2024-01-05", "2024-01-04"), "user_id", ["kind"])
+    last = lambda cut: e.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.count("*").alias("n"))
+    return cal.changes(last("2024-01-04"), last("2024-01-05"), "user_id", ["kind"])
 
 
 def step_dates(spark, sf_dir):

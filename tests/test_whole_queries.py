@@ -71,3 +71,20 @@ def test_rare_tokens_of_many_rows(spark):
         kept = {i: {t for t in s if df[t] <= (o["most_df"] or max(2, int(60 * o["max_share"])))} for i, s in sets}
         want = {(a, b, n) for a in kept for b in kept if a < b and (n := len(kept[a] & kept[b])) >= o["min_shared"] and n >= o["min_overlap"] * min(len(kept[a]), len(kept[b]))}
         assert want and {tuple(r) for r in rare_token_pairs(spark.createDataFrame(sets, "k int, tokens array<string>"), "k", "tokens", **options).collect()} == want
+
+
+def test_part_of_the_day_among_all_parts(spark, duck):  # noqa: F811
+    same(spark, duck, "part_of_the_day", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
+SELECT CAST(d AS VARCHAR) AS day, p_partkey, p_name FROM d JOIN p ON i = datediff('day', DATE '1970-01-01', d) % n""")
+
+
+def test_numbered_with_gaps(spark):
+    from tessera.operators.calendar import numbered
+
+    keys = [-3000, -1, 0, 5, 1023, 1024, 5000, 5001]
+    rows = spark.createDataFrame([(k,) for k in reversed(keys)], "k long")
+    assert {r.k: r.i for r in numbered(rows, "k", "i").collect()} == {k: i for i, k in enumerate(keys)}
+
+
+def test_snapshots_from_all_events_before(spark, duck):  # noqa: F811
+    same(spark, duck, "snapshot_changes", without("snapshot_changes", "ts >= '2024-01-03' AND ", "ts >= '2024-01-04' AND "))
