@@ -57,6 +57,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(big: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", floor: int = 1000, most: int = 100_000) -> DataFrame:
+    """big joined with keys, which has one row a key and, in n, the number of rows of big with it (and may lack keys).
+
+    Keys with more than a 1/most share of the rows of `keys` (and than floor) are broadcast, `most` rows at the utmost, so that
+    their rows stay where they are; all others meet by a shuffle, in which no key is large.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    bound = max(floor, total // most)
+    heavy = F.broadcast(keys.where(F.col("n") > bound))
+    light = big.join(F.broadcast(keys.where(F.col("n") > bound).select(*on)), on, "left_anti").join(keys.where(F.col("n") <= bound), on, how)
+    return light if total <= bound else light.unionByName(big.join(heavy, on))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that text operators read, whatever else the table holds."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

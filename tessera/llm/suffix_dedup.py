@@ -6,13 +6,16 @@ the others go, as front-coded sorted runs, to ranges of the anchor hash, where a
 prefix merges them. Neighbours' common prefixes to the right, and the same of the left contexts, tell exactly which of an
 anchor's windows occur again. Texts with equal bytes are one class with one representative.
 
-A gram that more anchors hold than a task should gather (`hot`, about 70 MB of contexts) is not brought to one place: each of its windows is hashed
-(128 bits) and counted by a shuffled aggregation, which is as exact.
+A gram that more anchors hold than a task should gather (`bound`) is split before the merge: anchors with equal windows become
+one entry, and the rest are dealt out by more of their bytes, half of the windows at a time, until each group fits. Every
+group is then merged and settled in the same way; none is gathered whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -20,14 +23,17 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_lists, id_and_text, map_batches, mixed, null_id, plain_id, sliced, stage
+from .common import arrow_lists, id_and_text, join_counted, map_batches, mixed, null_id, plain_id, sliced, stage
 from .lcp_merge import common_prefix, common_suffix, front_code, merged
 
 LENGTH, GRAM = 400, 100
-HOT = 50_000
-RUN = 20_000
+#: Entries of a group that a task compares at once (about 3 MB); larger groups are split.
+GROUP = 4096
+#: Entries of a run, and of a part of the merge.
+RUN, PART = 20_000, 10_000
 _PLACE = 28  # low bits of a key that hold the position
 
 
@@ -108,13 +114,14 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def _candidate_texts(docs: DataFrame, reps: DataFrame, hot: int) -> tuple[DataFrame, int]:
-    """(row, packed text, anchors with a gram that occurs again) of the representatives that have such, and the anchors' number."""
+def _candidate_texts(docs: DataFrame, reps: DataFrame, bound: int) -> tuple[DataFrame, int, int]:
+    """(row, packed text, anchors whose gram occurs again) of the representatives that have such, the anchors' number, and how
+    many of them are in groups of over `bound`."""
     each = reps.select("row", F.explode(F.arrays_zip("g", "pos", "first", "last")).alias("x")).select("row", "x.*")
-    again = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    found = each.join(again, "g").select("row", F.struct("pos", "first", "last", "g", (F.col("n") > hot).alias("hot")).alias("x"))
+    again = stage(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    found = join_counted(each, again, ["g"]).select("row", F.struct("pos", "first", "last", "g", (F.col("n") > bound).alias("large")).alias("x"))
     wanted = stage(found.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("anchors")).join(reps.select("row", "doc", "tk"), "row"), "anchors")
-    n = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    n, large = wanted.agg(F.sum(F.size("anchors")), F.sum(F.size(F.filter("anchors", lambda m: m["large"])))).first()
 
     def start():
         pack = zstandard.ZstdCompressor(level=1)
@@ -122,31 +129,91 @@ def _candidate_texts(docs: DataFrame, reps: DataFrame, hot: int) -> tuple[DataFr
 
     packed = map_batches(docs, "doc long, tk long, packed binary", start)
     # a repeated row is the same text again; the join has brought both to one place
-    return stage(packed.join(wanted, ["doc", "tk"]).dropDuplicates(["doc", "tk"]).select("row", "packed", "anchors"), "texts"), n
+    texts = stage(packed.join(wanted, ["doc", "tk"]).dropDuplicates(["doc", "tk"]).select("row", "packed", "anchors"), "texts")
+    return texts, n or 0, large or 0
 
 
-def _runs(texts: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(part, run): front-coded sorted runs of the anchors' suffixes for each range of the anchor hash."""
+def _piece_hashes(pieces: DataFrame, length: int) -> DataFrame:
+    """For pieces (offsets low..high of the range, of which the anchor has least..most) of texts: the hash of the bytes that all
+    windows of the range share (c1, c2), and that of all bytes of the anchor's own windows (e1, e2)."""
+
+    def start():
+        unpack = zstandard.ZstdDecompressor()
+
+        def each(batch: pa.RecordBatch):
+            out: dict[str, list] = {c: [] for c in ("row", "pos", "low", "high", "least", "most", "core", "extent")}
+            for row, packed, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "pieces")), strict=True):
+                raw = unpack.decompress(packed)
+                for m in marks:
+                    pos, low, high, least, most = (m[c] for c in ("pos", "low", "high", "least", "most"))
+                    core = struct.pack("<II", low, high) + raw[pos - low : pos + length - high]
+                    extent = struct.pack("<IIII", low, high, least, most) + raw[pos - most : pos + length - least]
+                    for name, value in zip(out, (row, pos, low, high, least, most, xxhash.xxh3_128_digest(core), xxhash.xxh3_128_digest(extent)), strict=True):
+                        out[name].append(value)
+            if not out["row"]:
+                return None
+            cores, extents = (np.frombuffer(b"".join(out.pop(c)), ">i8").reshape(-1, 2).astype(np.int64) for c in ("core", "extent"))
+            return out | {"c1": cores[:, 0], "c2": cores[:, 1], "e1": extents[:, 0], "e2": extents[:, 1]}
+
+        return each
+
+    return map_batches(pieces, "row long, pos int, low int, high int, least int, most int, c1 long, c2 long, e1 long, e2 long", start)
+
+
+def _split_groups(texts: DataFrame, length: int, gram: int, bound: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Splits groups of over `bound` anchors: (ranges (row, lo, hi) of window starts known to occur again, and entries (row, pos, least, most, key) of groups that fit).
+
+    Anchors whose windows have equal bytes throughout are one entry: all their windows occur again. What is left of a group
+    is cut in two by the windows' offset and dealt out by the bytes that all windows of a half share, until it fits; a half
+    of one offset has one entry for each different window, so the cutting ends.
+    """
+    texts = texts.where(F.exists("anchors", lambda m: m["large"]))
+    whole = F.transform(
+        F.filter("anchors", lambda m: m["large"]),
+        lambda m: F.struct(m["pos"].alias("pos"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"), (m["pos"] - m["last"]).alias("least"), (m["pos"] - m["first"]).alias("most")),
+    )
+    pieces, again, entries = texts.select("row", "packed", whole.alias("pieces")), [], []
+    while True:
+        hashed = stage(_piece_hashes(pieces, length), "pieces")
+        rep = F.min(F.struct("row", "pos", "low", "high", "least", "most")).alias("rep")
+        classes = stage(hashed.groupBy("c1", "c2", "e1", "e2").agg(F.count("*").alias("n"), rep), "piece-classes")
+        copied = join_counted(hashed, classes.where("n > 1").select("e1", "e2", "n"), ["e1", "e2"])
+        again.append(copied.select("row", (F.col("pos") - F.col("most")).cast("long").alias("lo"), (F.col("pos") - F.col("least")).cast("long").alias("hi")))
+        groups = classes.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1")
+        left = stage(join_counted(classes.select("c1", "c2", "rep"), groups, ["c1", "c2"]).select("c1", "n", "rep.*"), "piece-groups")
+        entries.append(left.where(F.col("n") <= bound).select("row", "pos", "least", "most", F.col("c1").alias("key")))
+        large = left.where(F.col("n") > bound)
+        if large.isEmpty():
+            return reduce(DataFrame.union, again), reduce(DataFrame.union, entries)
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.explode(F.array(
+            F.struct("pos", "low", middle.alias("high"), "least", F.least("most", middle).alias("most")),
+            F.struct("pos", (middle + 1).alias("low"), "high", F.greatest("least", middle + 1).alias("least"), "most"),
+        ))
+        cut = large.select("row", halves.alias("x")).where("x.least <= x.most").groupBy("row").agg(F.collect_list("x").alias("pieces"))
+        pieces = cut.join(texts.select("row", "packed"), "row").select("row", "packed", "pieces")
+
+
+def _runs(texts: DataFrame, parts: int, length: int) -> DataFrame:
+    """(part, run): front-coded sorted runs of the suffixes of texts' entries (pos, least, most, key) for each range of keys."""
 
     def run(batches):
         unpack, held, n = zstandard.ZstdDecompressor(), {}, 0
 
         def flush():
-            parts = sorted(held)
-            blobs = [front_code(sorted(held[p])) for p in parts]
+            those = sorted(held)
+            blobs = [front_code(sorted(held[p])) for p in those]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
+            return pa.RecordBatch.from_arrays([pa.array(those, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
 
         for batch in chain.from_iterable(map(sliced, batches)):
-            for row, packed, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "anchors")), strict=True):
+            for row, packed, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "entries")), strict=True):
                 raw = unpack.decompress(packed)
                 for m in marks:
-                    if m["hot"]:
-                        continue
-                    pos, least, most = m["pos"], m["pos"] - m["last"], m["pos"] - m["first"]
-                    g = m["g"] & ((1 << 64) - 1)
-                    entry = (g.to_bytes(8, "big") + raw[pos : pos + length - least], raw[pos - most : pos], row, pos, least, most)
-                    held.setdefault(g * ranges >> 64, []).append(entry)
+                    pos, least, most = m["pos"], m["least"], m["most"]
+                    key = m["key"] & ((1 << 64) - 1)
+                    entry = (key.to_bytes(8, "big") + raw[pos : pos + length - least], raw[pos - most : pos], row, pos, least, most)
+                    held.setdefault(key * parts >> 64, []).append(entry)
                     n += 1
                 if n >= RUN:
                     yield flush()
@@ -187,7 +254,7 @@ def repeated_windows(members: list[tuple[bytes, int, tuple]], length: int) -> li
     return out
 
 
-def _from_runs(runs: DataFrame, length: int) -> DataFrame:
+def _from_runs(runs: DataFrame, parts: int, length: int) -> DataFrame:
     """(row, lo, hi): ranges of window starts that occur again, by merging the runs of each range."""
 
     def merge(table: pa.Table) -> pa.Table:
@@ -210,81 +277,64 @@ def _from_runs(runs: DataFrame, length: int) -> DataFrame:
         settle()
         return pa.table({"row": pa.array(rows, pa.int64()), "lo": pa.array(los, pa.int64()), "hi": pa.array(his, pa.int64())})
 
-    return runs.groupBy("part").applyInArrow(merge, "row long, lo long, hi long")
+    # as many partitions as parts, so that no task gathers more than a few of them
+    return runs.repartition(parts, "part").groupBy("part").applyInArrow(merge, "row long, lo long, hi long")
 
 
-def _hot_windows(texts: DataFrame, length: int) -> DataFrame:
-    """(row, lo, hi) of the windows of hot grams: all hashed, counted with partial sums, and those found again joined back."""
+def _spans(starts: DataFrame, length: int) -> DataFrame:
+    """(row, runs of bytes to remove) from ranges of window starts; a row's ranges are met in order, not gathered."""
+    by_start = W.partitionBy("row").orderBy("lo", "hi")
+    reach = F.max("hi").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    begins = starts.withColumn("begins", F.coalesce(F.col("lo") > reach + length, F.lit(True)).cast("long"))
+    runs = begins.withColumn("run", F.sum("begins").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy("row", "run").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end"))
+    return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
-    def start():
-        unpack, one, two = zstandard.ZstdDecompressor(), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0x165667B19E3779F9)
 
-        def each(batch: pa.RecordBatch):
-            rows, starts, h1, h2 = [], [], [], []
-            for row, packed, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "anchors")), strict=True):
-                if not any(m["hot"] for m in marks):
-                    continue
-                raw = unpack.decompress(packed)
-                at = np.concatenate([np.arange(m["first"], m["last"] + 1) for m in marks if m["hot"]])
-                rows.append(np.full(len(at), row))
-                starts.append(at)
-                h1.append(one.grams(one.prefix(raw), length)[at])
-                h2.append(two.grams(two.prefix(raw), length)[at])
-            if not rows:
-                return None
-            return {"row": np.concatenate(rows), "at": np.concatenate(starts), "h1": np.concatenate(h1).view(np.int64), "h2": np.concatenate(h2).view(np.int64)}
-
-        return each
-
-    windows = map_batches(texts, "row long, at long, h1 long, h2 long", start)
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return windows.join(again, ["h1", "h2"]).select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
-
-
-def _spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
-        else:
-            out.append([lo, hi + length])
-    return [(a, b) for a, b in out]
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end in bytes: the maximal runs to remove) and kept_sha256 for each row of docs.
 
-    Null and empty texts have no bytes; repeated rows are copies of each other, whatever their ids; texts shorter than length
-    keep all; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have no bytes; repeated rows are copies of each other, whatever their ids, and lose all from `length`
+    bytes on; texts shorter than length keep all; texts of any length are judged whole (a text of one repeated byte has an
+    anchor a byte); which of equal rows represents them changes no result; an empty table gives no rows; other columns are
+    ignored.
     """
     docs = id_and_text(docs, id_col, text_col).select(plain_id().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), "text")
     rows = stage(_scan(docs, length, gram), "scan")
-    classes = stage(rows.groupBy("t1", "t2").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
+    classes = stage(rows.groupBy("t1", "t2").agg(F.min("row").alias("row"), F.count("*").alias("n")), "classes")
     reps = rows.join(classes.select("row"), "row")
-    texts, n = _candidate_texts(docs, reps, hot)
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // RUN + 1)
-    found = _from_runs(_runs(texts, ranges, length), length)
-    if not texts.where(F.exists("anchors", lambda m: m["hot"])).isEmpty():
-        found = found.union(_hot_windows(texts, length))
-    by_row = found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).join(texts.select("row", "packed"), "row")
+    texts, n, large = _candidate_texts(docs, reps, bound)
+    plain = F.transform(
+        F.filter("anchors", lambda m: ~m["large"]),
+        lambda m: F.struct(m["pos"].alias("pos"), (m["pos"] - m["last"]).alias("least"), (m["pos"] - m["first"]).alias("most"), m["g"].alias("key")),
+    )
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PART + 1)
+    runs = _runs(texts.select("row", "packed", plain.alias("entries")), parts, length)
+    again = []
+    if large:
+        known, entries = _split_groups(texts, length, gram, bound)
+        again.append(known)
+        by_row = entries.groupBy("row").agg(F.collect_list(F.struct("pos", "least", "most", "key")).alias("entries"))
+        runs = runs.union(_runs(by_row.join(texts.select("row", "packed"), "row").select("row", "packed", "entries"), parts, length))
+    starts = reduce(DataFrame.union, again, _from_runs(runs, parts, length))
+    by_row = _spans(starts, length).join(texts.select("row", "packed"), "row")
 
     def start():
         unpack = zstandard.ZstdDecompressor()
 
         def each(batch: pa.RecordBatch):
-            spans, digests = [], []
-            for ranges, packed in zip(batch.column("ranges").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                raw, runs = unpack.decompress(packed), _spans(ranges, length)
-                edges = [0, *(x for r in runs for x in r), len(raw)]
+            digests = []
+            for runs, packed in zip(batch.column("spans").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                raw = unpack.decompress(packed)
+                edges = [0, *(x for r in runs for x in (r["start"], r["end"])), len(raw)]
                 digests.append(hashlib.sha256(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))).hexdigest())
-                spans.append([{"start": a, "end": b} for a, b in runs])
-            return {"row": batch.column("row"), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "cut_sha": digests}
+            return {"row": batch.column("row"), "spans": batch.column("spans"), "cut_sha": digests}
 
         return each
 
     cut = map_batches(by_row, "row long, spans array<struct<start: long, end: long>>, cut_sha string", start)
-    out = rows.select("row", "doc", "t1", "t2", "n_bytes", "sha").join(cut, "row", "left").join(classes.select("t1", "t2", "copies"), ["t1", "t2"])
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    out = join_counted(rows.select("row", "doc", "t1", "t2", "n_bytes", "sha"), classes.where("n > 1").select("t1", "t2", "n"), ["t1", "t2"], "left").join(cut, "row", "left")
+    copied = F.col("n").isNotNull() & (F.col("n_bytes") >= length)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     return out.select(

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from helpers import frame, mixed_rows
+from helpers import frame, mixed_rows, prose
 
 from tessera.llm.lcp_merge import common_prefix, decoded, front_code, merged
 from tessera.llm.suffix_dedup import repeated_spans
@@ -40,8 +40,20 @@ def test_against_brute_force(spark):
     rows = pieced(3, 80) + [(None, "n" * 200), (None, None), (7, "same row " * 12), (7, "same row " * 12)] + mixed_rows()
     want = brute(rows, 60)
     assert got(repeated_spans(frame(spark, rows), length=60, gram=15)) == want
-    # grams over the bound take the other way, with the same result
-    assert got(repeated_spans(frame(spark, rows), length=60, gram=15, hot=3)) == want
+    # groups over the bound are split, with the same result
+    for bound in (3,):
+        assert got(repeated_spans(frame(spark, rows), length=60, gram=15, bound=bound)) == want
+
+
+def test_large_groups_at_production_size(spark):
+    """One passage in 400 documents of other text around it, texts of short periods, and a bound that all of them exceed."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, prose(rng, 40) + passage[rng.randint(0, 150) : 900 - rng.randint(0, 200)] + prose(rng, 40)) for i in range(400)]
+    rows += [(1000 + i, unit * 120 + prose(rng, 70)) for i, unit in enumerate(["a", "ab", "one line of it\n", "one line of it\n"])]
+    want = brute(rows, 400)
+    assert got(repeated_spans(frame(spark, rows), bound=50)) == want
+    assert got(repeated_spans(frame(spark, rows))) == want
 
 
 def test_production_parameters(spark):
