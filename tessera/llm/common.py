@@ -57,17 +57,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_counted(big: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", floor: int = 1000, most: int = 100_000) -> DataFrame:
+def join_counted(big: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", wide: bool = False, floor: int = 1000, most: int = 100_000) -> DataFrame:
     """big joined with keys, which has one row a key and, in n, the number of rows of big with it (and may lack keys).
 
-    Keys with more than a 1/most share of the rows of `keys` (and than floor) are broadcast, `most` rows at the utmost, so that
-    their rows stay where they are; all others meet by a shuffle, in which no key is large.
+    Keys with more than a 1/most share of the rows of `keys` (and than floor) are heavy, `most` of them at the utmost. They are
+    broadcast, so that their rows stay where they are; if the rows of keys are wide, only the heavy keys' numbers are, and
+    their rows are dealt out in shares of that bound, each to a copy of the key's row. All others meet by a shuffle.
     """
     total = keys.agg(F.sum("n")).first()[0] or 0
     bound = max(floor, total // most)
-    heavy = F.broadcast(keys.where(F.col("n") > bound))
-    light = big.join(F.broadcast(keys.where(F.col("n") > bound).select(*on)), on, "left_anti").join(keys.where(F.col("n") <= bound), on, how)
-    return light if total <= bound else light.unionByName(big.join(heavy, on))
+    if total <= bound:
+        return big.join(keys, on, how)
+    if wide:
+        shares = F.ceil(F.col("n") / bound).cast("int")
+        heavy = F.broadcast(keys.where(F.col("n") > bound).select(*on, shares.alias("shares")))
+        dealt = big.join(heavy, on, "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64(*big.columns), "shares"), F.lit(0)).cast("int")).drop("shares")
+        return dealt.join(keys.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))), [*on, "share"], how).drop("share")
+    heavy = keys.where(F.col("n") > bound)
+    light = big.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys.where(F.col("n") <= bound), on, how)
+    return light.unionByName(big.join(F.broadcast(heavy), on))
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,11 +5,12 @@ values of a sketch first: sets of Jaccard J >= 0.8 share so many retained values
 (for sets larger than k but for a chance of about 1e-6). A union-sketch estimate filters the pairs and an exact Jaccard over
 the full shingle sets confirms each link; links are joined to components.
 
-Documents with equal sets are one class with one representative. A value that many classes hold makes a hot list, which is not
-expanded into pairs. First every member is compared with the list's most central members; this joins nearly all that belongs
-together. Members outside the component of their list's centre are then compared exactly with all members of other components, in pairs of blocks of bounded size over the full shingle sets; a
-pair of blocks gives out a spanning forest of its links at most. So no link between components is lost, and no task holds more
-than two blocks.
+Documents with equal sets are one class with one representative. A list of more than a few classes is split by set size, as
+sets of 0.8 differ by a quarter in size at most; lists of the same members are one. What is still long is not expanded into
+pairs. First every member is compared with the list's most central members; this joins nearly all that belongs together.
+Members outside the component of their list's centre are then compared exactly with all members of other components, in pairs
+of blocks of bounded size over the full shingle sets; a pair of blocks gives out a spanning forest of its links at most. So no
+link between components is lost, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_lists, gram_hashes, id_and_text, map_batches, null_id, plain_id, stage
+from .common import WordHashes, arrow_lists, gram_hashes, id_and_text, join_counted, map_batches, null_id, plain_id, stage
 from .components import connected_components
 
 SHINGLE = 4
@@ -33,8 +34,10 @@ SHARED = 0.5625
 SLACK = 0.225
 #: Lists of up to so many classes are expanded into pairs.
 COLD = 32
-#: Members of a block when the rest of a hot list is compared.
-BLOCK = 2048
+#: Members of a block when the rest of a long list is compared (a few MB of text).
+BLOCK = 512
+#: Sizes of linked sets differ by a factor of 1.25 at most, so they are in the same step of this width or in neighbouring ones.
+STEP = 1.26
 
 
 def shingles(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
@@ -66,8 +69,8 @@ def sketches(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, id_col: str = "
 def _prefixes(classes: DataFrame, k: int) -> DataFrame:
     """(value, df, node, n, hot): the rarest shared values of each sketch, enough of them to find every partner."""
     values = classes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    lists = values.join(shared, "value")
+    shared = stage(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "values")
+    lists = join_counted(values.withColumnRenamed("n", "size"), shared, ["value"]).withColumnsRenamed({"n": "df", "size": "n"})
     by_rarity = W.partitionBy("node").orderBy("df", "value")
     whole = W.partitionBy("node")
     ranked = lists.withColumns({
@@ -83,27 +86,53 @@ def _fitting(x: str, y: str):
     return (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
 
 
-def _cold_pairs(lists: DataFrame) -> DataFrame:
-    cold = lists.where(F.col("df") <= COLD)
-    a, b = (cold.select("value", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    return a.join(b, "value").where((F.col("a") < F.col("b")) & _fitting("n_a", "n_b")).groupBy("a", "b").agg(F.count("*").alias("overlap")).select("a", "b")
+def _short_pairs(lists: DataFrame, on: list[str]) -> DataFrame:
+    """All pairs of fitting sizes within short lists."""
+    a, b = (lists.select(*on, F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return a.join(b, on).where((F.col("a") < F.col("b")) & _fitting("n_a", "n_b")).select("a", "b")
 
 
-def _hot_pairs(hot: DataFrame) -> DataFrame:
-    """Each member of a hot list with its two centres: the member that holds the most common values, of all and of a quarter."""
+def _cells(hot: DataFrame) -> DataFrame:
+    """(value, cell, node, n, hot, upper, members): long lists split by set size. A cell holds the members of one step of sizes and,
+    marked upper, those of the next step, which are compared with the former only. Of cells with the same members one stays."""
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(STEP))).cast("int")
+    split = hot.select("value", "node", "n", "hot", F.explode(F.array(F.struct(step.alias("cell"), F.lit(False).alias("upper")), F.struct((step - 1).alias("cell"), F.lit(True).alias("upper")))).alias("c"))
+    split = split.select("value", "node", F.col("n").alias("size"), "hot", "c.cell", "c.upper")
+    mark = F.xxhash64("node", "upper")
+    about = split.groupBy("value", "cell").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("upper")).alias("own"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y")
+    ).where("own > 0 and n > 1")
+    one = about.groupBy("cell", "n", "x", "y").agg(F.min("value").alias("value")).select("value", "cell", "n")
+    cells = join_counted(split, stage(one, "cells"), ["value", "cell"])
+    return stage(cells.withColumnsRenamed({"n": "members", "size": "n"}), "cell-members")
+
+
+def _star_pairs(cells: DataFrame) -> DataFrame:
+    """Each member of a long cell with its two centres: the own member that holds the most common values, of all and of a quarter."""
     drawn = F.pmod(F.xxhash64("node"), F.lit(4)) == 0
     best = F.struct("hot", (-F.col("node")).alias("minus"), "n")
-    centres = hot.groupBy("value").agg(F.max(best).alias("one"), F.max(F.when(drawn, best)).alias("two"))
-    centres = centres.select("value", F.explode(F.array_distinct(F.array_compact(F.array("one", "two")))).alias("c"))
-    centres = centres.select("value", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("n_c"))
-    stars = hot.join(centres, "value").where((F.col("node") != F.col("centre")) & _fitting("n", "n_c"))
-    return stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    own = F.when(~F.col("upper"), best)
+    centres = cells.groupBy("value", "cell").agg(F.max(own).alias("one"), F.max(F.when(drawn, own)).alias("two"), F.count("*").alias("n"))
+    centres = centres.select("value", "cell", "n", F.array_distinct(F.array_compact(F.array("one", "two"))).alias("centres"))
+    members = cells.select("value", "cell", "node", F.col("n").alias("size"))
+    stars = join_counted(members, stage(centres, "centres"), ["value", "cell"]).select("node", "size", F.explode("centres").alias("c"))
+    stars = stars.select("node", F.col("size").alias("n"), (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("n_c"))
+    stars = stars.where((F.col("node") != F.col("centre")) & _fitting("n", "n_c"))
+    return stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def _attached(pairs: DataFrame, table: DataFrame, column: str, alias: str) -> DataFrame:
+    """pairs with a column of table (by node) for either side; a node of many pairs is dealt out."""
+    for x in "ab":
+        asked = pairs.groupBy(x).agg(F.count("*").alias("n"))
+        keys = table.select(F.col("node").alias(x), F.col(column).alias(f"{alias}_{x}")).join(asked, x)
+        pairs = join_counted(pairs, keys, [x], wide=True).drop("n")
+    return pairs
 
 
 def _estimated(pairs: DataFrame, sketch_of: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs whose union sketch does not rule out the threshold."""
-    for x in "ab":
-        pairs = pairs.join(sketch_of.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
+    pairs = _attached(pairs, sketch_of, "sketch", "sketch")
 
     def start():
         def each(batch: pa.RecordBatch):
@@ -128,8 +157,7 @@ def _estimated(pairs: DataFrame, sketch_of: DataFrame, k: int, threshold: float)
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union over the full sets."""
-    for x in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}")), x)
+    pairs = _attached(pairs, texts, "packed", "text")
 
     def start():
         hashes, unpack, kept = WordHashes(), zstandard.ZstdDecompressor(), {}
@@ -197,22 +225,21 @@ def _forest(table: pa.Table, n: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _rest_of_hot_lists(hot: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between components within the hot lists, by pairs of blocks."""
-    rows = hot.select("value", "node", "n", "hot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    about = rows.groupBy("value").agg(
-        F.max(F.struct("hot", (-F.col("node")).alias("minus"), "label"))["label"].alias("major"), F.count("*").alias("members"),
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-    ).where("lo <> hi").select("value", "major", "members")
-    rows = rows.join(about, "value").withColumns({
-        "blocks": F.ceil(F.col("members") / BLOCK).cast("int"),
-        "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int"),
-    })
+def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components within the long cells, by pairs of blocks: members outside their centre's component with all others."""
+    rows = cells.select("value", "cell", "node", F.col("n").alias("size"), "hot", "upper").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = F.when(~F.col("upper"), F.struct("hot", (-F.col("node")).alias("minus"), "label"))
+    about = rows.groupBy("value", "cell").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    about = stage(about.where("lo <> hi").select("value", "cell", "major", "n"), "rest")
+    rows = join_counted(rows, about, ["value", "cell"]).withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")})
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    minor = rows.where("label <> major").select("value", F.col("block").alias("i"), every.alias("j"), "node", "label", F.lit(0).alias("side"))
-    mates = rows.select("value", every.alias("i"), F.col("block").alias("j"), "node", "label", F.lit(1).alias("side"))
-    both = minor.union(mates.join(minor.select("value", "i").distinct(), ["value", "i"], "left_semi"))
-    pairs = both.join(texts, "node").groupBy("value", "i", "j").applyInArrow(lambda t: _forest(t, n, percent), "a long, b long")
+    minor = rows.where("label <> major").select("value", "cell", F.col("block").alias("i"), every.alias("j"), "node", "label", F.lit(0).alias("side"))
+    mates = rows.select("value", "cell", every.alias("i"), F.col("block").alias("j"), "node", "label", F.lit(1).alias("side"))
+    # one row a pair of blocks; a cell's own rows are in it at most so often as it has blocks
+    both = stage(minor.union(mates.join(minor.select("value", "cell", "i").distinct(), ["value", "cell", "i"], "left_semi")), "blocks")
+    asked = both.groupBy("node").agg(F.count("*").alias("n"))
+    both = join_counted(both, texts.join(asked, "node"), ["node"], wide=True)
+    pairs = both.groupBy("value", "cell", "i", "j").applyInArrow(lambda t: _forest(t, n, percent), "a long, b long")
     return pairs.distinct()
 
 
@@ -236,28 +263,33 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent:
     """
     docs = id_and_text(docs, id_col, text_col)
     rows = stage(sketches(docs, n, k), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc", "tk")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stage(classes.select("f1", "f2", "rep.doc", "rep.tk", "n", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
-    sketch_of = classes.select("node", "sketch")
+    classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(
+        F.min(F.struct("doc", "tk")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
+    )
+    classes = stage(classes.select("f1", "f2", "rep.doc", "rep.tk", "n", "sketch", "copies", F.monotonically_increasing_id().alias("node")), "classes")
     lists = stage(_prefixes(classes, k), "lists")
-    hot = lists.where(F.col("df") > COLD)
-    pairs = stage(_estimated(_cold_pairs(lists).union(_hot_pairs(hot)).distinct(), sketch_of, k, percent / 100), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
+    cells = _cells(lists.where(F.col("df") > COLD))
+    short, long = cells.where(F.col("members") <= COLD), cells.where(F.col("members") > COLD)
+    pairs = _short_pairs(lists.where(F.col("df") <= COLD), ["value"]).union(_short_pairs(short, ["value", "cell"])).union(_star_pairs(long)).distinct()
+    pairs = stage(_estimated(stage(pairs, "candidates"), classes.select("node", "sketch"), k, percent / 100), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long.select("node")).distinct()
     texts = stage(_packed_texts(docs, classes.join(needed, "node").select("node", "doc", "tk")).select("node", "packed"), "texts")
     labels = connected_components(_confirmed(pairs, texts, n, percent))
-    if not hot.isEmpty():
+    if not long.isEmpty():
         labels = stage(labels, "labels")
-        rest = _rest_of_hot_lists(hot, labels, texts, n, percent)
+        rest = _rest_of_cells(long, labels, texts, n, percent)
         for x in "ab":
             rest = rest.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}")), x, "left")
         # the links that are left join whole components, so their graph is that of the labels
-        joined = connected_components(rest.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
-        over = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti"))
-    named = classes.join(labels, "node", "left").select("f1", "f2", "doc", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc").alias("component"))
-    of_class = named.join(smallest, "label").select("f1", "f2", "component")
-    out = rows.select("doc", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")))
+        joined = stage(connected_components(rest.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))), "joined")
+        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+        over = joined.select(F.col("node").alias("label"), F.col("label").alias("top")).join(sizes, "label")
+        labels = join_counted(labels, over, ["label"], "left").select("node", F.coalesce("top", "label").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti"))
+    named = stage(classes.join(labels, "node", "left").select("f1", "f2", "copies", "doc", F.coalesce("label", "node").alias("label")), "named")
+    smallest = named.groupBy("label").agg(F.min("doc").alias("component"), F.count("*").alias("n"))
+    of_class = join_counted(named, smallest, ["label"]).select("f1", "f2", "component", F.col("copies").alias("n"))
+    out = join_counted(rows.select("doc", "n_shingles", "f1", "f2"), stage(of_class, "components"), ["f1", "f2"], "left")
+    out = out.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")))
     return out.select(null_id("doc").alias("doc_id"), "n_shingles", null_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
 
