@@ -95,9 +95,13 @@ def _short_pairs(lists: DataFrame, on: list[str]) -> DataFrame:
 def _cells(hot: DataFrame) -> DataFrame:
     """(value, cell, node, n, hot, upper, members): long lists split by set size. A cell holds the members of one step of sizes and,
     marked upper, those of the next step, which are compared with the former only. Of cells with the same members one stays."""
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(STEP))).cast("int")
-    split = hot.select("value", "node", "n", "hot", F.explode(F.array(F.struct(step.alias("cell"), F.lit(False).alias("upper")), F.struct((step - 1).alias("cell"), F.lit(True).alias("upper")))).alias("c"))
-    split = split.select("value", "node", F.col("n").alias("size"), "hot", "c.cell", "c.upper")
+    step = F.floor(F.log(F.col("size")) / F.log(F.lit(STEP))).cast("int")
+    # a list whose sizes all fit each other is one cell
+    spread = hot.groupBy("value").agg(F.count("*").alias("n"), (5 * F.min("n") >= 4 * F.max("n")).alias("even"))
+    told = join_counted(hot.select("value", "node", F.col("n").alias("size"), "hot"), stage(spread, "spread"), ["value"])
+    own, above = F.struct(step.alias("cell"), F.lit(False).alias("upper")), F.struct((step - 1).alias("cell"), F.lit(True).alias("upper"))
+    split = told.select("value", "node", "size", "hot", F.explode(F.when(F.col("even"), F.array(F.struct(F.lit(-2).alias("cell"), F.lit(False).alias("upper")))).otherwise(F.array(own, above))).alias("c"))
+    split = split.select("value", "node", "size", "hot", "c.cell", "c.upper")
     mark = F.xxhash64("node", "upper")
     about = split.groupBy("value", "cell").agg(
         F.count("*").alias("n"), F.count_if(~F.col("upper")).alias("own"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y")
@@ -227,7 +231,9 @@ def _forest(table: pa.Table, n: int, percent: int) -> pa.Table:
 
 def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between components within the long cells, by pairs of blocks: members outside their centre's component with all others."""
-    rows = cells.select("value", "cell", "node", F.col("n").alias("size"), "hot", "upper").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # a node is in a bounded number of cells, so it meets its label once
+    by_node = cells.groupBy("node").agg(F.first("hot").alias("hot"), F.collect_list(F.struct("value", "cell", "upper")).alias("cells")).join(labels, "node", "left")
+    rows = stage(by_node.select("node", "hot", F.coalesce("label", "node").alias("label"), F.explode("cells").alias("c")).select("node", "hot", "label", "c.*"), "labelled")
     best = F.when(~F.col("upper"), F.struct("hot", (-F.col("node")).alias("minus"), "label"))
     about = rows.groupBy("value", "cell").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     about = stage(about.where("lo <> hi").select("value", "cell", "major", "n"), "rest")

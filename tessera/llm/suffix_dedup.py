@@ -6,9 +6,9 @@ the others go, as front-coded sorted runs, to ranges of the anchor hash, where a
 prefix merges them. Neighbours' common prefixes to the right, and the same of the left contexts, tell exactly which of an
 anchor's windows occur again. Texts with equal bytes are one class with one representative.
 
-A gram that more anchors hold than a task should gather (`bound`) is split before the merge: anchors with equal windows become
-one entry, and the rest are dealt out by more of their bytes, half of the windows at a time, until each group fits. Every
-group is then merged and settled in the same way; none is gathered whole.
+Before the merge, anchors with equal windows become one entry. A gram that more entries hold than a task should gather
+(`bound`) is split: they are dealt out by more of their bytes, half of the windows at a time, until each group fits. Every group
+is merged and settled in the same way; none is gathered whole.
 """
 
 from __future__ import annotations
@@ -114,14 +114,13 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def _candidate_texts(docs: DataFrame, reps: DataFrame, bound: int) -> tuple[DataFrame, int, int]:
-    """(row, packed text, anchors whose gram occurs again) of the representatives that have such, the anchors' number, and how
-    many of them are in groups of over `bound`."""
+def _candidate_texts(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, int]:
+    """(row, packed text, anchors whose gram occurs again) of the representatives that have such, and the anchors' number."""
     each = reps.select("row", F.explode(F.arrays_zip("g", "pos", "first", "last")).alias("x")).select("row", "x.*")
     again = stage(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "grams")
-    found = join_counted(each, again, ["g"]).select("row", F.struct("pos", "first", "last", "g", (F.col("n") > bound).alias("large")).alias("x"))
+    found = join_counted(each, again, ["g"]).select("row", F.struct("pos", "first", "last").alias("x"))
     wanted = stage(found.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("anchors")).join(reps.select("row", "doc", "tk"), "row"), "anchors")
-    n, large = wanted.agg(F.sum(F.size("anchors")), F.sum(F.size(F.filter("anchors", lambda m: m["large"])))).first()
+    n = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
 
     def start():
         pack = zstandard.ZstdCompressor(level=1)
@@ -129,8 +128,7 @@ def _candidate_texts(docs: DataFrame, reps: DataFrame, bound: int) -> tuple[Data
 
     packed = map_batches(docs, "doc long, tk long, packed binary", start)
     # a repeated row is the same text again; the join has brought both to one place
-    texts = stage(packed.join(wanted, ["doc", "tk"]).dropDuplicates(["doc", "tk"]).select("row", "packed", "anchors"), "texts")
-    return texts, n or 0, large or 0
+    return stage(packed.join(wanted, ["doc", "tk"]).dropDuplicates(["doc", "tk"]).select("row", "packed", "anchors"), "texts"), n
 
 
 def _piece_hashes(pieces: DataFrame, length: int) -> DataFrame:
@@ -160,16 +158,15 @@ def _piece_hashes(pieces: DataFrame, length: int) -> DataFrame:
     return map_batches(pieces, "row long, pos int, low int, high int, least int, most int, c1 long, c2 long, e1 long, e2 long", start)
 
 
-def _split_groups(texts: DataFrame, length: int, gram: int, bound: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Splits groups of over `bound` anchors: (ranges (row, lo, hi) of window starts known to occur again, and entries (row, pos, least, most, key) of groups that fit).
+def _groups(texts: DataFrame, length: int, gram: int, bound: int) -> tuple[DataFrame, DataFrame]:
+    """(row, lo, hi) of window starts known to occur again, and the entries (row, pos, least, most, key) of groups to merge.
 
-    Anchors whose windows have equal bytes throughout are one entry: all their windows occur again. What is left of a group
-    is cut in two by the windows' offset and dealt out by the bytes that all windows of a half share, until it fits; a half
-    of one offset has one entry for each different window, so the cutting ends.
+    Anchors of a gram are a group. Anchors whose windows have equal bytes throughout are one entry: all their windows occur
+    again. A group of more than `bound` entries is cut in two by the windows' offset and dealt out by the bytes that all
+    windows of a half share, until it fits; a half of one offset has one entry for each different window, so the cutting ends.
     """
-    texts = texts.where(F.exists("anchors", lambda m: m["large"]))
     whole = F.transform(
-        F.filter("anchors", lambda m: m["large"]),
+        "anchors",
         lambda m: F.struct(m["pos"].alias("pos"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"), (m["pos"] - m["last"]).alias("least"), (m["pos"] - m["first"]).alias("most")),
     )
     pieces, again, entries = texts.select("row", "packed", whole.alias("pieces")), [], []
@@ -303,20 +300,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, boun
     rows = stage(_scan(docs, length, gram), "scan")
     classes = stage(rows.groupBy("t1", "t2").agg(F.min("row").alias("row"), F.count("*").alias("n")), "classes")
     reps = rows.join(classes.select("row"), "row")
-    texts, n, large = _candidate_texts(docs, reps, bound)
-    plain = F.transform(
-        F.filter("anchors", lambda m: ~m["large"]),
-        lambda m: F.struct(m["pos"].alias("pos"), (m["pos"] - m["last"]).alias("least"), (m["pos"] - m["first"]).alias("most"), m["g"].alias("key")),
-    )
+    texts, n = _candidate_texts(docs, reps)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PART + 1)
-    runs = _runs(texts.select("row", "packed", plain.alias("entries")), parts, length)
-    again = []
-    if large:
-        known, entries = _split_groups(texts, length, gram, bound)
-        again.append(known)
-        by_row = entries.groupBy("row").agg(F.collect_list(F.struct("pos", "least", "most", "key")).alias("entries"))
-        runs = runs.union(_runs(by_row.join(texts.select("row", "packed"), "row").select("row", "packed", "entries"), parts, length))
-    starts = reduce(DataFrame.union, again, _from_runs(runs, parts, length))
+    known, entries = _groups(texts, length, gram, bound)
+    by_row = entries.groupBy("row").agg(F.collect_list(F.struct("pos", "least", "most", "key")).alias("entries"))
+    runs = _runs(by_row.join(texts.select("row", "packed"), "row").select("row", "packed", "entries"), parts, length)
+    starts = known.union(_from_runs(runs, parts, length))
     by_row = _spans(starts, length).join(texts.select("row", "packed"), "row")
 
     def start():
