@@ -17,21 +17,31 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
+def folded(rows: DataFrame, key: str, order: str, ranks: dict[str, int], status: str) -> DataFrame:
+    """The state of each key: the last order seen, the status of the greatest rank (the later of equals), and of every other
+    column the last value that is not null, each with the order it came with.
+
+    Folding states again gives the state of all their rows, in whatever pieces and order they come, and however often.
+    """
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col(status)), F.lit(-1))
+    best = {c: F.struct(*([rank.alias("rank")] if c == status else []), F.col(order).alias("at"), F.col(c).alias("v")) for c in rows.columns if c not in (key, order)}
+    return rows.groupBy(key).agg(F.max(order).alias(order), *[F.max(F.when(F.col(c).isNotNull(), x)).alias(c) for c, x in best.items()])
+
+
+def refolded(states: DataFrame, key: str) -> DataFrame:
+    """One state a key out of several; equals are one, so that a state may come twice."""
+    return states.groupBy(key).agg(*[F.max(c).alias(c) for c in states.columns if c != key])
+
+
+def state_rows(states: DataFrame, key: str, order: str) -> DataFrame:
+    """The plain columns of states."""
+    return states.select(key, order, *[F.col(f"{c}.v").alias(c) for c in states.columns if c not in (key, order)])
+
+
 def upsert(archive: DataFrame, batch: DataFrame, key: str, order: str, ranks: dict[str, int], status: str) -> DataFrame:
-    """Merge a batch into an archive: nothing vanishes, later values win where they are not null, and a status never steps
-    back in rank."""
-    rank = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), c), F.lit(-1))
-    old, new = archive.alias("o"), keep_best(batch, [key], [F.desc(order)]).alias("n")
-    both = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
-    later = F.coalesce(F.col(f"n.{order}") >= F.col(f"o.{order}"), F.col(f"o.{key}").isNull())
-    cols = []
-    for c in archive.columns:
-        o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
-        if c == status:
-            cols.append(F.when(o.isNull() | (n.isNotNull() & (rank(n) >= rank(o))), n).otherwise(o).alias(c))
-        else:
-            cols.append(F.when(later, F.coalesce(n, o)).otherwise(F.coalesce(o, n)).alias(c))
-    return both.select(*cols)
+    """Merge a batch of rows into an archive of rows: nothing vanishes, later values win where they are not null, and a status
+    never steps back in rank."""
+    return state_rows(folded(archive.unionByName(batch), key, order, ranks, status), key, order)
 
 
 def expired(rows: DataFrame, done_at: str, now: Column, hours: float) -> DataFrame:

@@ -98,7 +98,7 @@ _FIGURES = """f AS (
 _POSITIONS = """p AS (
   SELECT o_orderkey, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS entry_idx, o_orderpriority AS kind,
          round((o_totalprice % 1000) / 20000 - 0.02, 6) AS net, round((o_custkey % 100) / 10000 - 0.004, 6) AS bench,
-         CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'complete' END AS status FROM orders WHERE o_orderkey % 5 = 0)"""
+         CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'complete' END AS status FROM orders)"""
 
 
 def _z(column: str, over: str) -> tuple[str, str]:
@@ -127,8 +127,8 @@ SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) < 8 AS widened,
     "decile_excess": """WITH r AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 8 + l_linenumber) AS rn, count(*) OVER () AS n FROM lineitem),
 d AS (SELECT *, CAST(least(10, floor((rn - 1) / floor(n / 10)) + 1) AS INTEGER) AS decile FROM r)
 SELECT decile, count(*) AS n, round(avg(l_discount), 3) AS mean_discount, min(l_extendedprice) AS from_price FROM d GROUP BY 1""",
-    "slot_portfolio": f"""WITH {_POSITIONS}, g AS (SELECT entry_idx % 21 AS slot, product(1 + net) AS growth, count(*) AS positions FROM p WHERE o_orderkey % 50 = 0 GROUP BY 1)
-SELECT CAST(s.s AS INTEGER) AS slot, round(coalesce(growth, 1), 3) AS growth, coalesce(positions, 0) AS positions FROM range(21) s(s) LEFT JOIN g ON g.slot = s.s""",
+    "slot_portfolio": f"""WITH {_POSITIONS}, g AS (SELECT entry_idx % 21 AS slot, sum(ln(1 + net)) AS l, count(*) AS positions FROM p GROUP BY 1)
+SELECT CAST(s.s AS INTEGER) AS slot, exp(round(coalesce(l, 0), 9)) AS growth, round(coalesce(l, 0), 6) AS log_growth, coalesce(positions, 0) AS positions FROM range(21) s(s) LEFT JOIN g ON g.slot = s.s""",
     "block_statistics": f"""WITH {_POSITIONS} SELECT CAST(floor((entry_idx - (SELECT min(entry_idx) FROM p)) / 21) AS BIGINT) AS block, count(*) AS n,
   round(avg(net), 4) + 0.0 AS mean_net, round(avg(net - bench), 4) + 0.0 AS mean_excess FROM p GROUP BY 1""",
     "position_recap": f"""WITH {_POSITIONS} SELECT kind, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'complete' AND net > 0) AS wins,

@@ -125,7 +125,7 @@ SELECT doc_id, normal, CASE WHEN length(title) <= 60 THEN title ELSE regexp_repl
     "title_jaccard_pairs": f"WITH {_TITLES}, {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs",
     "title_classes": f"""WITH {_TITLES}, {_PAIRS}, n AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY rep)
 SELECT doc_id, rep AS class_id, coalesce(links, 0) AS links FROM t JOIN reps USING (tokens) LEFT JOIN n USING (rep)""",
-    "rare_token_pairs": f"""WITH {_TITLES}, w AS (SELECT rep, unnest(tokens) AS token FROM reps), df AS (SELECT token FROM w GROUP BY token HAVING count(*) <= 8),
+    "rare_token_pairs": f"""WITH {_TITLES}, w AS (SELECT rep, unnest(tokens) AS token FROM reps), df AS (SELECT token FROM w GROUP BY token HAVING count(*) <= (SELECT greatest(2, floor(count(*) * 0.15)) FROM reps)),
 r AS (SELECT w.* FROM w JOIN df USING (token)), n AS (SELECT rep, count(*) AS n FROM r GROUP BY rep),
 p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM r a JOIN r b ON a.token = b.token AND a.rep < b.rep GROUP BY ALL HAVING count(*) >= 3)
 SELECT a, b, shared FROM p JOIN n x ON a = x.rep JOIN n y ON b = y.rep WHERE shared >= 0.25 * least(x.n, y.n)""",

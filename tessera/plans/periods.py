@@ -105,13 +105,13 @@ g AS (SELECT *, day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) AS gap
 s AS (SELECT o_custkey, max(day) AS last, median(gap) FILTER (WHERE rn <= 8) AS m, count(gap) FILTER (WHERE rn <= 8) AS n, max(gap) FILTER (WHERE rn <= 8) - min(gap) FILTER (WHERE rn <= 8) AS r FROM g GROUP BY 1)
 SELECT o_custkey, CAST(last AS VARCHAR) AS last, CAST(last + CAST(floor(m + 0.5) AS INTEGER) AS VARCHAR) AS expected,
   CAST(CASE WHEN n >= 2 THEN greatest(3, floor(r / 2 + 0.5)) ELSE 14 END AS INTEGER) AS spread, n AS n_gaps FROM s WHERE n > 0""",
-    "part_of_the_day": """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)
-SELECT CAST(d AS VARCHAR) AS day, p_partkey, p_name FROM d JOIN part ON p_partkey = datediff('day', DATE '1970-01-01', d) % 97""",
-    "snapshot_changes": """WITH o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS k FROM events WHERE ts >= '2024-01-03' AND ts < '2024-01-04' GROUP BY 1),
-n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS k FROM events WHERE ts >= '2024-01-04' AND ts < '2024-01-05' GROUP BY 1),
+    "part_of_the_day": """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
+SELECT CAST(d AS VARCHAR) AS day, p_partkey, p_name FROM d JOIN p ON i = datediff('day', DATE '1970-01-01', d) % n""",
+    "snapshot_changes": """WITH o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS k FROM events WHERE ts < '2024-01-04' GROUP BY 1),
+n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS k FROM events WHERE ts < '2024-01-05' GROUP BY 1),
 c AS (SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'came' WHEN n.user_id IS NULL THEN 'went' WHEN o.k <> n.k THEN 'changed' END AS change FROM o FULL JOIN n ON o.user_id = n.user_id)
 SELECT * FROM c WHERE change IS NOT NULL""",
-    "step_dates": """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error' AND user_id % 10 = 0)
+    "step_dates": """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error')
 SELECT user_id, CAST(d AS VARCHAR) AS day, CAST(lag(d) OVER w AS VARCHAR) AS before, CAST(lead(d) OVER w AS VARCHAR) AS after FROM d WINDOW w AS (PARTITION BY user_id ORDER BY d)""",
     "claimed_keys": """SELECT l_orderkey, l_linenumber, owner FROM (
   SELECT l_orderkey, l_linenumber, count(*) OVER k AS n, min(l_suppkey) OVER k AS owner, max(l_suppkey) OVER k AS other FROM lineitem WINDOW k AS (PARTITION BY l_partkey, CAST(l_shipdate AS DATE))) x

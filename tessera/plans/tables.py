@@ -129,7 +129,7 @@ def array_set_ops(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
-    """The events as a stream: latest value of each user and slot, with a status that never steps back."""
+    """The events as a stream: last value and order of each user and slot, with a status that never steps back in rank."""
     from ..streaming.upserts import stream_into_archive
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -137,7 +137,20 @@ def stream_upsert(spark, sf_dir):
         F.concat_ws(":", "user_id", (F.col("event_id") % 3).cast("string")).alias("key"), "event_id", F.col("event_type").alias("status"), "value")
     base = scratch(spark)
     out = stream_into_archive(spark, source, f"{base}/archive", f"{base}/checkpoint", "key", "event_id", "status", RANKS)
-    return out.select("key", "event_id", F.round("value", 4).alias("value"))
+    return out.select("key", "event_id", "status", F.round("value", 4).alias("value"))
+
+
+def replaced_days(spark, sf_dir):
+    """Events of which those of the last ten days replace all earlier ones of their users."""
+    e = _read(spark, sf_dir, "events").select("user_id", "event_id")
+    late = _read(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-21'").select("user_id", "event_id")
+    return merge.replace_by_key(e, late, ["user_id"])
+
+
+def orphan_parts(spark, sf_dir):
+    """Parts that the events name and the table of parts lacks."""
+    named = _read(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).distinct()
+    return merge.orphans(named, _read(spark, sf_dir, "part"), "k", "p_partkey")
 
 
 QUERIES = {
@@ -145,6 +158,7 @@ QUERIES = {
     for f in (
         buy_again, discover_unseen, fuzzy_search, rule_classify, dedupe_keep_best, ttl_expiry, slot_claim, renumber_orders, keep_last_n, quality_gate_report,
         row_problems, snapshot_gate, anti_semi_set_ops, array_set_ops, stream_upsert,
+        replaced_days, orphan_parts,
     )
 }
 ORACLE_SQL = {
@@ -152,7 +166,7 @@ ORACLE_SQL = {
   round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0.4 END * (0.4 + 0.6 * exp(-greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 86400) / 45))), 6) AS score,
   count(*) FILTER (WHERE event_type = 'purchase') AS times, max(ts) AS last_at
 FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1""",
-    "discover_unseen": """WITH h AS (SELECT l_partkey AS id FROM lineitem WHERE l_orderkey % 200 = 0), b AS (SELECT p.* FROM h JOIN part p ON p_partkey = id),
+    "discover_unseen": """WITH h AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events WHERE event_type IN ('purchase', 'view')), b AS (SELECT p.* FROM h JOIN part p ON p_partkey = id),
 tag AS (SELECT p_brand AS t, count(*) AS w FROM b GROUP BY 1), sec AS (SELECT p_type AS t, count(*) AS w FROM b GROUP BY 1),
 tok AS (SELECT t, count(*) AS w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS t FROM b) GROUP BY 1),
 fresh AS (SELECT * FROM part WHERE p_partkey NOT IN (SELECT id FROM h)),
@@ -185,6 +199,10 @@ SELECT day, n, lag(n) OVER (ORDER BY day) IS NULL OR n >= 0.8 * lag(n) OVER (ORD
   WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'calm' ELSE 'none' END AS kind FROM customer""",
     "array_set_ops": """WITH s AS (SELECT o_custkey, o_orderpriority AS p, bool_or(o_orderkey % 2 = 0) AS e, bool_or(o_orderkey % 2 = 1) AS d FROM orders GROUP BY 1, 2)
 SELECT o_custkey, CAST(count(*) FILTER (WHERE e AND d) AS INTEGER) AS shared, CAST(count(*) AS INTEGER) AS joined, CAST(count(*) FILTER (WHERE e AND NOT d) AS INTEGER) AS only_even FROM s GROUP BY 1""",
-    "stream_upsert": """WITH e AS (SELECT concat_ws(':', user_id, event_id % 3) AS key, event_id, event_type AS status, value FROM events)
-SELECT key, event_id, round(value, 4) AS value FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id DESC) = 1""",
+    "stream_upsert": """WITH e AS (SELECT concat_ws(':', user_id, event_id % 3) AS key, event_id, event_type AS status, value,
+  CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS r FROM events)
+SELECT key, max(event_id) AS event_id, arg_max(status, {'r': r, 'at': event_id}) AS status, round(arg_max(value, event_id) FILTER (WHERE value IS NOT NULL), 4) AS value FROM e GROUP BY 1""",
+    "replaced_days": """SELECT user_id, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-21' UNION ALL
+SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-21')""",
+    "orphan_parts": "SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) NOT IN (SELECT p_partkey FROM part)",
 }

@@ -1,30 +1,56 @@
-"""Incremental upserts: a file stream folded into the latest row of each key, exactly once, by foreachBatch.
+"""Incremental upserts: a file stream folded into one state a key, exactly once, by foreachBatch.
 
-The archive is versioned by batch: each batch writes a new version from the one before, so a batch that is run again after
-a failure overwrites its own version and nothing is applied twice.
+Each batch writes its own folded states as one version of a log, so a batch that is run again after a failure overwrites its
+own version, no batch rewrites the archive, and the result does not depend on how rows are dealt into batches. Reading folds
+the last base with the versions after it; compact() writes a new base.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import upsert
+from ..operators.merge import folded, refolded, state_rows
 
 
-def stream_into_archive(spark: SparkSession, source: DataFrame, archive: str, checkpoint: str, key: str, order: str, status: str, ranks: dict[str, int]) -> DataFrame:
-    """Run the stream to its end and return the archive's last version."""
-    last = {"id": -1}
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing written yet
+        return None
+
+
+def _states(spark: SparkSession, archive: str, key: str) -> DataFrame | None:
+    log, base = (_versions(spark, f"{archive}/{x}") for x in ("log", "base"))
+    if base is None:
+        return log if log is None else refolded(log.drop("archive_version"), key)
+    last = base.agg(F.max("archive_version")).first()[0]
+    return refolded(base.where(F.col("archive_version") == last).drop("archive_version").unionByName(log.where(F.col("archive_version") > last).drop("archive_version")), key)
+
+
+def read_archive(spark: SparkSession, archive: str, key: str, order: str) -> DataFrame | None:
+    """The rows of an archive, None where nothing was written."""
+    states = _states(spark, archive, key)
+    return states if states is None else state_rows(states, key, order)
+
+
+def compact(spark: SparkSession, archive: str, key: str) -> None:
+    """Write all versions so far as a base; they can then be deleted."""
+    states, log = _states(spark, archive, key), _versions(spark, f"{archive}/log")
+    if log is not None and (last := log.agg(F.max("archive_version")).first()[0]) is not None:
+        states.write.mode("overwrite").parquet(f"{archive}/base/archive_version={last}")
+
+
+def stream_into_archive(spark: SparkSession, source: DataFrame, archive: str, checkpoint: str, key: str, order: str, status: str, ranks: dict[str, int]) -> DataFrame | None:
+    """Run the stream to its end and return the archive's rows; a restart without new files returns what is there."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(batch.schema).parquet(f"{archive}/v={batch_id - 1}") if batch_id else session.createDataFrame([], batch.schema)
-        upsert(before, batch, key, order, ranks, status).write.mode("overwrite").parquet(f"{archive}/v={batch_id}")
-        last["id"] = max(last["id"], batch_id)
+        folded(batch, key, order, ranks, status).write.mode("overwrite").parquet(f"{archive}/log/archive_version={batch_id}")
 
     query = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{archive}/v={last['id']}")
+    return read_archive(spark, archive, key, order)
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -155,3 +155,43 @@ def test_next_by_median_gap_and_changes(spark):
     assert [tuple(r) for r in got] == [("a", date(2024, 1, 11), date(2024, 1, 16), 3, 2)]
     old, new = (spark.createDataFrame(x, "id int, v string") for x in ([(1, "x"), (2, "y"), (3, None)], [(1, "x"), (2, "z"), (3, None), (4, "n")]))
     assert {tuple(r) for r in calendar.changes(old, new, "id", ["v"]).collect()} == {(2, "changed"), (4, "came")}
+
+
+def test_upsert_in_any_batches(spark):
+    """The same state from one, two and many batches, in any order, with repeats."""
+    import itertools
+
+    rows = [("a", 1, "scheduled", 1.0), ("a", 2, "final", 5.0), ("a", 3, "scheduled", None), ("b", 4, None, None), ("b", 2, "scheduled", 2.0), ("a", 2, "final", 5.0)]
+    schema, ranks = "k string, at long, status string, v double", {"scheduled": 0, "final": 2}
+    whole = merge.folded(spark.createDataFrame(rows, schema), "k", "at", ranks, "status")
+    want = sorted(tuple(r) for r in merge.state_rows(whole, "k", "at").collect())
+    assert want == [("a", 3, "final", 5.0), ("b", 4, "scheduled", 2.0)]
+    for cut, flip in itertools.product((1, 3, 5), (False, True)):
+        parts = [rows[:cut], rows[cut:], rows[cut:]]
+        states = [merge.folded(spark.createDataFrame(p, schema), "k", "at", ranks, "status") for p in (parts[::-1] if flip else parts)]
+        both = merge.refolded(states[0].unionByName(states[1]).unionByName(states[2]), "k")
+        assert sorted(tuple(r) for r in merge.state_rows(both, "k", "at").collect()) == want
+
+
+def test_stream_restarts(spark, tmp_path):
+    """Batches of one file each, a restart without new files, and a compacted archive give the batch result."""
+    from tessera.streaming.upserts import compact, read_archive, stream_into_archive
+
+    schema, ranks = "k long, at long, status string, v double", {"view": 1, "purchase": 3}
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return sorted(tuple(r) for r in stream_into_archive(spark, source, f"{tmp_path}/archive", f"{tmp_path}/check", "k", "at", "status", ranks).collect())
+
+    land([(1, 1, "purchase", 2.0), (2, 2, "view", None)])
+    land([(1, 3, "view", None)])
+    want = [(1, 3, "purchase", 2.0), (2, 2, "view", None)]
+    assert run() == want
+    assert run() == want
+    compact(spark, f"{tmp_path}/archive", "k")
+    land([(2, 1, "purchase", 7.0)])
+    assert run() == [(1, 3, "purchase", 2.0), (2, 2, "purchase", 7.0)]
+    assert read_archive(spark, f"{tmp_path}/nothing", "k", "at") is None

@@ -1,38 +1,10 @@
-"""Queries that once read a part of their input, against DuckDB over all of it."""
+"""Operators whose queries once read a part of their input, on small fixtures."""
 
 import math
 
 import pytest
-from test_queries import D, canon, duck  # noqa: F401
 
 from tessera.operators import ranking
-from tessera.plans.catalog import ORACLE_SQL, QUERIES
-
-
-def same(spark, duck, name, sql):  # noqa: F811
-    df, rel = QUERIES[name](spark, D), duck.sql(sql)
-    assert sorted(df.columns) == sorted(rel.columns)
-    got = canon(df.columns, [tuple(r) for r in df.collect()])
-    assert got and got == canon(rel.columns, rel.fetchall())
-
-
-def without(name, *cuts):
-    """The query's SQL without its filters."""
-    sql = ORACLE_SQL[name]
-    for cut in cuts:
-        sql = sql.replace(cut, "")
-    return sql
-
-
-@pytest.mark.parametrize("name", ["position_recap", "block_statistics"])
-def test_all_orders(spark, duck, name):  # noqa: F811
-    same(spark, duck, name, without(name, " WHERE o_orderkey % 5 = 0"))
-
-
-def test_slot_portfolio_over_all_orders(spark, duck):  # noqa: F811
-    same(spark, duck, "slot_portfolio", """WITH p AS (SELECT datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) % 21 AS slot, round((o_totalprice % 1000) / 20000 - 0.02, 6) AS net FROM orders),
-g AS (SELECT slot, sum(ln(1 + net)) AS l, count(*) AS positions FROM p GROUP BY 1)
-SELECT CAST(s.s AS INTEGER) AS slot, exp(round(coalesce(l, 0), 9)) AS growth, round(coalesce(l, 0), 6) AS log_growth, coalesce(positions, 0) AS positions FROM range(21) s(s) LEFT JOIN g ON g.slot = s.s""")
 
 
 def test_slot_growth_beyond_a_double(spark):
@@ -41,23 +13,6 @@ def test_slot_growth_beyond_a_double(spark):
     assert got[0].log_growth == pytest.approx(3000 * math.log(2)) and got[1].growth == 0 and got[1].log_growth is None and got[2].log_growth == 0
 
 
-def test_step_dates_of_all_users(spark, duck):  # noqa: F811
-    same(spark, duck, "step_dates", without("step_dates", " AND user_id % 10 = 0"))
-
-
-def test_discover_unseen_after_all_events(spark, duck):  # noqa: F811
-    lines = "SELECT l_partkey AS id FROM lineitem WHERE l_orderkey % 200 = 0"
-    sql = ORACLE_SQL["discover_unseen"].replace(lines, "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events WHERE event_type IN ('purchase', 'view')")
-    same(spark, duck, "discover_unseen", sql)
-
-
-def test_rare_tokens_by_share(spark, duck):  # noqa: F811
-    cap = "HAVING count(*) <= 8"
-    share = "HAVING count(*) <= (SELECT greatest(2, floor(count(*) * 0.15)) FROM reps)"
-    assert cap in ORACLE_SQL["rare_token_pairs"]
-    same(spark, duck, "rare_token_pairs", ORACLE_SQL["rare_token_pairs"].replace(cap, share))
-
-
 def test_rare_tokens_of_many_rows(spark):
     from tessera.operators.similarity import rare_token_pairs
 
@@ -73,18 +28,9 @@ def test_rare_tokens_of_many_rows(spark):
         assert want and {tuple(r) for r in rare_token_pairs(spark.createDataFrame(sets, "k int, tokens array<string>"), "k", "tokens", **options).collect()} == want
 
 
-def test_part_of_the_day_among_all_parts(spark, duck):  # noqa: F811
-    same(spark, duck, "part_of_the_day", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
-SELECT CAST(d AS VARCHAR) AS day, p_partkey, p_name FROM d JOIN p ON i = datediff('day', DATE '1970-01-01', d) % n""")
-
-
 def test_numbered_with_gaps(spark):
     from tessera.operators.calendar import numbered
 
     keys = [-3000, -1, 0, 5, 1023, 1024, 5000, 5001]
     rows = spark.createDataFrame([(k,) for k in reversed(keys)], "k long")
     assert {r.k: r.i for r in numbered(rows, "k", "i").collect()} == {k: i for i, k in enumerate(keys)}
-
-
-def test_snapshots_from_all_events_before(spark, duck):  # noqa: F811
-    same(spark, duck, "snapshot_changes", without("snapshot_changes", "ts >= '2024-01-03' AND ", "ts >= '2024-01-04' AND "))
