@@ -50,10 +50,16 @@ def band_previous(rows: DataFrame, key: str, date: str, low: int, high: int) ->
 
 
 def adjust_by_later(rows: DataFrame, events: DataFrame, key: str, row_date: str, event_date: str, ratio: str) -> DataFrame:
-    """rows with the product of the ratios of all events of the key on or after the row's date (1 without any)."""
-    later = rows.join(events.select(F.col(key), F.col(event_date).alias("_e"), F.col(ratio).alias("_r")), key).where(F.col("_e") >= F.col(row_date))
-    product = later.groupBy(key, row_date).agg(F.product("_r").alias("factor"))
-    return rows.join(product, [key, row_date], "left").fillna(1.0, ["factor"])
+    """rows with the product of the ratios of all events of the key on or after the row's date (1 without any).
+
+    One running product over each key's dates, the last first; rows of one date are one mark.
+    """
+    marks = rows.select(F.col(key).alias("_k"), F.col(row_date).alias("_d")).distinct().withColumn("_r", F.lit(None).cast("double"))
+    days = events.groupBy(F.col(key).alias("_k"), F.col(event_date).alias("_d")).agg(F.product(ratio).alias("_r"))
+    later = W.partitionBy("_k").orderBy(F.desc("_day")).rangeBetween(W.unboundedPreceding, 0)
+    both = marks.withColumn("_mark", F.lit(True)).unionByName(days.withColumn("_mark", F.lit(False))).withColumn("_day", F.datediff("_d", F.lit("1970-01-01")))
+    factors = both.withColumn("factor", F.coalesce(F.product("_r").over(later), F.lit(1.0))).where("_mark").select("_k", "_d", "factor")
+    return rows.join(factors, rows[key].eqNullSafe(factors["_k"]) & rows[row_date].eqNullSafe(factors["_d"]), "left").drop("_k", "_d").fillna(1.0, ["factor"])
 
 
 def overlay(base: DataFrame, patch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -7,40 +7,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def winsorised(column: str, over: list[str], p: float = 0.02, least: int = 5) -> Column:
-    """Clipped to the p and 1 - p quantiles of its group; left alone in groups of fewer than `least` values."""
-    w = W.partitionBy(*over)
-    lo, hi = F.percentile(column, F.lit(p)).over(w), F.percentile(column, F.lit(1 - p)).over(w)
-    return F.when(F.count(column).over(w) < least, F.col(column)).otherwise(F.when(F.col(column).isNotNull(), F.least(hi, F.greatest(lo, F.col(column)))))
-
-
-def z_score(column: str, over: list[str]) -> Column:
-    """(value - mean) / sample deviation in its group; 0 where the deviation is 0 or unknown."""
-    w = W.partitionBy(*over)
-    sd = F.stddev_samp(column).over(w)
-    return F.when(F.col(column).isNull(), None).when(sd > 0, (F.col(column) - F.avg(column).over(w)) / sd).otherwise(0.0)
+def cohort_z(rows: DataFrame, signals: list[str], cohort: str, everyone: str = "*", p: float = 0.02, least: int = 5) -> DataFrame:
+    """rows with a column z_<signal> each: (value - mean) / sample deviation after clipping to the p and 1 - p quantiles, within
+    the cohort, or within all rows where the cohort is `everyone`. Groups of fewer than `least` values are not clipped; z is 0
+    where the deviation is 0 or unknown. Statistics are two aggregations joined back, so no task holds a cohort's rows."""
+
+    def of_cohorts(table: DataFrame, exprs: list[Column]) -> DataFrame:
+        each = table.where(F.col(cohort) != everyone).groupBy(F.col(cohort).alias("_c")).agg(*exprs)
+        return each.unionByName(table.agg(*exprs).withColumn("_c", F.lit(everyone)).select(each.columns))
+
+    quantiles = [F.percentile(s, F.lit(q)).alias(f"_{n}_{s}") for s in signals for n, q in (("lo", p), ("hi", 1 - p))]
+    bounds = of_cohorts(rows, quantiles + [F.count(s).alias(f"_n_{s}") for s in signals])
+
+    def clipped(table: DataFrame) -> DataFrame:
+        cut = lambda s: F.when((F.col(f"_n_{s}") < least) | F.col(s).isNull(), F.col(s)).otherwise(F.least(f"_hi_{s}", F.greatest(f"_lo_{s}", s)))
+        return table.withColumns({f"_w_{s}": cut(s) for s in signals})
+
+    # all rows are clipped to the bounds of all rows for the statistics of everyone
+    own = clipped(rows.join(bounds, rows[cohort] == bounds["_c"]).drop("_c"))
+    whole = clipped(rows.crossJoin(F.broadcast(bounds.where(F.col("_c") == everyone).drop("_c"))))  # one row
+    moments = [e for s in signals for e in (F.avg(f"_w_{s}").alias(f"_m_{s}"), F.stddev_samp(f"_w_{s}").alias(f"_d_{s}"))]
+    each = own.where(F.col(cohort) != everyone).groupBy(F.col(cohort).alias("_c")).agg(*moments)
+    stats = each.unionByName(whole.agg(*moments).withColumn("_c", F.lit(everyone)).select(each.columns))
+    out = own.join(stats, own[cohort] == stats["_c"])
+    z = lambda s: F.when(F.col(f"_w_{s}").isNull(), None).when(F.col(f"_d_{s}") > 0, (F.col(f"_w_{s}") - F.col(f"_m_{s}")) / F.col(f"_d_{s}")).otherwise(0.0)
+    return out.select(*rows.columns, *[z(s).alias(f"z_{s}") for s in signals])
+
+
+def share_at_most(rows: DataFrame, value: str, column: str, width: float = 0.001) -> DataFrame:
+    """rows with the share of rows whose value is at most as high. Ranks come from counts of buckets of that width and from the
+    order within a bucket, so no task sorts all rows; the buckets must be few, as for scores."""
+    placed = rows.withColumn("_b", F.floor(F.col(value) / width))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_c"))
+    before = sizes.select("_b", (F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_total"))
+    within = F.count("*").over(W.partitionBy("_b").orderBy(value).rangeBetween(W.unboundedPreceding, 0))
+    return placed.join(before, "_b").withColumn(column, (F.col("_before") + within) / F.col("_total")).select(*rows.columns, column)
 
 
 def composite(rows: DataFrame, key: str, group: str, signals: dict[str, int], least_peers: int = 8, least_signals: int = 3) -> DataFrame:
     """Mean of the directed z-scores that a row has (at least `least_signals`), within its group or, if that is too small, all rows.
 
-    rank_score is the share of rows with a composite at most as high, in percent.
+    rank_score is the share of rows with a composite at most as high, in percent. A null group counts as too small.
     """
-    cohort = F.when(F.count("*").over(W.partitionBy(group)) >= least_peers, F.col(group).cast("string")).otherwise("*")
-    out = rows.withColumn("cohort", cohort)
-    # small groups are measured against everyone: their z comes from the whole table's statistics
-    stats = []
-    for s in signals:
-        for name, over in (("g", ["cohort"]), ("a", [])):
-            out = out.withColumn(f"_w_{name}_{s}", winsorised(s, over))
-            out = out.withColumn(f"_z_{name}_{s}", z_score(f"_w_{name}_{s}", over))
-        stats.append(signals[s] * F.when(F.col("cohort") == "*", F.col(f"_z_a_{s}")).otherwise(F.col(f"_z_g_{s}")))
-    zs = F.filter(F.array(*stats), lambda z: z.isNotNull())
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_size"))
+    cohort = F.when(F.col("_size") >= least_peers, F.col(group).cast("string")).otherwise("*")
+    out = rows.join(sizes, rows[group] == sizes["_g"], "left").withColumn("cohort", F.coalesce(cohort, F.lit("*"))).drop("_g", "_size")
+    out = cohort_z(out, list(signals), "cohort")
+    zs = F.filter(F.array(*[d * F.col(f"z_{s}") for s, d in signals.items()]), lambda z: z.isNotNull())
     mean = F.aggregate(zs, F.lit(0.0), lambda a, z: a + z) / F.size(zs)
-    out = out.withColumn("composite", F.when(F.size(zs) >= least_signals, mean))
-    rank = F.floor(100 * F.cume_dist().over(W.orderBy("_order")) + 0.5).cast("int")
-    known = out.where("composite is not null").withColumn("_order", F.round("composite", 9)).withColumn("rank_score", rank)
-    return out.select(*rows.columns, "cohort", "composite").join(known.select(key, "rank_score"), key, "left")
+    out = out.withColumn("composite", F.when(F.size(zs) >= least_signals, mean)).select(*rows.columns, "cohort", "composite")
+    known = share_at_most(out.where("composite is not null").select(key, F.round("composite", 9).alias("_order")), "_order", "_share")
+    return out.join(known.select(key, F.floor(100 * F.col("_share") + 0.5).cast("int").alias("rank_score")), key, "left")
 
 
 def volatility_cap(rows: DataFrame, column: str, percentile: float = 0.85, least: int = 5) -> DataFrame:
@@ -57,9 +74,8 @@ def widened_percentile(rows: DataFrame, value: str, narrow: str, wide: str, leas
 
 
 def upper_median(column: str) -> Column:
-    """sorted[n >> 1]: the upper one of two middle values, not their mean. For groups that fit a row."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    """sorted[n >> 1]: the upper one of two middle values, not their mean."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
 
 
 def deciles(rows: DataFrame, value: str, tie: str, n: int = 10) -> DataFrame:

@@ -89,9 +89,7 @@ def select_per_topic(
             & ~(in_top & F.col("x.subject").isNotNull() & (same("subject", F.col("x.subject")) > 0)) & ~twin & placed.isNotNull()
         )
         # best by score, then by the smaller key
-        best = rows.where(fits).groupBy("topic").agg(F.max("score").alias("score"))
-        both = rows.where(fits).join(F.broadcast(best.withColumnsRenamed({"topic": "_t", "score": "_s"})), F.col("topic").eqNullSafe(F.col("_t")) & (F.col("score") == F.col("_s")))
-        taken = both.groupBy("topic").agg(F.min_by("x", "key").alias("x"))
+        taken = rows.where(fits).groupBy("topic").agg(F.min_by("x", F.struct(-F.col("score"), F.col("key"))).alias("x"))
         found = {r.topic: r.x for r in taken.collect()}  # a row a topic
         after = []
         for r in held.collect():

@@ -63,16 +63,38 @@ def trailing_return(n: int) -> Column:
     return F.when(before > 0, F.col("close") / before - 1)
 
 
-def momentum_12_1(skip: int = 21, span: int = 252) -> Column:
+def momentum_12_1(skip: int = 21, span: int = 252, paid: str | None = None) -> Column:
+    """The close `skip` sessions ago against that of `span` sessions ago; with `paid`, the running sum of dividends, those between count."""
     late, early = F.lag("close", skip).over(by_session()), F.lag("close", span).over(by_session())
+    if paid is not None:
+        late = late + F.lag(paid, skip).over(by_session()) - F.lag(paid, span).over(by_session())
     return F.when(early > 0, late / early - 1)
 
 
+def with_paid(bars: DataFrame, dividends: DataFrame, column: str = "paid") -> DataFrame:
+    """Bars with the running sum of the ticker's dividends up to each date; dividends (ticker, ex_date, amount). One sort a ticker."""
+    days = dividends.groupBy("ticker", F.col("ex_date").alias("date")).agg(F.sum("amount").alias("_amount")).withColumn("_bar", F.lit(False))
+    both = bars.withColumn("_bar", F.lit(True)).unionByName(days, allowMissingColumns=True)
+    frame = W.partitionBy("ticker").orderBy("date", "_bar").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(column, F.coalesce(F.sum("_amount").over(frame), F.lit(0.0))).where("_bar").select(*bars.columns, column)
+
+
 def dividends_within(bars: DataFrame, dividends: DataFrame, n: int) -> DataFrame:
-    """Bars with the sum of dividends in the half-open window (date n sessions ago, date]; dividends (ticker, ex_date, amount)."""
-    spans = bars.select("ticker", "date", F.lag("date", n).over(by_session()).alias("after")).where("after is not null")
-    paid = spans.join(dividends, "ticker").where((F.col("ex_date") > F.col("after")) & (F.col("ex_date") <= F.col("date")))
-    return bars.join(paid.groupBy("ticker", "date").agg(F.sum("amount").alias("paid")), ["ticker", "date"], "left").fillna(0.0, ["paid"])
+    """Bars with the sum of dividends in the half-open window (date n sessions ago, date]: a difference of running sums."""
+    before = F.lag("_paid", n).over(by_session())
+    # equal sums differ by exactly nothing, so that no dividend reads 0
+    return with_paid(bars, dividends, "_paid").withColumn("paid", F.coalesce(F.col("_paid") - before, F.lit(0.0))).drop("_paid")
+
+
+def extension(short: int = 50, vol: int = 60) -> Column:
+    """How many daily deviations the close is above its average. Needs with_log_returns()."""
+    average, deviation = sma(short), realised_vol(vol)
+    return F.when((average > 0) & (deviation > 0), (F.col("close") / average - 1) / deviation)
+
+
+def above_trend(n: int = 200) -> Column:
+    """Whether the close is above its average; null without the sessions for one."""
+    return F.col("close") > sma(n)
 
 
 def prior_volume_ratio(n: int = 20) -> Column:

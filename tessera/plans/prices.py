@@ -40,12 +40,26 @@ def momentum_12_1(spark, sf_dir):
 def trailing_return_with_dividends(spark, sf_dir):
     """Every signup event is a dividend of its value, dealt to the tickers by user."""
     b = bars(spark, sf_dir)
+    out = ts.dividends_within(b, _dividends(spark, sf_dir), 20)
+    before = F.lag("close", 20).over(ts.by_session())
+    return out.select("ticker", "date", (F.round("paid", 2) + 0.0).alias("paid"), F.round(F.when(before > 0, (F.col("close") + F.col("paid")) / before - 1), 6).alias("total_return"))
+
+
+def _dividends(spark, sf_dir):
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    paid = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").select(
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").select(
         F.element_at(F.array(*map(F.lit, names)), (F.col("user_id") % 5 + 1).cast("int")).alias("ticker"), F.to_date("ts").alias("ex_date"), F.col("value").alias("amount"))
-    out = ts.dividends_within(b, paid, 20)
-    before = F.lag("close", 20).over(ts.by_session())
-    return out.select("ticker", "date", F.round("paid", 2).alias("paid"), F.round(F.when(before > 0, (F.col("close") + F.col("paid")) / before - 1), 6).alias("total_return"))
+
+
+def momentum_with_dividends(spark, sf_dir):
+    """Ten-to-two-session momentum with the dividends paid between; events fall into few weeks, so the spans are short."""
+    b = ts.with_paid(bars(spark, sf_dir), _dividends(spark, sf_dir))
+    return b.select("ticker", F.col("date").cast("string").alias("date"), F.round(ts.momentum_12_1(2, 10, "paid"), 6).alias("momentum"))
+
+
+def extension_and_trend(spark, sf_dir):
+    b = ts.with_log_returns(bars(spark, sf_dir))
+    return b.select("ticker", F.col("date").cast("string").alias("date"), F.round(ts.extension(), 4).alias("extension"), ts.above_trend().alias("above_trend"))
 
 
 def volume_and_high(spark, sf_dir):
@@ -76,7 +90,7 @@ def t_statistic(spark, sf_dir):
     return out.select("ticker", "n", F.round("t", 4).alias("t"))
 
 
-QUERIES = {f.__name__: f for f in (daily_bars, trading_calendar, sma_20, median_dollar_volume_60, realised_vol_60, momentum_12_1, trailing_return_with_dividends, volume_and_high, drawdown, equity_curve, newey_west, t_statistic)}
+QUERIES = {f.__name__: f for f in (daily_bars, trading_calendar, sma_20, median_dollar_volume_60, realised_vol_60, momentum_12_1, trailing_return_with_dividends, volume_and_high, momentum_with_dividends, extension_and_trend, drawdown, equity_curve, newey_west, t_statistic)}
 
 _BARS = """bars AS (
   SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date,
@@ -110,6 +124,15 @@ p AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][user
 d AS (SELECT s.ticker, s.date, sum(value) AS paid FROM s JOIN p ON s.ticker = p.ticker AND ex > after AND ex <= date GROUP BY ALL)
 SELECT s.ticker, s.date, round(coalesce(paid, 0), 2) AS paid, CASE WHEN before > 0 THEN round((close + coalesce(paid, 0)) / before - 1, 6) END AS total_return
 FROM s LEFT JOIN d ON s.ticker = d.ticker AND s.date = d.date""",
+    "momentum_with_dividends": f"""WITH {_BARS}, s AS (
+  SELECT ticker, date, lag(close, 2) OVER ({_S}) AS late, lag(date, 2) OVER ({_S}) AS until, lag(close, 10) OVER ({_S}) AS early, lag(date, 10) OVER ({_S}) AS since FROM bars),
+p AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][user_id % 5 + 1] AS ticker, CAST(ts AS DATE) AS ex, value FROM events WHERE event_type = 'signup'),
+d AS (SELECT s.ticker, s.date, sum(value) AS paid FROM s JOIN p ON s.ticker = p.ticker AND ex > since AND ex <= until GROUP BY ALL)
+SELECT s.ticker, CAST(s.date AS VARCHAR) AS date, CASE WHEN early > 0 THEN round((late + coalesce(paid, 0)) / early - 1, 6) END AS momentum FROM s LEFT JOIN d ON s.ticker = d.ticker AND s.date = d.date""",
+    "extension_and_trend": f"""WITH {_BARS}, {_RETURNS}, v AS (
+  SELECT ticker, date, close, CASE WHEN row_number() OVER ({_S}) >= 50 THEN avg(close) OVER ({_S} ROWS 49 PRECEDING) END AS a, CASE WHEN row_number() OVER ({_S}) >= 200 THEN avg(close) OVER ({_S} ROWS 199 PRECEDING) END AS t,
+    CASE WHEN count(x) OVER ({_S} ROWS 59 PRECEDING) = 60 THEN stddev_samp(x) OVER ({_S} ROWS 59 PRECEDING) END AS v FROM r)
+SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN a > 0 AND v > 0 THEN round((close / a - 1) / v, 4) END AS extension, close > t AS above_trend FROM v""",
     "volume_and_high": f"""WITH {_BARS} SELECT ticker, date,
   CASE WHEN row_number() OVER ({_S}) >= 21 THEN round(volume / avg(volume) OVER ({_S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) END AS vol_ratio,
   round(close / max(close) OVER ({_S} ROWS 59 PRECEDING), 6) AS of_high FROM bars""",

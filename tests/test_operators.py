@@ -52,7 +52,7 @@ def test_newey_west_by_hand(spark):
 
 def test_winsorised_and_z(spark):
     few = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 100)] + [("b", 5.0)] * 6 + [("c", None)], "g string, x double")
-    rows = few.withColumn("w", ranking.winsorised("x", ["g"])).withColumn("z", ranking.z_score("w", ["g"])).collect()
+    rows = ranking.cohort_z(few.withColumnRenamed("x", "w"), ["w"], "g").withColumnRenamed("z_w", "z").collect()
     assert max(r.w for r in rows if r.g == "a") == 100.0 and {r.z for r in rows if r.g == "b"} == {0.0} and {r.z for r in rows if r.g == "c"} == {None}
 
 
@@ -195,3 +195,50 @@ def test_stream_restarts(spark, tmp_path):
     land([(2, 1, "purchase", 7.0)])
     assert run() == [(1, 3, "purchase", 2.0), (2, 2, "purchase", 7.0)]
     assert read_archive(spark, f"{tmp_path}/nothing", "k", "at") is None
+
+
+def _walked(items, per_topic, top=3, cap=2, share=0.5, min_shared=3, min_overlap=0.25):
+    """Picks of one topic by a sequential walk; items (key, score, publisher, foreign, subject, tokens)."""
+    ranked, picks = sorted(items, key=lambda x: (-x[1], x[0])), []
+    most = -int(-per_topic * share // 1)
+    for relaxed in (False, True):
+        for it in ranked:
+            if len(picks) >= per_topic or it in picks:
+                continue
+            first = len(picks) < top
+            abroad = sum(p[3] for p in picks)
+            if it[3] and (abroad >= most or (first and abroad >= max(1, top // 2))):
+                continue
+            if not relaxed and sum(p[2] == it[2] for p in picks) >= (1 if first else cap):
+                continue
+            if first and it[4] is not None and any(p[4] == it[4] for p in picks):
+                continue
+            shared = [(len(set(p[5]) & set(it[5])), min(len(p[5]), len(it[5]))) for p in picks]
+            if any(n >= min_shared and n >= min_overlap * m for n, m in shared):
+                continue
+            picks.append(it)
+    return [p[0] for p in picks]
+
+
+def test_constrained_top_n(spark):
+    import random
+
+    from tessera.operators.selection import select_per_topic
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        tokens = rng.sample(["ada", "bela", "cora", "dina", "enid", "fay"], rng.randint(0, 4)) + [f"own{i}"]
+        rows.append((["en", "it", None][i % 3], i, float(rng.randint(1, 30)), rng.choice("PQRS"), rng.random() < 0.3, rng.choice(["x", "y", "z", None]), tokens))
+    items = spark.createDataFrame(rows, "topic string, id long, score double, publisher string, foreign boolean, subject string, tokens array<string>")
+    got = {}
+    for r in select_per_topic(items, 6).orderBy("place").collect():
+        got.setdefault(r.topic, []).append(r.key)
+    assert got == {t: _walked([r[1:] for r in rows if r[0] == t], 6) for t in ("en", "it", None)}
+
+
+def test_proper_nouns(spark):
+    from tessera.operators.selection import proper_nouns
+
+    one = spark.createDataFrame([("The Match of Leipzig and Roma's Men", "Goals by Anna. Then Zurich won\nGood Total Sport", "Total Sport"), (None, None, None)], "t string, e string, p string")
+    assert [sorted(r.n) for r in one.select(proper_nouns(F.col("t"), F.col("e"), F.col("p")).alias("n")).collect()] == [["anna", "leipzig", "match", "roma", "zurich"], []]
