@@ -46,10 +46,10 @@ def proper_nouns(title: Column, excerpt: Column, publisher: Column) -> Column:
 
     def inside(text: Column) -> Column:
         words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), 1)
-        ends = lambda w: w.rlike(r"^[.!?\n—]$")
-        opens = F.transform(words, lambda w, i: (i == 0) | ends(F.get(words, i - 1)))
-        kept = F.filter(words, lambda w, i: ~F.get(opens, i) & ~ends(w) & (F.length(w) >= 4) & w.rlike("^[A-ZÀ-Ö]"))
-        return F.transform(kept, lambda w: F.regexp_replace(F.lower(w), "['’]s$", ""))
+        # each word beside the one before; a lambda that looked into the array would read it again for every word
+        both = F.zip_with(F.concat(F.array(F.lit(".")), words), F.concat(words, F.array(F.lit("."))), lambda before, w: F.struct(before.alias("before"), w.alias("w")))
+        kept = F.filter(both, lambda x: ~x["before"].rlike(r"^[.!?\n—]$") & (F.length(x["w"]) >= 4) & x["w"].rlike("^[A-ZÀ-Ö]"))
+        return F.transform(kept, lambda x: F.regexp_replace(F.lower(x["w"]), "['’]s$", ""))
 
     byline = F.split(F.lower(F.coalesce(publisher, F.lit(""))), "[^a-z0-9]+")
     return F.array_except(F.array_distinct(F.concat(inside(title), inside(excerpt))), byline)
