@@ -237,12 +237,16 @@ def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int
     best = F.when(~F.col("upper"), F.struct("hot", (-F.col("node")).alias("minus"), "label"))
     about = rows.groupBy("value", "cell").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     about = stage(about.where("lo <> hi").select("value", "cell", "major", "n"), "rest")
-    rows = join_counted(rows, about, ["value", "cell"]).withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")})
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    minor = rows.where("label <> major").select("value", "cell", F.col("block").alias("i"), every.alias("j"), "node", "label", F.lit(0).alias("side"))
-    mates = rows.select("value", "cell", every.alias("i"), F.col("block").alias("j"), "node", "label", F.lit(1).alias("side"))
-    # one row a pair of blocks; a cell's own rows are in it at most so often as it has blocks
-    both = stage(minor.union(mates.join(minor.select("value", "cell", "i").distinct(), ["value", "cell", "i"], "left_semi")), "blocks")
+    rows = stage(join_counted(rows, about, ["value", "cell"]).withColumnRenamed("n", "members"), "rest-members")
+    outside = rows.where("label <> major").groupBy("value", "cell").agg(F.count("*").alias("outside"), F.first("members").alias("n"))
+    rows = join_counted(rows, stage(outside, "outside"), ["value", "cell"])
+    # members outside fill blocks of their own, so that the others travel once for each of these, mostly once in all
+    sides = {"i_blocks": F.ceil(F.col("outside") / BLOCK).cast("int"), "j_blocks": F.ceil(F.col("members") / BLOCK).cast("int")}
+    rows = rows.withColumns(sides).withColumn("at", F.xxhash64("node"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = rows.where("label <> major").select("value", "cell", F.pmod("at", "i_blocks").cast("int").alias("i"), each("j_blocks").alias("j"), "node", "label", F.lit(0).alias("side"))
+    mates = rows.select("value", "cell", each("i_blocks").alias("i"), F.pmod("at", "j_blocks").cast("int").alias("j"), "node", "label", F.lit(1).alias("side"))
+    both = stage(minor.union(mates), "blocks")
     asked = both.groupBy("node").agg(F.count("*").alias("n"))
     both = join_counted(both, texts.join(asked, "node"), ["node"], wide=True)
     pairs = both.groupBy("value", "cell", "i", "j").applyInArrow(lambda t: _forest(t, n, percent), "a long, b long")
