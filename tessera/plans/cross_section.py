@@ -49,7 +49,7 @@ def _positions(spark, sf_dir):
     """A position for each order: entered and left at prices from its keys."""
     return _read(spark, sf_dir, "orders").select(
         "o_orderkey", F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")).alias("entry_idx"), F.col("o_orderpriority").alias("kind"),
-        F.round((F.col("o_totalprice") % 1000) / 20000 - 0.02, 6).alias("net"), F.round((F.col("o_custkey") % 100) / 10000 - 0.004, 6).alias("bench"),
+        F.round((F.col("o_totalprice") % 1000) / 20000 - 0.02, 7).alias("net"), F.round((F.col("o_custkey") % 100) / 10000 - 0.004, 6).alias("bench"),
         F.when(F.col("o_orderstatus") == "O", "open").otherwise("complete").alias("status"))
 
 
@@ -97,7 +97,7 @@ _FIGURES = """f AS (
            round(stddev_samp(l_extendedprice), 2) AS spread FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey)"""
 _POSITIONS = """p AS (
   SELECT o_orderkey, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS entry_idx, o_orderpriority AS kind,
-         round((o_totalprice % 1000) / 20000 - 0.02, 6) AS net, round((o_custkey % 100) / 10000 - 0.004, 6) AS bench,
+         round((o_totalprice % 1000) / 20000 - 0.02, 7) AS net, round((o_custkey % 100) / 10000 - 0.004, 6) AS bench,
          CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'complete' END AS status FROM orders)"""
 
 
