@@ -229,6 +229,29 @@ def _forest(table: pa.Table, n: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _supported(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node): those whose shingles in more than one component make up the threshold. A node without them, for instance one that
+    shares only a common passage, has no link to another component."""
+
+    def start():
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+
+        def each(batch: pa.RecordBatch):
+            sets = [shingles(unpack.decompress(t).decode(), hashes, n).view(np.int64) for t in batch.column("packed").to_pylist()]
+            return {"node": batch.column("node"), "label": batch.column("label"), "shingles": arrow_lists(sets, pa.int64())}
+
+        return each
+
+    nodes = rows.groupBy("node").agg(F.first("label").alias("label"))
+    sets = stage(map_batches(nodes.join(texts, "node"), "node long, label long, shingles array<long>", start), "sets")
+    values = sets.select("node", "label", F.explode("shingles").alias("shingle"))
+    seen = values.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    shared = stage(seen.where("lo < hi").select("shingle", "n"), "shared")
+    support = join_counted(values.select("node", "shingle"), shared, ["shingle"]).groupBy("node").agg(F.count("*").alias("support"))
+    held = sets.select("node", F.size("shingles").alias("held"))
+    return held.join(support, "node").where(100 * F.col("support") >= percent * F.col("held")).select("node")
+
+
 def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between components within the long cells, by pairs of blocks: members outside their centre's component with all others."""
     # a node is in a bounded number of cells, so it meets its label once
@@ -237,9 +260,11 @@ def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int
     best = F.when(~F.col("upper"), F.struct("hot", (-F.col("node")).alias("minus"), "label"))
     about = rows.groupBy("value", "cell").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     about = stage(about.where("lo <> hi").select("value", "cell", "major", "n"), "rest")
-    rows = stage(join_counted(rows, about, ["value", "cell"]).withColumnRenamed("n", "members"), "rest-members")
-    outside = rows.where("label <> major").groupBy("value", "cell").agg(F.count("*").alias("outside"), F.first("members").alias("n"))
-    rows = join_counted(rows, stage(outside, "outside"), ["value", "cell"])
+    rows = stage(join_counted(rows, about, ["value", "cell"]).select("value", "cell", "node", "label", "major"), "rest-members")
+    rows = stage(rows.join(_supported(rows, texts, n, percent), "node"), "supported")
+    counts = rows.groupBy("value", "cell").agg(F.count_if(F.col("label") != F.col("major")).alias("outside"), F.count("*").alias("members"))
+    counts = counts.where("outside > 0").withColumn("n", F.col("members"))
+    rows = join_counted(rows, stage(counts, "outside"), ["value", "cell"])
     # members outside fill blocks of their own, so that the others travel once for each of these, mostly once in all
     sides = {"i_blocks": F.ceil(F.col("outside") / BLOCK).cast("int"), "j_blocks": F.ceil(F.col("members") / BLOCK).cast("int")}
     rows = rows.withColumns(sides).withColumn("at", F.xxhash64("node"))
