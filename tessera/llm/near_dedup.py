@@ -257,24 +257,29 @@ def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int
     # a node is in a bounded number of cells, so it meets its label once
     by_node = cells.groupBy("node").agg(F.first("hot").alias("hot"), F.collect_list(F.struct("value", "cell", "upper")).alias("cells")).join(labels, "node", "left")
     rows = stage(by_node.select("node", "hot", F.coalesce("label", "node").alias("label"), F.explode("cells").alias("c")).select("node", "hot", "label", "c.*"), "labelled")
-    best = F.when(~F.col("upper"), F.struct("hot", (-F.col("node")).alias("minus"), "label"))
-    about = rows.groupBy("value", "cell").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    about = stage(about.where("lo <> hi").select("value", "cell", "major", "n"), "rest")
-    rows = stage(join_counted(rows, about, ["value", "cell"]).select("value", "cell", "node", "label", "major"), "rest-members")
+    about = rows.groupBy("value", "cell").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    about = stage(about.where("lo <> hi").select("value", "cell", "n"), "rest")
+    rows = stage(join_counted(rows, about, ["value", "cell"]).select("value", "cell", "node", "label", "hot"), "rest-members")
     rows = stage(rows.join(_supported(rows, texts, n, percent), "node"), "supported")
-    counts = rows.groupBy("value", "cell").agg(F.count_if(F.col("label") != F.col("major")).alias("outside"), F.count("*").alias("members"))
-    counts = counts.where("outside > 0").withColumn("n", F.col("members"))
-    rows = join_counted(rows, stage(counts, "outside"), ["value", "cell"])
+    # lists of one passage have nearly the same members: those whose smallest member (by hash) is the same are united
+    least = stage(rows.groupBy("value", "cell").agg(F.min(F.xxhash64("node")).alias("least"), F.count("*").alias("n")), "least")
+    rows = stage(join_counted(rows, least, ["value", "cell"]).select("cell", "least", "node", "label", "hot").distinct(), "united")
+    best = F.struct("hot", (-F.col("node")).alias("minus"), "label")
+    about = rows.groupBy("cell", "least").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    about = stage(about.where("lo <> hi").select("cell", "least", "major", "n"), "majors")
+    rows = stage(join_counted(rows, about, ["cell", "least"]).withColumnRenamed("n", "members"), "mixed")
+    outside = rows.where("label <> major").groupBy("cell", "least").agg(F.count("*").alias("outside"), F.first("members").alias("n"))
+    rows = join_counted(rows, stage(outside, "outside"), ["cell", "least"])
     # members outside fill blocks of their own, so that the others travel once for each of these, mostly once in all
     sides = {"i_blocks": F.ceil(F.col("outside") / BLOCK).cast("int"), "j_blocks": F.ceil(F.col("members") / BLOCK).cast("int")}
     rows = rows.withColumns(sides).withColumn("at", F.xxhash64("node"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    minor = rows.where("label <> major").select("value", "cell", F.pmod("at", "i_blocks").cast("int").alias("i"), each("j_blocks").alias("j"), "node", "label", F.lit(0).alias("side"))
-    mates = rows.select("value", "cell", each("i_blocks").alias("i"), F.pmod("at", "j_blocks").cast("int").alias("j"), "node", "label", F.lit(1).alias("side"))
+    minor = rows.where("label <> major").select("cell", "least", F.pmod("at", "i_blocks").cast("int").alias("i"), each("j_blocks").alias("j"), "node", "label", F.lit(0).alias("side"))
+    mates = rows.select("cell", "least", each("i_blocks").alias("i"), F.pmod("at", "j_blocks").cast("int").alias("j"), "node", "label", F.lit(1).alias("side"))
     both = stage(minor.union(mates), "blocks")
     asked = both.groupBy("node").agg(F.count("*").alias("n"))
     both = join_counted(both, texts.join(asked, "node"), ["node"], wide=True)
-    pairs = both.groupBy("value", "cell", "i", "j").applyInArrow(lambda t: _forest(t, n, percent), "a long, b long")
+    pairs = both.groupBy("cell", "least", "i", "j").applyInArrow(lambda t: _forest(t, n, percent), "a long, b long")
     return pairs.distinct()
 
 
