@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_lists, gram_hashes, id_and_text, join_counted, map_batches, null_id, plain_id, stage
+from .common import NULL_ID, WordHashes, arrow_lists, gram_hashes, id_and_text, join_counted, map_batches, null_id, plain_id, stage
 from .components import connected_components
 
 SHINGLE = 4
@@ -295,7 +295,7 @@ def _packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+    """doc_id, n_shingles, component_id, kept and text_key (xxhash64 of the text) for each row of docs.
 
     component_id is the smallest doc_id reachable over links. Texts without words (null, empty) have no shingles and link with
     nothing; a null doc_id comes before all others and its component reads null; rows that share a doc_id each link by their
@@ -328,13 +328,28 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH, percent:
     named = stage(classes.join(labels, "node", "left").select("f1", "f2", "copies", "doc", F.coalesce("label", "node").alias("label")), "named")
     smallest = named.groupBy("label").agg(F.min("doc").alias("component"), F.count("*").alias("n"))
     of_class = join_counted(named, smallest, ["label"]).select("f1", "f2", "component", F.col("copies").alias("n"))
-    out = join_counted(rows.select("doc", "n_shingles", "f1", "f2"), stage(of_class, "components"), ["f1", "f2"], "left")
+    out = join_counted(rows.select("doc", "tk", "n_shingles", "f1", "f2"), stage(of_class, "components"), ["f1", "f2"], "left")
     out = out.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")))
-    return out.select(null_id("doc").alias("doc_id"), "n_shingles", null_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return out.select(
+        null_id("doc").alias("doc_id"), "n_shingles", null_id("component").alias("component_id"),
+        (F.col("doc") == F.col("component")).alias("kept"), F.col("tk").alias("text_key"),
+    )
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest doc_id of each group.
+
+    A row stored twice under one doc_id with one text stays once; other texts under that doc_id stay or go by their own group;
+    texts without words have no group and stay.
+    """
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept")
+    keys = kept.select(plain_id().alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumns({"__doc": F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)), "__key": F.xxhash64(docs[text_col].cast("string"))})
+    return keyed.join(keys, ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"]).drop("__doc", "__key")
 
 
 def op4_bottom_k_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 OP4_SQL = """

@@ -37,7 +37,7 @@ def brute(rows):
 
 
 def got(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect())
 
 
 def near_copies(seed, n, size=150, edits=6):
@@ -71,6 +71,28 @@ def test_null_ids_and_empty_table(spark):
     assert got(near_duplicates(frame(spark, []))) == []
 
 
+def test_kept_documents(spark):
+    """Repeated rows stay once; an id's other text goes with its own group; texts without words stay."""
+    one, two = "a b c d e f g h", "q r s t u v w x"
+    rows = [(5, one), (5, one), (6, one), (6, two), (3, two), (None, two), (None, one), (8, None), (9, "")]
+    kept = near_dedup.kept_documents(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, one), (None, two), (8, None), (9, "")], key=repr)
+    rows = [r for r in rows if r[0] is not None]
+    assert sorted(((r.doc_id, r.text) for r in near_dedup.kept_documents(frame(spark, rows)).collect()), key=repr) == sorted([(5, one), (3, two), (8, None), (9, "")], key=repr)
+
+
+def test_unrelated_texts_around_one_passage(spark, monkeypatch):
+    """Lists of one passage hold texts that link with nothing, and some that do."""
+    monkeypatch.setattr(near_dedup, "COLD", 4)
+    rng = random.Random(8)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 25)} {passage} {prose(rng, rng.randint(0, 20))}") for i in range(150)]
+    rows += [(200 + i, f"{passage} {prose(rng, rng.randint(0, 9))}") for i in range(60)]
+    rows += [(300 + i, rows[i][1] + " end") for i in range(0, 150, 5)]
+    assert got(near_duplicates(frame(spark, rows))) == brute(rows)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     labels = {r.node: r.label for r in connected_components(links).collect()}
