@@ -1,7 +1,7 @@
 """Sharding by sampled splitters.
 
-Rows are ordered by (hash of text, doc_id, row), so that equal texts are neighbours and a hot text can still be cut.
-A size-weighted sample of keys gives quantile boundaries; exact bytes by range show which ranges are overfull, and
+Rows are ordered by (hash of text, doc_id, row), so that equal texts are neighbours. Boundaries lie between texts; only a text
+of which the copies hold more than `tolerance` of a shard can be cut. A size-weighted sample of keys gives quantile boundaries; exact bytes by range show which ranges are overfull, and
 those get boundaries of their own from a denser sample. What reaches the driver is the sample and one row a range,
 both bounded by parameters.
 """
@@ -31,19 +31,22 @@ def _range_of(splitters: np.ndarray):
     return of("key", "doc", "row")
 
 
-def _sampled(rows: DataFrame, share) -> np.ndarray:
-    """Keys of rows taken with the given probability, by a hash of the row and not by chance."""
+def _sampled(rows: DataFrame, share, hot: np.ndarray) -> np.ndarray:
+    """Keys of rows taken with the given probability, by a hash of the row and not by chance; before the first copy of a text that is not hot."""
     drawn = F.pmod(F.xxhash64("row", "key", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)
     got = rows.where(drawn).select("key", "doc", "row").toPandas()
-    return _packed(*(got[c].to_numpy(np.int64) for c in ("key", "doc", "row")))
+    key, doc, row = (got[c].to_numpy(np.int64) for c in ("key", "doc", "row"))
+    cut, lowest = np.isin(key, hot), np.iinfo(np.int64).min
+    return _packed(key, np.where(cut, doc, lowest), np.where(cut, row, lowest))
 
 
-def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int = 16_384, cuts: int = 256, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int = 16_384, cuts: int = 256, rounds: int = 4, tolerance: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal documents to n_shards shards of near equal bytes.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, range_id, shard, slot (gapless from 0 in each shard).
     Null text counts as empty, null doc_id sorts first, repeated rows each get a slot, an empty table gives no rows,
-    other columns are ignored. A single document larger than a share is not cut.
+    other columns are ignored. A single document larger than a share is not cut, however long; copies of a text share a shard
+    unless together they hold more than `tolerance` of one (at most n_shards / tolerance texts are so hot).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stage(
@@ -58,7 +61,9 @@ def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int
         "shard-keys",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    found = np.unique(_sampled(rows, F.least(F.lit(1.0), F.col("size") * (sample / max(total, 1)))))
+    of_text = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    hot = of_text.where((F.col("n") > 1) & (F.col("bytes") > total * tolerance / n_shards)).select("key").toPandas()["key"].to_numpy(np.int64)
+    found = np.unique(_sampled(rows, F.least(F.lit(1.0), F.col("size") * (sample / max(total, 1))), hot))
     at = np.unique(np.linspace(0, len(found), min(n_ranges, len(found) + 1), endpoint=False).astype(int)[1:])
     splitters = found[at] if len(at) else np.empty(0, "S24")
     for last in [False] * rounds + [True]:
@@ -75,7 +80,7 @@ def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int = 2048, sample: int
         share = np.zeros(int(sums["range_id"].max()) + 1)
         share[over["range_id"]] = cuts / over["bytes"]
         share_of = F.pandas_udf(lambda r, share=share: pd.Series(share[r.to_numpy()]), "double")
-        more = np.unique(np.concatenate([splitters, _sampled(placed, F.least(F.lit(1.0), F.col("size") * share_of("range_id")))]))
+        more = np.unique(np.concatenate([splitters, _sampled(placed, F.least(F.lit(1.0), F.col("size") * share_of("range_id")), hot)]))
         if len(more) == len(splitters):
             break
         splitters = more

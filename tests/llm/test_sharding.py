@@ -28,6 +28,17 @@ def test_one_text_in_half_of_the_rows_is_cut(spark):
     assert max(sums) <= 1.1 * min(sums)
 
 
+def test_equal_texts_share_a_shard(spark):
+    rows = [(i, f"text {i % 3000} " + "y" * (i % 53)) for i in range(9000)]
+    rows = [(i, rows[i % 3000][1]) for i in range(9000)]
+    out = shard(frame(spark, rows), n_ranges=64, sample=512).collect()
+    sums = check(rows, out)
+    texts, homes = dict(rows), {}
+    for r in out:
+        homes.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(h) == 1 for h in homes.values()) and max(sums) <= 1.05 * min(sums)
+
+
 def test_odd_rows_and_empty_table(spark):
     check(mixed_rows(), shard(frame(spark, mixed_rows())).collect())
     assert shard(frame(spark, [])).collect() == []
