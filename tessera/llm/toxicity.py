@@ -94,33 +94,27 @@ def _matrix(bags: list[np.ndarray], features: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, least_odds: float = 0.7, min_share: float = 0.01, min_z: float = 5.0, steps: int = 600, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
-    """Non-negative PU learning with the logistic loss and stochastic (Adam) steps: the risk of the negatives, R_u- minus
-    prior * R_p-, estimates something that cannot be negative; where a batch makes it so it counts as zero."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, least_odds: float = 0.2, min_share: float = 0.01, min_z: float = 4.0, steps: int = 600, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Non-negative PU learning with the sigmoid loss and stochastic (Adam) steps. R_u- minus prior * R_p-, the risk of the
+    negatives, estimates something that cannot be negative: where it is in a batch, the step raises that part again and leaves
+    the positives' risk alone. The decision is the sign of the learned function, its bias included."""
     features = _selected(positive, unlabelled, prior, most_features, least_odds, min_share, min_z)
-    xp, xu = _matrix(positive, features), _matrix(unlabelled, features)
+    xp, xu = (np.column_stack([_matrix(x, features), np.ones(len(x), np.float32)]) for x in (positive, unlabelled))
     w, rng = np.append(np.zeros(len(features)), np.log(prior / (1 - prior))), np.random.default_rng(seed)
     if not len(xp) or not len(xu):
         return Model(features, w[:-1], float(w[-1]))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    one, first, second = np.ones(batch, np.float32), np.zeros(len(w)), np.zeros(len(w))
+    first, second = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
-        p, u = (np.column_stack([x[rng.integers(0, len(x), batch)], one]) for x in (xp, xu))
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = -prior * (p.T @ sigmoid(-zp)) / batch
-        if negative > 0:
-            g += (u.T @ sigmoid(zu) - prior * (p.T @ sigmoid(zp))) / batch
+        p, u = (x[rng.integers(0, len(x), batch)] for x in (xp, xu))
+        # the loss of a negative is sigmoid(z), that of a positive 1 - sigmoid(z)
+        sp, su = (1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -40, 40))) for x in (p, u))
+        rise = prior * (p.T @ (sp * (1 - sp))) / batch
+        negative = (u.T @ (su * (1 - su))) / batch - rise
+        g = (negative - rise if su.mean() >= prior * sp.mean() else -negative).astype(np.float64)
         g[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    # one half belongs where the prior says: at the widest gap (by ratio) between the scores of unlabelled texts around that share
-    scores = np.log1p(np.sort(np.maximum(xu @ w[:-1], 0)))
-    lo, hi = (int(len(scores) * (1 - share * prior)) for share in (1.15, 0.7))
-    near = scores[max(0, lo - 1) : max(lo + 1, hi)]
-    gaps = np.diff(near)
-    cut = np.expm1(near[gaps.argmax()] + 0.3 * gaps.max()) if len(gaps) and gaps.max() > 0 else -w[-1]
-    return Model(features, w[:-1], float(-cut))
+    return Model(features, w[:-1], float(w[-1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, max_positive: int = 2000, max_unlabelled: int = 6000, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
@@ -143,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score (probability of toxic) for each row, with the columns of carry.
 
-    Null and empty texts get the score of a text without known words; repeated rows get equal scores; an empty table gives
+    Texts are read whole, however long. Null and empty texts get the score of a text without known words; repeated rows get equal scores; an empty table gives
     none; without any positive label the score is the prior for all.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"carry_{c}") for c in carry])
