@@ -29,6 +29,13 @@ def scratch(spark) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def stored(df, name: str):
+    """df written once to the shared folder and read again."""
+    path = f"{scratch(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def buy_again(spark, sf_dir):
     h = _read(spark, sf_dir, "events").where("event_type in ('purchase', 'view')").select(
         F.concat_ws(":", "user_id", F.get_json_object("props", "$.k")).alias("key"),
