@@ -149,6 +149,11 @@ def _tested(spark: SparkSession, rows: DataFrame, strategy: Strategy, books: dic
     return out.withColumn("test", F.coalesce(*tests, F.col(strategy.after))).drop("is_held", "in_division", "n_open")
 
 
+def _scored(strategy: Strategy, rows: DataFrame) -> DataFrame:
+    """Scores to nine digits: sums of doubles differ in the last ones by the order of their terms."""
+    return strategy.score(rows).withColumn("score", F.round("score", 9))
+
+
 def _order(rows: DataFrame) -> list[Column]:
     return [F.col("late"), F.col("score").desc(), F.col("ticker")]
 
@@ -187,7 +192,7 @@ def walk(rows: DataFrame, strategies: Sequence[Strategy], write: Callable[[DataF
         for s in going:
             left = sessions[first[s.name] :]
             tested = _tested(spark, rows.where(F.col("session") >= left[0]), s, {at: books[s.name][at] for at in left})
-            ranked = s.score(tested).where("test is null and score is not null")
+            ranked = _scored(s, tested).where("test is null and score is not null")
             near = F.row_number().over(W.partitionBy("session", "division").orderBy(*_order(ranked)))
             part = ranked.withColumn("n", near).where(F.col("n") <= s.hold + runners).select(F.lit(s.name).alias("strategy"), "session", "ticker", "division", "score", "late")
             lists = part if lists is None else lists.unionByName(part)
@@ -204,7 +209,7 @@ def walk(rows: DataFrame, strategies: Sequence[Strategy], write: Callable[[DataF
             first[s.name] += n
     out = {}
     for s in strategies:
-        scored = s.score(_tested(spark, rows, s, books[s.name]))
+        scored = _scored(s, _tested(spark, rows, s, books[s.name]))
         passed = F.col("test").isNull() & F.col("score").isNotNull()
         place = F.when(passed, F.row_number().over(W.partitionBy("session", passed).orderBy(*_order(scored))))
         out[s.name] = write(scored.withColumn("place", F.when(place <= runners + 1, place)), f"walk-{s.name.replace(' ', '-')}")

@@ -29,7 +29,7 @@ def _read(spark, sf_dir, t):
 def monthly_bars(spark, sf_dir) -> DataFrame:
     """Open, close and volume of each supplier and month with shipments, its revenue, and its mean discount and tax."""
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    price = F.col("l_extendedprice") / F.col("l_quantity")
     return _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date(F.trunc("l_shipdate", "month")).alias("date")).agg(
         F.min_by(price, at).alias("open"), F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"),
         F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.avg("l_tax"), 6).alias("tax"))
@@ -111,7 +111,7 @@ QUERIES = {q.__name__: q for q in (strategy_walk, strategy_results, open_positio
 
 _BARS = """
 b AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-    arg_min(round(l_extendedprice / l_quantity, 4), (l_shipdate, l_orderkey, l_linenumber)) AS open, arg_max(round(l_extendedprice / l_quantity, 4), (l_shipdate, l_orderkey, l_linenumber)) AS close,
+    arg_min(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS open, arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS close,
     sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS revenue, round(avg(l_discount), 6) AS margin, round(avg(l_tax), 6) AS yield
   FROM lineitem GROUP BY 1, 2),
 cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS session FROM (SELECT DISTINCT date FROM b))"""
@@ -162,7 +162,7 @@ def _steps() -> str:
     list(ticker ORDER BY late, -score, ticker) FILTER (WHERE test IS NULL AND score IS NOT NULL) AS ranked,
     list(test) FILTER (WHERE test IS NOT NULL) AS tests, list(ticker ORDER BY ticker) FILTER (WHERE test IS NULL) AS pool, any_value(book) AS book
   FROM (SELECT *, CASE WHEN score IS NOT NULL THEN CAST(floor(100.0 * count(score) OVER (PARTITION BY strategy ORDER BY score NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(score) OVER (PARTITION BY strategy) + 0.5) AS INTEGER) END AS rank_score
-  FROM (SELECT *, CASE WHEN test IS NULL THEN CASE WHEN strategy = 'rules v1' THEN {v1} ELSE list_avg(list_filter([{zs}], lambda q: q IS NOT NULL)) END END AS score,
+  FROM (SELECT *, CASE WHEN test IS NULL THEN round(CASE WHEN strategy = 'rules v1' THEN {v1} ELSE list_avg(list_filter([{zs}], lambda q: q IS NOT NULL)) END, 9) END AS score,
       strategy <> 'rules v1' AND coalesce(extension > 1, false) AS late
   FROM (SELECT *, {moments}
   FROM (SELECT *, {clipped}
