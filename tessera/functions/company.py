@@ -72,13 +72,37 @@ def earnings_risk(expected: str, spread: str, entry: str, exit_: str) -> Column:
     return F.when(F.col(expected).between(F.col(entry), F.col(exit_)), "in").when(near, "near")
 
 
-def ineligible_reason(exchanges: list[str]) -> Column:
+# What a common share is called, and the instruments that are none.
+COMMON = r"(?i)common stock|ordinary shares|common shares"
+NOT_EQUITY = r"(?i)\b(warrants?|units?|rights?|preferred|depositary|debenture|notes?|subordinated)\b"
+EXCHANGES = ["N", "Q", "A"]
+
+
+def descriptor(name: str | Column) -> Column:
+    """What a security's name says of the instrument: from a dash between spaces or the words for common shares on, whichever comes first;
+    the whole name without either. A company may be called Rights or Unit; the instrument is described behind its name."""
+    name = F.col(name) if isinstance(name, str) else name
+    dash, common = (F.nullif(F.regexp_instr(name, F.lit(p)), F.lit(0)) for p in (r"\s[-–]\s", COMMON))
+    first = F.least(dash, common)
+    return F.when(first.isNull(), name).otherwise(F.substr(name, first))
+
+
+def issuer_name(name: str | Column) -> Column:
+    """The name without the description of the instrument."""
+    name = F.col(name) if isinstance(name, str) else name
+    cut = F.regexp_replace(name, r"\s[-–]\s.*$", "")
+    plain = F.regexp_replace(name, r"(?i)\s+(Class [A-Z]\s+)?(Common Stock|Ordinary Shares|Common Shares)\b.*$", "")
+    out = F.trim(F.when(cut == name, plain).otherwise(cut))
+    return F.when(out == "", F.trim(name)).otherwise(out)
+
+
+def ineligible_reason(exchanges: list[str] = EXCHANGES) -> Column:
     """The first reason for which a row of the traded universe is no common share of the exchanges, or null."""
-    symbol, name, status = F.coalesce("symbol", F.lit("")), F.coalesce("name", F.lit("")), F.coalesce("financial_status", F.lit(""))
-    common = name.rlike(r"(?i)\b(common|ordinary)\s+(stock|shares?)\b")
-    other = name.rlike(r"(?i)\b(warrants?|rights?|units?|notes?|preferred|depositary)\b")
+    symbol, name, status, exchange = (F.coalesce(c, F.lit("")) for c in ("symbol", "name", "financial_status", "exchange"))
     return (
-        F.when(F.trim(symbol) == "", "no symbol").when(symbol.rlike(r"[$.]"), "suffix").when(F.col("test_issue") == "Y", "test issue").when(F.col("etf") == "Y", "fund")
-        .when(F.col("next_shares") == "Y", "fund").when(~F.coalesce("exchange", F.lit("")).isin(exchanges), "exchange").when(~status.isin("", "N"), "status")
-        .when(~common, "not common").when(other, "derivative")
+        F.when(F.trim(symbol) == "", "no symbol").when(symbol.rlike(r"[$.]"), "symbol carries a class or status suffix").when(F.col("test_issue") == "Y", "test issue")
+        .when(F.col("etf") == "Y", "exchange-traded fund").when(F.col("next_shares") == "Y", "NextShares fund")
+        .when(~exchange.isin(exchanges), F.concat(F.lit("exchange "), F.when(exchange == "", "(none)").otherwise(exchange), F.lit(" not accepted")))
+        .when(~status.isin("", "N"), F.concat(F.lit("financial status "), status)).when(~name.rlike(COMMON), "not described as common or ordinary shares")
+        .when(descriptor(name).rlike(NOT_EQUITY), "derivative or non-equity instrument")
     )

@@ -19,12 +19,13 @@ def slots(rows: DataFrame, by: list[str], time: str, order: str) -> DataFrame:
 
 
 def merged_games(rows: DataFrame, key: list[str], source: str, time: str, status: str, values: list[str], seen_at: str) -> DataFrame:
-    """One game for each key (with its slot): the status of the greatest rank, of every value the last one known, the number of
-    sources, and whether sources disagree about a value."""
+    """One game for each key (with its slot): the status of the greatest rank, of the time and every value the last one known (schools
+    move games, so the newest reading counts), the number of sources, and whether sources disagree about a value."""
+    last = lambda v: F.max(F.when(F.col(v).isNotNull(), F.struct(seen_at, F.col(source), F.col(v).alias("v"))))["v"]
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col(status)), F.lit(-1))
     return rows.groupBy(*key).agg(
-        F.max(F.struct(rank.alias("r"), F.col(seen_at), F.col(status).alias("s")))["s"].alias(status), F.min(time).alias(time), F.count_distinct(source).alias("sources"),
-        *[F.max(F.when(F.col(v).isNotNull(), F.struct(seen_at, F.col(source), F.col(v).alias("v"))))["v"].alias(v) for v in values],
+        F.max(F.struct(rank.alias("r"), F.col(seen_at), F.col(status).alias("s")))["s"].alias(status), last(time).alias(time), F.count_distinct(source).alias("sources"),
+        *[last(v).alias(v) for v in values],
         *[(F.min(v) < F.max(v)).alias(f"{v}_conflict") for v in values],
     )
 

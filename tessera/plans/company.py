@@ -11,7 +11,6 @@ from ..sources import files
 from .tables import scratch
 
 NOW = "2024-01-31 00:00:00"
-EXCHANGES = ["Brand#1", "Brand#2", "Brand#3", "N", "Q", "A"]
 
 
 def _read(spark, sf_dir, t):
@@ -25,15 +24,29 @@ def sic_groups(spark, sf_dir):
     return p.groupBy(co.sector_group("sic").alias("sector"), co.division("sic").alias("division")).agg(F.count("*").alias("n"), F.count_distinct(co.major_group("sic")).alias("majors"))
 
 
-def traded_universe(spark, sf_dir):
-    """Parts as pipe-separated lines with header and trailer; why each is out of the universe, counted."""
+def _universe(spark, sf_dir):
+    """Parts as a traded universe in its own layout; makers' names hold words that are instruments elsewhere."""
     p = _read(spark, sf_dir, "part")
     flag = lambda n, r: F.when(F.col("p_partkey") % n == r, "Y").otherwise("N")
-    kind = F.when(F.col("p_size") % 5 == 0, "Warrants to buy Common Stock").when(F.col("p_size") % 5 == 1, "Fund").otherwise("Common Stock")
-    line = F.concat_ws("|", F.concat(F.lit("P"), "p_partkey", F.when(F.col("p_partkey") % 13 == 0, ".A").otherwise("")), F.concat("p_name", F.lit(" "), kind), F.when(F.col("p_partkey") % 3 == 0, "X").otherwise("N"), flag(7, 1), flag(11, 2), F.when(F.col("p_partkey") % 19 == 0, "D").otherwise(""), flag(23, 3))
-    ends = spark.range(2).select(F.when(F.col("id") == 0, "Symbol|Name|Exchange|ETF|Test|Status|Next").otherwise("File Creation Time: 0101202400:00||||||").alias("line"))
-    rows = files.traded_universe(p.select(line.alias("line")).unionByName(ends), "line")
-    return selection.drop_report(rows.withColumn("reason", co.ineligible_reason(["N", "Q", "A"])), "reason")
+    k = F.col("p_size") % 5
+    kind = F.when(k == 0, " - Warrants to buy Common Stock").when(k == 1, " Fund").when(k == 2, " - Subordinated Notes with Common Shares").when(k == 3, " Class A Common Stock").otherwise(" - Ordinary Shares")
+    symbol = F.concat(F.lit("P"), "p_partkey", F.when(F.col("p_partkey") % 13 == 0, ".A").otherwise(""))
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Rights ").otherwise("Units "), "p_name", kind)
+    line = F.concat_ws("|", F.lit("Y"), symbol, name, F.when(F.col("p_partkey") % 3 == 0, "X").otherwise("N"), F.lit(" "), flag(7, 1), F.lit("100"), flag(11, 2), F.when(F.col("p_partkey") % 19 == 0, "D").otherwise(""), symbol, symbol, flag(23, 3))
+    head = "Nasdaq Traded|Symbol|Security Name|Listing Exchange|Market Category|ETF|Round Lot Size|Test Issue|Financial Status|CQS Symbol|NASDAQ Symbol|NextShares"
+    ends = spark.range(2).select(F.when(F.col("id") == 0, head).otherwise("File Creation Time: 0101202400:00|||||||||||").alias("line"))
+    return files.traded_universe(p.select(line.alias("line")).unionByName(ends), "line")
+
+
+def traded_universe(spark, sf_dir):
+    """Why each row of a traded universe is out of it, counted."""
+    return selection.drop_report(_universe(spark, sf_dir).withColumn("reason", co.ineligible_reason()), "reason")
+
+
+def issuers(spark, sf_dir):
+    """The eligible symbols with their issuers' names."""
+    rows = _universe(spark, sf_dir).where(co.ineligible_reason().isNull())
+    return rows.select("symbol", co.issuer_name("name").alias("issuer"), co.descriptor("name").alias("descriptor"))
 
 
 def announcement_kinds(spark, sf_dir):
@@ -154,9 +167,9 @@ def merged_games(spark, sf_dir):
 
 
 def quarantine(spark, sf_dir):
-    """Orders to publish: those with a bad total come from the last publication (their double price) where that is sound."""
+    """Orders to publish: those with a bad total come from the last publication, which had double prices, where that is sound."""
     o = _read(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("total"))
-    before = o.where("o_orderkey % 2 = 0").withColumn("total", F.round(F.col("total") * 2, 2))
+    before = o.withColumn("total", F.round(F.col("total") * 2, 2))
     return fixtures.quarantined(o, before, "o_orderkey", F.col("total") < 3000, share=0.5)
 
 
@@ -172,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sic_groups, traded_universe, announcement_kinds, earnings_risk, figures_and_ids, preferred_series, seeded_pick, pick_and_runners, scoreboard, holding_windows, benchmark_legs,
-        ingest_gate, fresh_unseen, item_scores, edition_top, game_slots, merged_games, quarantine, host_identities,
+        ingest_gate, fresh_unseen, item_scores, edition_top, issuers, game_slots, merged_games, quarantine, host_identities,
     )
 }
 ORACLE_SQL = {
@@ -182,8 +195,11 @@ ORACLE_SQL = {
     WHEN n < 4000 THEN 'Manufacturing' WHEN n < 5000 THEN 'Transportation, Communications and Utilities' WHEN n < 5200 THEN 'Wholesale Trade' WHEN n < 6000 THEN 'Retail Trade'
     WHEN n < 6800 THEN 'Finance, Insurance and Real Estate' WHEN n < 7000 THEN 'Unclassified' WHEN n < 9000 THEN 'Services' ELSE 'Public Administration' END AS division FROM p)
 SELECT sector, division, count(*) AS n, count(DISTINCT CASE WHEN n >= 100 THEN lpad(CAST(n AS VARCHAR), 4, '0')[1:2] END) AS majors FROM g GROUP BY 1, 2""",
-    "traded_universe": """WITH r AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'suffix' WHEN p_partkey % 11 = 2 THEN 'test issue' WHEN p_partkey % 7 = 1 THEN 'fund' WHEN p_partkey % 23 = 3 THEN 'fund' WHEN p_partkey % 3 = 0 THEN 'exchange'
-  WHEN p_partkey % 19 = 0 THEN 'status' WHEN p_size % 5 = 1 THEN 'not common' WHEN p_size % 5 = 0 THEN 'derivative' ELSE 'kept' END AS reason FROM part) SELECT reason, count(*) AS n FROM r GROUP BY 1""",
+    "traded_universe": """WITH r AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'symbol carries a class or status suffix' WHEN p_partkey % 11 = 2 THEN 'test issue' WHEN p_partkey % 7 = 1 THEN 'exchange-traded fund' WHEN p_partkey % 23 = 3 THEN 'NextShares fund'
+  WHEN p_partkey % 3 = 0 THEN 'exchange X not accepted' WHEN p_partkey % 19 = 0 THEN 'financial status D' WHEN p_size % 5 = 1 THEN 'not described as common or ordinary shares' WHEN p_size % 5 IN (0, 2) THEN 'derivative or non-equity instrument' ELSE 'kept' END AS reason FROM part)
+SELECT reason, count(*) AS n FROM r GROUP BY 1""",
+    "issuers": """SELECT 'P' || p_partkey AS symbol, CASE WHEN p_partkey % 2 = 0 THEN 'Rights ' ELSE 'Units ' END || p_name AS issuer, CASE WHEN p_size % 5 = 3 THEN 'Common Stock' ELSE ' - Ordinary Shares' END AS descriptor FROM part
+WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 2 AND p_partkey % 7 <> 1 AND p_partkey % 23 <> 3 AND p_partkey % 3 <> 0 AND p_partkey % 19 <> 0 AND p_size % 5 IN (3, 4)""",
     "announcement_kinds": """SELECT user_id, count(*) FILTER (WHERE event_type <> 'view' AND event_id % 4 = 2) AS releases, count(*) FILTER (WHERE event_type <> 'view' AND (event_id % 4 = 1 OR event_id % 3 = 1)) AS material FROM events GROUP BY 1""",
     "earnings_risk": """WITH o AS (SELECT o_custkey, CAST(max(CAST(o_orderdate AS DATE)) + 80 AS DATE) AS x, CAST(least(60, count(*)) AS INTEGER) AS s FROM orders GROUP BY 1)
 SELECT CASE WHEN x BETWEEN DATE '1998-08-01' AND DATE '1998-08-31' THEN 'in' WHEN x BETWEEN DATE '1998-08-01' - s AND DATE '1998-08-31' + s THEN 'near' ELSE 'none' END AS risk, count(*) AS n FROM o GROUP BY 1""",
@@ -214,8 +230,8 @@ SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY a, b, m OR
     "merged_games": """WITH e AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 's' || event_id % 3 AS source, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M') END AS time, event_id,
   CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 WHEN 'error' THEN 1 ELSE 0 END AS r, CASE event_type WHEN 'purchase' THEN 'final' WHEN 'signup' THEN 'postponed' WHEN 'error' THEN 'cancelled' ELSE 'scheduled' END AS status,
   CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END AS score FROM events)
-SELECT user_id, day, arg_max(status, {'r': r, 'i': event_id}) AS status, min(time) AS time, count(DISTINCT source) AS sources, arg_max(score, event_id) FILTER (WHERE score IS NOT NULL) AS score, min(score) < max(score) AS score_conflict FROM e GROUP BY 1, 2""",
-    "quarantine": """WITH o AS (SELECT o_orderkey, round(o_totalprice, 2) AS total FROM orders), b AS (SELECT o_orderkey, round(total * 2, 2) AS total FROM o WHERE o_orderkey % 2 = 0)
+SELECT user_id, day, arg_max(status, {'r': r, 'i': event_id}) AS status, arg_max(time, event_id) FILTER (WHERE time IS NOT NULL) AS time, count(DISTINCT source) AS sources, arg_max(score, event_id) FILTER (WHERE score IS NOT NULL) AS score, min(score) < max(score) AS score_conflict FROM e GROUP BY 1, 2""",
+    "quarantine": """WITH o AS (SELECT o_orderkey, round(o_totalprice, 2) AS total FROM orders), b AS (SELECT o_orderkey, round(total * 2, 2) AS total FROM o)
 SELECT *, 'new' AS origin FROM o WHERE total >= 3000 UNION ALL SELECT b.*, 'rescued' FROM b JOIN o USING (o_orderkey) WHERE o.total < 3000 AND b.total >= 3000""",
     "host_identities": """WITH n AS (SELECT DISTINCT 'team ' || page_id % 3 || CASE WHEN page_id % 2 = 0 THEN ' state' ELSE '' END AS name, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) || page_id % 3 AS host, page_id % 3 AS k FROM pages),
 g AS (SELECT k, max(CASE WHEN name LIKE '% state' THEN name END) AS long, count(DISTINCT name) AS c FROM n GROUP BY host, k)

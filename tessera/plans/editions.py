@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import similarity
+from ..operators import selection, similarity
 from .tables import scratch
 
 NOW = "2024-01-31 00:00:00"
@@ -56,15 +56,22 @@ def title_classes(spark, sf_dir):
     return rows.join(reps, "tokens").join(n, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
+def _nouns(spark, sf_dir):
+    """Documents with the proper nouns of title and text; the source is the publisher."""
+    d = _read(spark, sf_dir, "documents")
+    title = F.substring_index("text", "\n", 1)
+    return d.select("doc_id", "lang", selection.proper_nouns(title, F.substr("text", F.length(title) + 2), F.col("source")).alias("tokens"))
+
+
 def rare_token_pairs(spark, sf_dir):
-    """Pairs of title classes that share three tokens of at most 15 % of the classes."""
-    reps = similarity.classes(_titles(spark, sf_dir), "doc_id", "tokens")
-    return similarity.rare_token_pairs(reps, "rep", "tokens")
+    """Pairs of classes of documents with the same proper nouns that share three of those in at most 15 % of the classes."""
+    sorted_ = _nouns(spark, sf_dir).withColumn("tokens", F.array_sort("tokens"))
+    return similarity.rare_token_pairs(similarity.classes(sorted_, "doc_id", "tokens"), "rep", "tokens")
 
 
 def document_frequency(spark, sf_dir):
-    t = _titles(spark, sf_dir)
-    return t.select("lang", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count("*").alias("df"))
+    """In how many documents of a language each proper noun stands."""
+    return _nouns(spark, sf_dir).select("lang", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count("*").alias("df"))
 
 
 def greedy_dedupe(spark, sf_dir):
@@ -90,7 +97,7 @@ def recency_scores(spark, sf_dir):
 
 
 def mentions(spark, sf_dir):
-    """How often each part word occurs in customer market segments and part names, none left out."""
+    """How often each word of a part's name occurs, and for how many brands."""
     p = _read(spark, sf_dir, "part")
     words = p.select(F.explode(F.split("p_name", " ")).alias("word"), "p_brand")
     return words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
@@ -110,6 +117,12 @@ reps AS (SELECT tokens, min(doc_id) AS rep, count(*) AS copies FROM t GROUP BY t
 _PAIRS = """w AS (SELECT rep, len(tokens) AS n, unnest(tokens) AS token FROM reps),
 met AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM w a JOIN w b ON a.token = b.token AND a.rep < b.rep GROUP BY a.rep, b.rep),
 pairs AS (SELECT a, b, i / (na + nb - i) AS similarity FROM met WHERE i / (na + nb - i) > 0.5)"""
+_WORDS = r"regexp_extract_all({}, '[A-Za-zÀ-ÖØ-öø-ÿ][0-9A-Za-z_À-ÖØ-öø-ÿ''’-]*|[.!?\n—]')"
+_INSIDE = r"list_filter({0}, lambda w, i: i > 1 AND NOT regexp_matches({0}[i - 1], '^[.!?\n—]$') AND length(w) >= 4 AND regexp_matches(w, '^[A-ZÀ-Ö]'))"
+_NOUNS = rf"""words AS (SELECT doc_id, lang, source, {_WORDS.format("split_part(text, chr(10), 1)")} AS tw, {_WORDS.format("substr(text, length(split_part(text, chr(10), 1)) + 2)")} AS xw FROM documents WHERE text IS NOT NULL),
+nouns AS (SELECT doc_id, lang, list_filter(list_distinct(list_transform(list_concat({_INSIDE.format("tw")}, {_INSIDE.format("xw")}), lambda w: regexp_replace(lower(w), '[''’]s$', ''))),
+    lambda w: NOT list_contains(regexp_split_to_array(lower(coalesce(source, '')), '[^a-z0-9]+'), w)) AS tokens FROM words
+  UNION ALL SELECT doc_id, lang, [] FROM documents WHERE text IS NULL)"""
 ORACLE_SQL = {
     "canonical_url": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') AS host,
   regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages),
@@ -125,11 +138,12 @@ SELECT doc_id, normal, CASE WHEN length(title) <= 60 THEN title ELSE regexp_repl
     "title_jaccard_pairs": f"WITH {_TITLES}, {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs",
     "title_classes": f"""WITH {_TITLES}, {_PAIRS}, n AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY rep)
 SELECT doc_id, rep AS class_id, coalesce(links, 0) AS links FROM t JOIN reps USING (tokens) LEFT JOIN n USING (rep)""",
-    "rare_token_pairs": f"""WITH {_TITLES}, w AS (SELECT rep, unnest(tokens) AS token FROM reps), df AS (SELECT token FROM w GROUP BY token HAVING count(*) <= (SELECT greatest(2, floor(count(*) * 0.15)) FROM reps)),
+    "rare_token_pairs": f"""WITH {_NOUNS}, reps AS (SELECT min(doc_id) AS rep, list_sort(tokens) AS tokens FROM nouns GROUP BY 2),
+w AS (SELECT rep, unnest(tokens) AS token FROM reps), df AS (SELECT token FROM w GROUP BY token HAVING count(*) <= (SELECT greatest(2, floor(count(*) * 0.15)) FROM reps)),
 r AS (SELECT w.* FROM w JOIN df USING (token)), n AS (SELECT rep, count(*) AS n FROM r GROUP BY rep),
 p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM r a JOIN r b ON a.token = b.token AND a.rep < b.rep GROUP BY ALL HAVING count(*) >= 3)
 SELECT a, b, shared FROM p JOIN n x ON a = x.rep JOIN n y ON b = y.rep WHERE shared >= 0.25 * least(x.n, y.n)""",
-    "document_frequency": f"WITH {_TITLES} SELECT lang, token, count(*) AS df FROM (SELECT lang, unnest(tokens) AS token FROM t) GROUP BY ALL",
+    "document_frequency": f"WITH {_NOUNS} SELECT lang, token, count(*) AS df FROM (SELECT lang, unnest(tokens) AS token FROM nouns) GROUP BY ALL",
     "topn_per_group": "SELECT doc_id, lang, source, n_chars, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 3",
     "recency_scores": f"""SELECT user_id, round(sum(CASE event_type WHEN 'purchase' THEN 1.5 WHEN 'error' THEN 0.85 ELSE 1 END * pow(0.5, greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 3600) / 18)), 6) AS score
 FROM events GROUP BY 1""",

@@ -81,29 +81,37 @@ def accepted_instant(column: str) -> Column:
 
 
 def submissions(table: DataFrame, forms: list[str], ciks: DataFrame | None = None) -> DataFrame:
-    """Filings of the wanted forms with a numeric cik and a readable acceptance; ciks (cik) restricts them."""
+    """Filings of the wanted forms with a numeric cik and a readable acceptance; ciks (cik) restricts them. Tables without filed, fy or fp give null."""
+    has = lambda c: F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c)
+    filed = (ymd("filed") if "filed" in table.columns else F.lit(None).cast("date")).alias("filed")
     rows = table.where(F.col("form").isin(forms) & F.col("cik").rlike(r"^\d+$")).select(
-        "adsh", F.lpad("cik", 10, "0").alias("cik"), "form", ymd("period").alias("period"), accepted_instant("accepted").alias("accepted"), (F.col("prevrpt") == "1").alias("prevrpt")
+        "adsh", F.lpad("cik", 10, "0").alias("cik"), "form", ymd("period").alias("period"), accepted_instant("accepted").alias("accepted"), (F.col("prevrpt") == "1").alias("prevrpt"), filed, has("fy"), has("fp")
     ).where("accepted is not null")
     return rows if ciks is None else rows.join(ciks, "cik", "left_semi")
 
 
 def facts(table: DataFrame, filings: DataFrame, tags: list[str]) -> DataFrame:
-    """Consolidated facts (no segment, no co-registrant) of the wanted tags with finite values and whole quarters, with their filing."""
+    """Consolidated facts (no segment, no co-registrant) of the wanted tags with a date, finite values and whole quarters, with their
+    version and the columns of their filing; filing columns are those of submissions()."""
     value, qtrs = F.expr("try_cast(value as double)"), F.expr("try_cast(qtrs as int)")
-    good = table.where((F.trim(F.coalesce("segments", F.lit(""))) == "") & (F.trim(F.coalesce("coreg", F.lit(""))) == "") & F.col("tag").isin(tags) & F.col("qtrs").rlike(r"^\d+$") & value.isNotNull() & ~F.isnan(value))
-    return good.select("adsh", "tag", ymd("ddate").alias("ddate"), qtrs.alias("qtrs"), "uom", value.alias("value")).join(filings, "adsh")
+    version = F.trim("version") if "version" in table.columns else F.lit("")
+    good = table.where((F.trim(F.coalesce("segments", F.lit(""))) == "") & (F.trim(F.coalesce("coreg", F.lit(""))) == "") & F.col("tag").isin(tags) & F.col("qtrs").rlike(r"^\d+$") & (F.abs(value) < float("inf")) & ymd("ddate").isNotNull())
+    return good.select("adsh", "tag", version.alias("version"), ymd("ddate").alias("ddate"), qtrs.alias("qtrs"), F.trim("uom").alias("uom"), value.alias("value")).join(filings, "adsh")
 
 
 def company_facts(docs: DataFrame, json: str, cik: str) -> DataFrame:
-    """Facts of {facts: {taxonomy: {tag: {units: {unit: [{start, end, val, accn, form, filed}]}}}}}; quarters come from the span of days."""
-    shape = "facts map<string, map<string, struct<units: map<string, array<struct<start: string, end: string, val: double, accn: string, form: string, filed: string>>>>>>"
+    """Facts of {facts: {taxonomy: {tag: {units: {unit: [{start, end, val, accn, form, filed, fy, fp}]}}}}}; quarters come from the span of
+    days: none for a date, and no fact where the end does not lie behind the start or the span is of no whole quarters."""
+    shape = "facts map<string, map<string, struct<units: map<string, array<struct<start: string, end: string, val: double, accn: string, form: string, filed: string, fy: string, fp: string>>>>>>"
     x = docs.select(cik, F.explode(F.from_json(json, shape)["facts"]).alias("taxonomy", "tags")).select(cik, F.explode("tags").alias("tag", "u"))
     x = x.select(cik, "tag", F.explode("u.units").alias("uom", "rows")).select(cik, "tag", "uom", F.explode("rows").alias("r")).select(cik, "tag", "uom", "r.*")
-    days = F.datediff(F.to_date("end"), F.to_date("start"))
-    qtrs = F.when(F.col("start").isNull(), 0).when(days <= 115, 1).when(days <= 205, 2).when(days <= 295, 3).when(days <= 400, 4)
-    return x.where(F.col("val").isNotNull() & F.col("end").rlike(DAY) & F.col("filed").rlike(DAY)).select(
-        cik, F.col("accn").alias("adsh"), "tag", F.to_date("end").alias("ddate"), qtrs.alias("qtrs"), "uom", F.col("val").alias("value"), "form", accepted_instant("filed").alias("accepted")
+    day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
+    days = F.datediff(day("end"), day("start"))
+    # fixed values: the most days of one to four quarters
+    qtrs = F.when(F.coalesce("start", F.lit("")) == "", 0).when(days <= 0, None).when(days <= 115, 1).when(days <= 205, 2).when(days <= 295, 3).when(days <= 400, 4)
+    return x.where((F.abs("val") < float("inf")) & F.col("end").rlike(DAY) & F.col("filed").rlike(DAY)).select(
+        cik, F.col("accn").alias("adsh"), "tag", F.lit("companyfacts").alias("version"), day("end").alias("ddate"), qtrs.alias("qtrs"), "uom", F.col("val").alias("value"), "form", accepted_instant("filed").alias("accepted"),
+        day("filed").alias("filed"), "fy", "fp", F.lit(False).alias("prevrpt"),
     ).where("qtrs is not null")
 
 
@@ -132,12 +140,34 @@ def items(column: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(\d+\.\d+)"), 1))
 
 
+#: The columns of a traded universe by their names in its header; the last two may be missing.
+UNIVERSE = {
+    "symbol": "symbol", "name": "security name", "exchange": "listing exchange", "etf": "etf", "test_issue": "test issue", "financial_status": "financial status", "next_shares": "nextshares",
+}
+_OPTIONAL = ("financial_status", "next_shares")
+
+
 def traded_universe(lines: DataFrame, line: str) -> DataFrame:
-    """symbol, name, exchange, etf, test_issue, financial_status, next_shares of pipe-separated lines; header, trailer and short rows are dropped."""
-    f = F.split(line, r"\|")
-    names = ("symbol", "name", "exchange", "etf", "test_issue", "financial_status", "next_shares")
-    rows = lines.where((F.size(f) >= len(names)) & ~F.col(line).startswith("File Creation Time") & ~F.col(line).startswith("Symbol|"))
-    return rows.select(*[F.trim(f[i]).alias(n) for i, n in enumerate(names)])
+    """The columns of UNIVERSE of pipe-separated lines with a header, found by the header's names in any case and order.
+
+    The header is read first (one row); the trailer, empty lines and lines that lack more than one field are left out, fields that lack read empty.
+    Lines without a header that has the columns are an error; no lines give no rows.
+    """
+    f = F.transform(F.split(F.regexp_replace(line, "\\r$", ""), r"\|"), lambda x: F.trim(x))  # trim takes a second argument, which would be the place
+    needed = [F.lit(v) for k, v in UNIVERSE.items() if k not in _OPTIONAL]
+    is_head = F.size(F.array_except(F.array(*needed), F.transform(f, F.lower))) == 0
+    head = lines.where(is_head).select(F.transform(f, F.lower).alias("f")).limit(1).collect()
+    if not head and not lines.where(F.length(line) > 0).isEmpty():
+        raise ValueError(f"no header with the columns {', '.join(v for k, v in UNIVERSE.items() if k not in _OPTIONAL)}")
+    names = head[0]["f"] if head else list(UNIVERSE.values())
+    rows = lines.where((F.length(line) > 0) & ~is_head & ~F.col(line).startswith("File Creation Time:") & (F.size(f) >= len(names) - 1))
+    at = {k: names.index(v) if v in names else None for k, v in UNIVERSE.items()}
+    return rows.select(*[(F.lit("") if i is None else F.coalesce(F.get(f, F.lit(i)), F.lit(""))).alias(k) for k, i in at.items()])
+
+
+def universe_created(lines: DataFrame, line: str) -> DataFrame:
+    """created_at, the text behind the trailer's "File Creation Time:"; no row without a trailer."""
+    return lines.where(F.col(line).startswith("File Creation Time:")).select(F.trim(F.substring(line, 20, 1000)).alias("created_at"))
 
 
 def ticker_map(docs: DataFrame, json: str) -> DataFrame:

@@ -15,10 +15,13 @@ from ..operators.merge import folded, refolded, state_rows
 
 
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is committed under path, None for nothing; a folder that cannot be read is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or one without versions
+            return None
+        raise
 
 
 def _states(spark: SparkSession, archive: str, key: str) -> DataFrame | None:
@@ -26,7 +29,10 @@ def _states(spark: SparkSession, archive: str, key: str) -> DataFrame | None:
     if base is None:
         return log if log is None else refolded(log.drop("archive_version"), key)
     last = base.agg(F.max("archive_version")).first()[0]
-    return refolded(base.where(F.col("archive_version") == last).drop("archive_version").unionByName(log.where(F.col("archive_version") > last).drop("archive_version")), key)
+    whole = base.where(F.col("archive_version") == last).drop("archive_version")
+    if log is None:  # its versions were deleted after a compaction
+        return refolded(whole, key)
+    return refolded(whole.unionByName(log.where(F.col("archive_version") > last).drop("archive_version")), key)
 
 
 def read_archive(spark: SparkSession, archive: str, key: str, order: str) -> DataFrame | None:
