@@ -21,6 +21,14 @@ def test_quality_on_held_out_rows(spark):
     pairs, rows = held_out(spark, "op6_subword_embeddings", "quality", "/root/testdata/sf0.01")
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     assert np.mean([r.predicted == y for r, y in pairs]) >= 0.95
+    good, bad = (np.array([r.score for r, y in pairs if y == x]) for x in (1, 0))
+    assert (good[:, None] > bad[None, :]).mean() >= 0.98
+
+
+def test_quality_scores_are_graded(spark):
+    """Scores order the rows: the logits stay small, and hardly two texts share a score."""
+    scores = np.array([r.score for r in QUERIES["op6_subword_embeddings"](spark, "/root/testdata/sf0.1").collect()])
+    assert len(np.unique(scores)) > 5000 and np.abs(np.log(scores / (1 - scores))).max() < 25
 
 
 def test_toxicity_on_held_out_rows(spark):
