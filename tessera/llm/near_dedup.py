@@ -231,25 +231,52 @@ def _forest(table: pa.Table, n: int, percent: int) -> pa.Table:
 
 def _supported(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(node): those whose shingles in more than one component make up the threshold. A node without them, for instance one that
-    shares only a common passage, has no link to another component."""
+    shares only a common passage, has no link to another component.
+
+    Nodes of a component lie side by side in packs of some megabytes of text, ranges of (label, node), and a pack asks once for each shingle
+    that its nodes hold: what is shuffled are the distinct shingles of packs, not those of nodes.
+    """
+    pack = "pack long, nodes array<long>, ends array<int>, members array<int>, shingles array<long>, lo array<long>, hi array<long>"
 
     def start():
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
 
         def each(batch: pa.RecordBatch):
             sets = [shingles(unpack.decompress(t).decode(), hashes, n).view(np.int64) for t in batch.column("packed").to_pylist()]
-            return {"node": batch.column("node"), "label": batch.column("label"), "shingles": arrow_lists(sets, pa.int64())}
+            sizes = np.array([len(s) for s in sets])
+            values, members = np.unique(np.concatenate(sets), return_inverse=True)
+            labels = np.repeat(batch.column("label").to_numpy(), sizes)
+            lo, hi = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), np.iinfo(np.int64).min)
+            np.minimum.at(lo, members, labels)
+            np.maximum.at(hi, members, labels)
+            nodes, one = batch.column("node").to_numpy(), lambda a, kind=None: arrow_lists([a], kind or pa.int64())
+            return {"pack": nodes[:1], "nodes": one(nodes), "ends": one(np.cumsum(sizes), pa.int32()), "members": one(members, pa.int32()), "shingles": one(values), "lo": one(lo), "hi": one(hi)}
 
         return each
 
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"))
-    sets = stage(map_batches(nodes.join(texts, "node"), "node long, label long, shingles array<long>", start), "sets")
-    values = sets.select("node", "label", F.explode("shingles").alias("shingle"))
-    seen = values.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    packs = stage(map_batches(nodes.join(texts, "node").repartitionByRange("label", "node"), pack, start), "packs")
+    seen = packs.select(F.explode(F.arrays_zip("shingles", "lo", "hi")).alias("x")).groupBy(F.col("x.shingles").alias("shingle"))
+    seen = seen.agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"), F.count("*").alias("n"))
     shared = stage(seen.where("lo < hi").select("shingle", "n"), "shared")
-    support = join_counted(values.select("node", "shingle"), shared, ["shingle"]).groupBy("node").agg(F.count("*").alias("support"))
-    held = sets.select("node", F.size("shingles").alias("held"))
-    return held.join(support, "node").where(100 * F.col("support") >= percent * F.col("held")).select("node")
+    asked = packs.select("pack", F.explode("shingles").alias("shingle"))
+    answers = join_counted(asked, shared, ["shingle"]).groupBy("pack").agg(F.collect_list("shingle").alias("shared"))
+
+    def decide():
+        def each(batch: pa.RecordBatch):
+            good = []
+            for nodes, ends, members, values, shared in zip(*(batch.column(c) for c in ("nodes", "ends", "members", "shingles", "shared")), strict=True):
+                hit = np.isin(values.values.to_numpy(), shared.values.to_numpy())[members.values.to_numpy()]
+                ends = ends.values.to_numpy()
+                before = np.concatenate([[0], np.cumsum(hit)])
+                starts = np.concatenate([[0], ends[:-1]])
+                support = before[ends] - before[starts]
+                good.append(nodes.values.to_numpy()[(support > 0) & (100 * support >= percent * (ends - starts))])
+            return {"node": np.concatenate(good)}
+
+        return each
+
+    return map_batches(packs.join(answers, "pack").select("nodes", "ends", "members", "shingles", "shared"), "node long", decide)
 
 
 def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
