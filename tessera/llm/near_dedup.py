@@ -284,13 +284,11 @@ def _rest_of_cells(cells: DataFrame, labels: DataFrame, texts: DataFrame, n: int
     # a node is in a bounded number of cells, so it meets its label once
     by_node = cells.groupBy("node").agg(F.first("hot").alias("hot"), F.collect_list(F.struct("value", "cell", "upper")).alias("cells")).join(labels, "node", "left")
     rows = stage(by_node.select("node", "hot", F.coalesce("label", "node").alias("label"), F.explode("cells").alias("c")).select("node", "hot", "label", "c.*"), "labelled")
-    about = rows.groupBy("value", "cell").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    about = stage(about.where("lo <> hi").select("value", "cell", "n"), "rest")
-    rows = stage(join_counted(rows, about, ["value", "cell"]).select("value", "cell", "node", "label", "hot"), "rest-members")
-    rows = stage(rows.join(_supported(rows, texts, n, percent), "node"), "supported")
     # lists of one passage have nearly the same members: those whose smallest member (by hash) is the same are united
-    least = stage(rows.groupBy("value", "cell").agg(F.min(F.xxhash64("node")).alias("least"), F.count("*").alias("n")), "least")
-    rows = stage(join_counted(rows, least, ["value", "cell"]).select("cell", "least", "node", "label", "hot").distinct(), "united")
+    about = rows.groupBy("value", "cell").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.xxhash64("node")).alias("least"))
+    about = stage(about.where("lo <> hi").select("value", "cell", "least", "n"), "rest")
+    rows = stage(join_counted(rows, about, ["value", "cell"]).select("cell", "least", "node", "label", "hot"), "rest-members")
+    rows = stage(rows.join(_supported(rows, texts, n, percent), "node").select("cell", "least", "node", "label", "hot").distinct(), "united")
     best = F.struct("hot", (-F.col("node")).alias("minus"), "label")
     about = rows.groupBy("cell", "least").agg(F.max(best)["label"].alias("major"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     about = stage(about.where("lo <> hi").select("cell", "least", "major", "n"), "majors")
