@@ -99,7 +99,7 @@ def strategy_results(spark, sf_dir):
     return out.join(folio, "strategy").select("strategy", "positions", *[F.round(c, 6).alias(c) for c in ("mean_net", "win_rate", "gain", "loss")], "names", F.round(F.col("growth") / HOLD - 1, 6).alias("portfolio"))
 
 
-def open_positions(spark, sf_dir):
+def book_positions(spark, sf_dir):
     """Urgent orders are a log of choices, published at an hour of their day; those still held on the first order day of 1998."""
     o = _read(spark, sf_dir, "orders")
     days = o.select(F.to_date("o_orderdate").alias("date")).where("weekday(date) < 5 and day(date) <> 4")
@@ -107,7 +107,7 @@ def open_positions(spark, sf_dir):
     return book.open_book(log.where("o_orderdate < '1998-02-01'"), ts.calendar(days), "1998-01-05").select("o_orderkey", "held")
 
 
-QUERIES = {q.__name__: q for q in (strategy_walk, strategy_results, open_positions)}
+QUERIES = {q.__name__: q for q in (strategy_walk, strategy_results, book_positions)}
 
 _BARS = """
 b AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
@@ -203,7 +203,7 @@ p AS (SELECT strategy, c.session, c.ticker, round(e.close * 0.999 / (o.open * 1.
 f AS (SELECT strategy, (sum(growth) + 6 - count(*)) / 6 - 1 AS portfolio FROM (SELECT strategy, (session + 1) % 6 AS slot, product(1 + net) AS growth FROM p GROUP BY 1, 2) GROUP BY 1)
 SELECT strategy, count(*) AS positions, round(avg(net), 6) AS mean_net, round(count(*) FILTER (WHERE net > 0) / count(*), 6) AS win_rate, round(avg(net) FILTER (WHERE net > 0), 6) AS gain,
   round(avg(net) FILTER (WHERE net <= 0), 6) AS loss, count(DISTINCT ticker) AS names, round(any_value(portfolio), 6) AS portfolio FROM p JOIN f USING (strategy) GROUP BY strategy""",
-    "open_positions": """WITH cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) WHERE isodow(date) < 6 AND day(date) <> 4),
+    "book_positions": """WITH cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) WHERE isodow(date) < 6 AND day(date) <> 4),
 log AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey * 37 % 1440 AS INTEGER)) AS published FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate < TIMESTAMP '1998-02-01'),
 e AS (SELECT o_orderkey, (SELECT min(i) FROM cal WHERE date >= CAST(published AS DATE) + CASE WHEN strftime(published, '%H:%M') < '09:30' THEN 0 ELSE 1 END) AS entry FROM log)
 SELECT o_orderkey, CAST(greatest(0, coalesce((SELECT max(i) FROM cal WHERE date <= DATE '1998-01-05') - entry + 1, 0)) AS INTEGER) AS held FROM e
