@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.teams import name_words
+
 STATUS = {"scheduled": 0, "cancelled": 1, "postponed": 1, "final": 2}
 
 
@@ -47,6 +49,32 @@ def identities(names: DataFrame, slug: str, name: str, host: str) -> DataFrame:
     return on.join(good.select(host, "winner"), host).where(F.col(slug) != F.col("winner")).groupBy(slug).agg(F.min("winner").alias("winner"))
 
 
+def identity_evidence(rows: DataFrame, slug: str, name: str, host: str) -> DataFrame:
+    """What speaks for slugs being one team: a row for each host that two slugs or more link to, with slugs (sorted), links (how many rows said so, by
+    slug in that order), merged, winner, why. They are merged where of every two names the words of one begin the other's; a host that two teams link to
+    by mistake is left alone as a whole. A slug's name is the longest printed one (ties: the first), or the slug itself, as for the owner of a page, whose
+    rows have no name. The winner's name has the most words, then the most letters, then the first slug. Rows without slug or host speak for nothing.
+    """
+    named = rows.where(F.col(slug).isNotNull()).groupBy(slug).agg(F.min(F.when(F.col(name).isNotNull(), F.struct((-F.length(name)).alias("n"), F.col(name).alias("name"))))["name"].alias("_name"))
+    claims = rows.where(F.col(slug).isNotNull() & F.col(host).isNotNull()).groupBy(host, slug).agg(F.count("*").alias("_links"))
+    each = claims.join(named, slug).withColumn("_name", F.coalesce("_name", slug)).withColumn("_words", name_words(F.col("_name")))
+    one = F.struct(F.col(slug).alias("slug"), F.col("_links").alias("links"), F.col("_words").alias("words"))
+    best = F.min(F.struct(-F.size("_words"), -F.length("_name"), F.col(slug).alias("slug")))["slug"]
+    g = each.groupBy(host).agg(F.sort_array(F.collect_list(one)).alias("all"), best.alias("winner")).where(F.size("all") > 1)
+    longest = F.reduce("all", F.array().cast("array<string>"), lambda a, x: F.when(F.size(x["words"]) > F.size(a), x["words"]).otherwise(a))
+    g = g.withColumn("_longest", longest).withColumn("merged", F.forall("all", lambda x: F.slice("_longest", 1, F.size(x["words"])) == x["words"]))
+    return g.select(
+        host, F.col("all.slug").alias("slugs"), F.col("all.links").alias("links"), "merged", F.when(F.col("merged"), F.col("winner")).alias("winner"),
+        F.when(F.col("merged"), F.lit("all link to the host and their names agree")).otherwise("names on the host do not agree").alias("why"),
+    )
+
+
+def merges_of(evidence: DataFrame, slug: str = "slug") -> DataFrame:
+    """slug, winner of the merges that evidence allows, as `canonical` takes them; a slug merged on several hosts goes to the first winner."""
+    x = evidence.where("merged").select(F.explode("slugs").alias(slug), "winner")
+    return x.where(F.col(slug) != F.col("winner")).groupBy(slug).agg(F.min("winner").alias("winner"))
+
+
 def canonical(names: DataFrame, merges: DataFrame, slug: str, steps: int = 8) -> DataFrame:
     """names with slug replaced by the end of its chain of merges, of at most `steps` links."""
     end = merges.select(F.col(slug).alias("_s"), F.col("winner").alias("_w"))
