@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import archive, book, company, cross_section, editions, fundamentals, pages, periods, pit, prices, sources, standings, tables, walks
+from . import archive, book, company, cross_section, editions, fundamentals, pages, periods, pit, prices, publishing, sources, standings, tables, walks
 
-_PARTS = (standings, prices, periods, pit, cross_section, editions, tables, sources, company, walks, book, archive, fundamentals, pages)
+_PARTS = (standings, prices, periods, pit, cross_section, editions, tables, sources, company, walks, book, archive, fundamentals, pages, publishing)
 #: Calendar dates leave a query as text (YYYY-MM-DD), since engines differ in how they hand a date to a client.
 _DATES = {
     **dict.fromkeys(["daily_bars", "trading_calendar", "sma_20", "median_dollar_volume_60", "realised_vol_60", "momentum_12_1"], ["date"]),
