@@ -1,10 +1,12 @@
 """License scans: MinHash bands over overlapping text windows retrieve license templates, and an exact shingle containment
 verifies each match.
 
-Documents are cut into blocks a quarter longer than a template (of a size class); a window is two neighbouring blocks, so it
-holds any occurrence of the template that is at most a block long. A window that contains 0.8 of a template has a Jaccard
-with it of at least 0.8 m / (2 * 1.25 * c + 1), with m shingles in the template and c in the longest of its class; the number
-of one-row bands is chosen for a miss chance of at most `miss` there.
+A template is contained where some stretch of at most `REACH` times its length holds 0.8 of its distinct shingles, whatever else
+lies between them; the measure is of the text alone and does not depend on where windows begin. Documents are cut into blocks of
+the longest reach of a size class; a window is two neighbouring blocks, so it holds any such stretch whole. A window that holds 0.8
+of a template has a Jaccard with it of at least 0.8 m / (2 * block + 0.2 m), with m shingles in the template; the number of
+one-row bands is chosen for a miss chance of at most `miss` there. Of a document and template that a window retrieves, every
+stretch is measured.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .decontaminate import words_of
 
 SHINGLE = 5
 CONTAINED = 0.8
+REACH = 2.5
 
 # The words of public licence notices, to be matched as they are published.
 TEMPLATES = {
@@ -43,6 +46,7 @@ TEMPLATES = {
 class SizeClass:
     names: tuple[str, ...]
     shingles: tuple[np.ndarray, ...]  # sorted distinct hashes of each template
+    reach: tuple[int, ...]  # the longest stretch that a match of each may take, in shingles
     block: int
 
 
@@ -53,14 +57,14 @@ def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(WordHashes().of(words), n))
 
 
-def size_classes(templates: dict[str, tuple[str, str]], n: int = SHINGLE, ratio: float = 1.4) -> list[SizeClass]:
-    """Templates of like size together; a block is a quarter longer than the longest of its class."""
+def size_classes(templates: dict[str, tuple[str, str]], n: int = SHINGLE, ratio: float = 1.4, reach: float = REACH) -> list[SizeClass]:
+    """Templates of like size together; a block is the longest reach of its class."""
     out: list[list[tuple[str, np.ndarray, int]]] = []
     for name, s, size in sorted(((k, shingle_set(t, n), len(words_of(t)) - n + 1) for k, (_, t) in templates.items()), key=lambda x: x[2]):
         if not out or size > ratio * out[-1][0][2]:
             out.append([])
         out[-1].append((name, s, size))
-    return [SizeClass(tuple(x[0] for x in c), tuple(x[1] for x in c), max(1, math.ceil(1.25 * c[-1][2]))) for c in out]
+    return [SizeClass(tuple(x[0] for x in c), tuple(x[1] for x in c), tuple(math.ceil(reach * x[2]) for x in c), math.ceil(reach * c[-1][2])) for c in out]
 
 
 def bands_for(classes: list[SizeClass], contained: float = CONTAINED, miss: float = 1e-4) -> int:
@@ -84,34 +88,58 @@ def _cut(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return starts, heads, starts[heads], np.minimum(starts[heads] + 2 * block, ends[doc[heads]])
 
 
+def stretches(own: np.ndarray, template: np.ndarray, reach: int, contained: float) -> tuple[float, list[tuple[int, int]]]:
+    """The largest share of a template's shingles in any stretch of `reach` shingles of a document, and the places that hold enough of
+    it: from the left, each from its first shingle of the template to the last one that is new in the stretch, none over another."""
+    at = np.searchsorted(template, own)
+    where = np.flatnonzero(template[np.minimum(at, len(template) - 1)] == own)
+    kinds, where = at[where].tolist(), where.tolist()
+    held, distinct, most, end, beyond, places = [0] * len(template), 0, 0, 0, 0, []
+    for i, first in enumerate(where):
+        while beyond < len(where) and where[beyond] < first + reach:
+            distinct += held[kinds[beyond]] == 0
+            held[kinds[beyond]] += 1
+            beyond += 1
+        most = max(most, distinct)
+        if distinct >= contained * len(template) and first >= end:
+            seen: set[int] = set()
+            for j in range(i, beyond):
+                if kinds[j] not in seen:
+                    seen.add(kinds[j])
+                    end = where[j] + 1
+            places.append((first, end))
+        held[kinds[i]] -= 1
+        distinct -= held[kinds[i]] == 0
+    return most / len(template), places
+
+
 def scan(shingles: np.ndarray, lengths: np.ndarray, classes: list[SizeClass], bands: int, contained: float = CONTAINED):
-    """(start, end, template, containment) of verified windows over the joined shingle sequences of documents."""
+    """(document, template, containment, places) of the matches in the joined shingle sequences of documents; places count from the
+    document's first shingle."""
     factors, cuts = multipliers(bands), [_cut(lengths, c.block) for c in classes]
-    picked: list[set[tuple[int, int]]] = [set() for _ in classes]
+    ends = np.cumsum(lengths)
+    picked: set[tuple[int, int, int]] = set()  # document, class, template
     for f in factors:
         y = shingles * f
-        for k, (c, (starts, heads, _, _)) in enumerate(zip(classes, cuts, strict=True)):
+        for k, (c, (starts, heads, lo, _)) in enumerate(zip(classes, cuts, strict=True)):
             low = np.minimum.reduceat(y, starts)
             pair = np.minimum(low[heads], low[np.minimum(heads + 1, len(low) - 1)]) if len(low) > 1 else low[heads]
             for t, s in enumerate(c.shingles):
-                picked[k].update((int(w), t) for w in np.flatnonzero(pair == (s * f).min()))
-    for k, c in enumerate(classes):
-        _, _, lo, hi = cuts[k]
-        for w, t in sorted(picked[k]):
-            own = shingles[lo[w] : hi[w]]
-            found = np.isin(own, c.shingles[t])
-            share = len(np.unique(own[found])) / len(c.shingles[t])
-            if share >= contained:
-                at = np.flatnonzero(found)
-                yield int(lo[w] + at[0]), int(lo[w] + at[-1] + 1), c.names[t], share
+                hits = np.flatnonzero(pair == (s * f).min())
+                picked.update((int(d), k, t) for d in np.searchsorted(ends, lo[hits], side="right"))
+    for d, k, t in sorted(picked):
+        share, places = stretches(shingles[ends[d] - lengths[d] : ends[d]], classes[k].shingles[t], classes[k].reach[t], contained)
+        if places:
+            yield d, classes[k].names[t], share, places
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, contained: float = CONTAINED, miss: float = 1e-4, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs and template it contains: doc_id, template_id, license, containment (of the best window),
-    n_spans, spans (array of start, end in words).
+    """One row for each row of docs and template it contains: doc_id, template_id, license, containment (of the best stretch),
+    n_spans, spans (array of start, end in words, from the left, as `stretches` finds them; neighbours may share words of a shingle).
 
-    Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII. Null, empty and shorter texts match nothing and give no row;
-    repeated rows each give theirs; an empty table gives none; other columns are ignored.
+    Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII. Null, empty and shorter texts match nothing and give no row; texts
+    are read whole, however long, with one pass for each template retrieved; of equal stretches the leftmost counts; repeated rows
+    each give theirs; an empty table gives none; other columns are ignored.
     """
     classes = size_classes(templates, n)
     bands = bands_for(classes, contained, miss)
@@ -125,28 +153,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPL
             if not rows:
                 return None
             lengths = np.array([len(sequences[i]) for i in rows])
-            offsets = np.cumsum(lengths) - lengths
-            best: dict[tuple[int, str], list] = {}
-            for lo, hi, name, share in scan(np.concatenate([sequences[i] for i in rows]), lengths, classes, bands, contained):
-                d = int(np.searchsorted(offsets, lo, side="right")) - 1
-                held = best.setdefault((rows[d], name), [0.0, []])
-                held[0] = max(held[0], share)
-                held[1].append((lo - int(offsets[d]), hi - int(offsets[d]) + n - 1))
-            if not best:
+            found = sorted((rows[d], name, share, places) for d, name, share, places in scan(np.concatenate([sequences[i] for i in rows]), lengths, classes, bands, contained))
+            if not found:
                 return None
-            keys = sorted(best)
-            spans = []
-            for k in keys:
-                merged: list[list[int]] = []
-                for a, b in sorted(best[k][1]):
-                    if merged and a < merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                spans.append([{"start": a, "end": b} for a, b in merged])
+            spans = [[{"start": a, "end": b + n - 1} for a, b in places] for _, _, _, places in found]
             return {
-                "doc_id": batch.column("doc_id").take(pa.array([i for i, _ in keys], pa.int32())), "template_id": [t for _, t in keys],
-                "license": [templates[t][0] for _, t in keys], "containment": [best[k][0] for k in keys], "n_spans": [len(s) for s in spans],
+                "doc_id": batch.column("doc_id").take(pa.array([i for i, *_ in found], pa.int32())), "template_id": [t for _, t, *_ in found],
+                "license": [templates[t][0] for _, t, *_ in found], "containment": [share for _, _, share, _ in found], "n_spans": [len(s) for s in spans],
                 "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             }
 
