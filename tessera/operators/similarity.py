@@ -16,19 +16,38 @@ def classes(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     return rows.groupBy(F.col(tokens).alias("tokens")).agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
 
 
-def similar_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity) of token sets (rep, tokens) with a Jaccard above the threshold.
+#: Longs of 64 bits in the sketch of a token set.
+_SKETCH = 4
+
+
+def candidate_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b) of token sets (rep, tokens) that may have a Jaccard above the threshold; none that has is missing.
 
     Prefix filter: sets so alike share one of their rarest tokens, so each is listed under those only and common tokens never
-    make long lists.
+    make long lists. Two bounds of the overlap hold back in the join itself, before anything is shuffled, what cannot reach it:
+    the tokens that are left from the place of the shared one on, and the bits in which sketches differ (each bit is the parity of
+    the tokens that hash to it, so two sets differ in at least as many tokens).
     """
     words = reps.where(F.size("tokens") > 0).select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = words.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "token"))
-    listed = words.join(df, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    left, right = (listed.select("token", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    of_rep = W.partitionBy("rep")
+    bit = F.expr("shiftleft(1L, cast(_h & 63 as int))")
+    sketch = {f"s{i}": F.coalesce(F.bit_xor(F.when(F.expr(f"shiftright(_h, 6) & {_SKETCH - 1} = {i}"), bit)).over(of_rep), F.lit(0).cast("long")) for i in range(_SKETCH)}
+    placed = words.join(df, "token").withColumn("_h", F.xxhash64("token")).withColumns(sketch | {"place": F.row_number().over(of_rep.orderBy("df", "token"))})
+    listed = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    kept = ("n", "place", *sketch)
+    left, right = (listed.select("token", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in kept]) for x in "ab")
     fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    both = F.col("n_a") + F.col("n_b")
+    need = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in sketch), F.lit(0))
+    reach = (1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need) & (both - differ >= 2 * need)
+    return left.join(right, "token").where((F.col("a") < F.col("b")) & fits & reach).select("a", "b").distinct()
+
+
+def similar_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity) of token sets (rep, tokens) with a Jaccard above the threshold: candidates compared in full."""
+    pairs = candidate_pairs(reps, threshold)
     for x in "ab":
         pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("tokens").alias(f"t_{x}")), x)
     return pairs.withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
@@ -73,6 +92,7 @@ def greedy_keep(items: DataFrame, links: DataFrame, key: str, rank: str, scratch
         return spark.read.schema(df.schema).parquet(path)
 
     ranks = items.select(F.col(key).alias("k"), F.col(rank).alias("r"))
+    links = written(links.select("a", "b"))
     both = links.select(F.col("a").alias("k"), F.col("b").alias("o")).union(links.select(F.col("b"), F.col("a"))).distinct()
     better = written(both.join(ranks, "k").join(ranks.select(F.col("k").alias("o"), F.col("r").alias("ro")), "o").where("ro < r").select("k", "o"))
     linked = better.select("k").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import selection, similarity
-from .tables import scratch
+from .tables import scratch, stored
 
 NOW = "2024-01-31 00:00:00"
 
@@ -43,14 +43,14 @@ def normal_titles(spark, sf_dir):
 
 def title_jaccard_pairs(spark, sf_dir):
     """Pairs of distinct title token sets with a Jaccard over one half, by the smallest doc_id of each."""
-    reps = similarity.classes(_titles(spark, sf_dir), "doc_id", "tokens")
+    reps = stored(similarity.classes(_titles(spark, sf_dir), "doc_id", "tokens"), "titles")
     return similarity.similar_pairs(reps).withColumn("similarity", F.round("similarity", 6))
 
 
 def title_classes(spark, sf_dir):
     """Each document with the class of its title's tokens and the number of other classes that are like it."""
     rows = _titles(spark, sf_dir)
-    reps = similarity.classes(rows, "doc_id", "tokens")
+    reps = stored(similarity.classes(rows, "doc_id", "tokens"), "titles")
     pairs = similarity.similar_pairs(reps)
     n = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return rows.join(reps, "tokens").join(n, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
@@ -77,7 +77,7 @@ def document_frequency(spark, sf_dir):
 def greedy_dedupe(spark, sf_dir):
     """Title classes, longest document first, without those like a class kept before."""
     d = _titles(spark, sf_dir).join(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    reps = d.groupBy("tokens").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("size"))
+    reps = stored(d.groupBy("tokens").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("size")), "titles")
     # distinct ranks without a global sort: longer first, then the smaller id
     ranked = reps.withColumn("rank", F.struct((-F.col("size")).alias("size"), "rep"))
     kept = similarity.greedy_keep(ranked, similarity.similar_pairs(reps.select("rep", "tokens")), "rep", "rank", scratch(spark))
