@@ -2,14 +2,17 @@
 games move to new team identities.
 
 A game is a row of GAME. Everything about it lies in one bucket, the pair of teams on a date, so a bucket's readings are one array
-that is folded in order; a bucket holds what the sources print of one pair on one day, a few rows. Buckets are independent, and
-the fold is an expression on the JVM.
+that is taken in order. Buckets are independent. Which game a reading belongs to follows from times, ids and sources alone: one
+pass over these with look-up tables says which readings each game takes, then each game is folded on its own by an expression on
+the JVM, so that the work grows with the readings however many of them a bucket holds.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,11 +62,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _place(values: Column, value: Column) -> Column:
-    """The place from 1 of a value in an array, or null."""
-    return F.nullif(F.array_position(values, value).cast("int"), F.lit(0))
-
-
 def _rank(status: Column) -> Column:
     out = F.lit(0)
     for name, rank in STATUS.items():
@@ -71,12 +69,71 @@ def _rank(status: Column) -> Column:
     return out
 
 
-def _match(games: Column, c: Column) -> Column:
-    """Which game a candidate is another view of: one at the same time; one of the same id; the only one, if this source has not
-    told of it and the times do not contradict one another. Else null: another game."""
-    only = games[0]
-    alone = (F.size(games) == 1) & ~F.exists(only["sources"], lambda s: s["id"] == c["source"]) & (only["time"].isNull() | c["time"].isNull())
-    return F.coalesce(_place(F.transform(games, lambda g: g["time"]), c["time"]), _place(F.transform(games, lambda g: g["id"]), c["id"]), F.when(alone, 1))
+def _deal(times: list, ids: list, told: list, sources: list, new_times: list, new_ids: list) -> list[list[int]]:
+    """For each game of a bucket, the stored ones (times, ids, told: the sources of the first one) and then the new ones, the places of
+    the candidates (sources, new_times, new_ids) that are views of it.
+
+    A candidate belongs to the game at the same time; else to that of the same id; else to the only one, if this source has not told of
+    it and the times do not contradict one another; else it is another game. A game takes the time of its last candidate that has one.
+    """
+    times, told, taken = list(times), set(told), [[] for _ in times]
+    at_time: dict[str, list[int]] = {}
+    of_id: dict[str, int] = {}
+    for i, (time, id_) in enumerate(zip(times, ids, strict=True)):
+        at_time.setdefault(time, []).append(i)
+        of_id.setdefault(id_, i)
+    for n, (source, time, id_) in enumerate(zip(sources, new_times, new_ids, strict=True)):
+        if time is not None and at_time.get(time):
+            at = at_time[time][0]
+        elif id_ is not None and id_ in of_id:
+            at = of_id[id_]
+        elif len(times) == 1 and (times[0] is None or time is None) and not (told and (source is None or told & {source, None})):
+            at = 0
+        else:
+            at = len(times)
+            times.append(time)
+            taken.append([])
+            at_time.setdefault(time, []).append(at)
+            of_id.setdefault(id_, at)
+        taken[at].append(n)
+        if at == 0:
+            told.add(source)
+        if time is not None and times[at] != time:
+            at_time[times[at]].remove(at)
+            insort(at_time.setdefault(time, []), at)
+            times[at] = time
+    return taken
+
+
+def _one_event(times: list, publishers: list[list]) -> list[list[int]]:
+    """The places of the games of a bucket that are one event: each goes to the first event whose publishers are all others and whose
+    time does not differ, or of any time where the bucket has two games. Events of the same publishers and time are looked up as one."""
+    events: list[list[int]] = []
+    alike: dict[tuple, list[int]] = {}
+    apart = lambda a, b: not (a and b and (None in a | b or a & b))
+    for n, (time, names) in enumerate(zip(times, map(frozenset, publishers), strict=True)):
+        fits = [(at[0], key) for key, at in alike.items() if apart(key[1], names) and (len(times) == 2 or None in (key[0], time) or key[0] == time)]
+        if fits:
+            at, (event_time, event_names) = min(fits, key=lambda x: x[0])
+            events[at].append(n)
+            alike[event_time, event_names].pop(0)
+            if not alike[event_time, event_names]:
+                del alike[event_time, event_names]
+            key = (event_time if event_time is not None else time, event_names | names)
+        else:
+            at, key = len(events), (time, names)
+            events.append([n])
+        insort(alike.setdefault(key, []), at)
+    return events
+
+
+def _by_bucket(pick: Callable[..., list[list[int]]]) -> Callable[..., Column]:
+    """pick over the arrays of one bucket as a column function."""
+
+    def each(*columns: pa.Array) -> pa.Array:
+        return pa.array([pick(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.list_(pa.list_(pa.int32())))
+
+    return F.arrow_udf(each, "array<array<int>>")
 
 
 def _folded(game: Column, c: Column) -> Column:
@@ -129,8 +186,7 @@ def _empty(c: Column) -> Column:
 
 
 def merge_into_archive(archive: DataFrame, found: DataFrame, settled: DataFrame | None = None) -> DataFrame:
-    """The games of the archive and the candidates found, each game once, in the columns of GAME, and for each bucket's first game the
-    numbers of COUNTS (0 elsewhere).
+    """The games of the archive and the candidates found, each game once, in the columns of GAME, and for each game the numbers of COUNTS.
 
     Candidates are taken in the order of seq (ties: source, slot), a bucket's archive games in the order of slot and id; a game that no source tells of any more stays.
     settled (date, a, b, settled_a, settled_b, evidence; one row a bucket) decides conflicts.
@@ -145,26 +201,25 @@ def merge_into_archive(archive: DataFrame, found: DataFrame, settled: DataFrame
     both = held.select(*key, F.struct("slot", "id", "g").alias("g")).unionByName(told, allowMissingColumns=True)
     lists = both.groupBy(*key).agg(F.sort_array(F.collect_list("g")).alias("gs"), F.sort_array(F.collect_list("c")).alias("cs"))
 
-    def step(state: Column, c: Column) -> Column:
-        def matched(at: Column) -> Column:
-            game = F.when(at.isNull(), _empty(c)).otherwise(F.element_at(state["games"], at))
+    of = lambda c, k: F.transform(c, lambda x: x[k])
+    told_first = F.coalesce(F.transform(F.get("gs", F.lit(0))["g"]["sources"], lambda s: s["id"]), F.array())
+    lists = lists.withColumn("taken", _by_bucket(_deal)(F.transform("gs", lambda x: x["g"]["time"]), of("gs", "id"), told_first, of("cs", "source"), of("cs", "time"), of("cs", "id")))
 
-            def put(x: Column) -> Column:
-                new = F.concat(state["games"], F.array(x["game"]))
-                games = F.when(at.isNull(), new).otherwise(F.transform(state["games"], lambda g, i: F.when(i + 1 == at, x["game"]).otherwise(g)))
-                # a resolved conflict is a conflict, too
-                hit = {"added": at.isNull(), "conflicts": x["case"].isin("conflicts", "resolved")}
-                counts = [(state[n] + hit.get(n, x["case"] == n).cast("int")).alias(n) for n in COUNTS]
-                return F.struct(games.alias("games"), *counts)
+    def begin(mine: Column, i: Column) -> Column:
+        stored = F.get("gs", i)["g"]
+        game = F.when(stored.isNotNull(), stored).otherwise(_let(F.get("cs", mine[0]), _empty))
+        return F.struct(game.alias("game"), *[(stored.isNull().cast("int") if n == "added" else F.lit(0)).alias(n) for n in COUNTS])
 
-            return _let(_let(game, lambda g: _folded(g, c)), put)
+    def step(state: Column, j: Column) -> Column:
+        def put(x: Column) -> Column:
+            # a resolved conflict is a conflict, too
+            hit = {"added": F.lit(False), "conflicts": x["case"].isin("conflicts", "resolved")}
+            return F.struct(x["game"].alias("game"), *[(state[n] + hit.get(n, x["case"] == n).cast("int")).alias(n) for n in COUNTS])
 
-        return _let(_match(state["games"], c), matched)
+        return _let(F.get("cs", j), lambda c: _let(_folded(state["game"], c), put))
 
-    begin = F.struct(F.transform("gs", lambda x: x["g"]).cast(f"array<{_HELD}>").alias("games"), *[F.lit(0).alias(n) for n in COUNTS])
-    done = lists.select(F.aggregate("cs", begin, step).alias("s"))
-    games = done.select(F.posexplode("s.games").alias("n", "g"), *[F.col(f"s.{n}").alias(n) for n in COUNTS])
-    return games.select("g.*", *[F.when(F.col("n") == 0, F.col(n)).otherwise(0).alias(n) for n in COUNTS]).drop("from_archive")
+    done = lists.select(F.explode(F.transform("taken", lambda mine, i: F.aggregate(mine, begin(mine, i), step))).alias("s"))
+    return done.select("s.game.*", *[F.col(f"s.{n}").alias(n) for n in COUNTS]).drop("from_archive")
 
 
 def _renamed(games: DataFrame, merges: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -229,16 +284,10 @@ def repair_identities(games: DataFrame, merges: DataFrame, season: str, write: C
     both = "struct<g:struct<{}>,publishers:array<string>>".format(",".join(f"{k}:{v}" for k, v in GAME.items()))
     plain = F.transform("xs", lambda x: F.struct(x["g"].alias("g"), x["publishers"].alias("publishers"))).cast(f"array<{both}>")
 
-    def step(kept_: Column, x: Column) -> Column:
-        twin = lambda k: ~F.arrays_overlap(k["publishers"], x["publishers"]) & (F.coalesce(k["g"]["time"] == x["g"]["time"], F.lit(True)) | (F.size("xs") == 2))
-
-        def put(at: Column) -> Column:
-            merged = F.transform(kept_, lambda k, i: F.when(i + 1 == at, _absorbed(k, x).cast(both)).otherwise(k))
-            return F.when(at.isNull(), F.concat(kept_, F.array(x))).otherwise(merged)
-
-        return _let(_place(F.transform(kept_, twin), F.lit(True)), put)
-
-    folded = of_bucket.select(F.explode(F.aggregate(plain, F.array().cast(f"array<{both}>"), step)).alias("x")).select("x.g.*")
+    of_bucket = of_bucket.select(plain.alias("xs")).withColumn("events", _by_bucket(_one_event)(F.transform("xs", lambda x: x["g"]["time"]), F.transform("xs", lambda x: x["publishers"])))
+    absorb = lambda into, j: _let(F.get("xs", j), lambda x: _absorbed(into, x).cast(both))
+    whole = F.transform("events", lambda e: F.aggregate(F.slice(e, F.lit(2), F.size(e)), F.get("xs", e[0]), absorb))
+    folded = of_bucket.select(F.explode(whole).alias("x")).select("x.g.*")
     order = W.partitionBy(*key).orderBy(F.col("time").asc_nulls_last(), F.col("id").asc_nulls_first())
     folded = folded.withColumn("slot", F.row_number().over(order) - 1).withColumn("id", game_id(F.lit(season), F.col("a"), F.col("b"), F.col("date"), F.col("slot")))
     out = write(still.unionByName(folded), "repaired")

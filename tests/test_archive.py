@@ -1,6 +1,8 @@
 """Readings folded into an archive of games, and games under new identities, by hand cases."""
 
 import itertools
+import random
+import time
 
 import pytest
 
@@ -129,3 +131,52 @@ def test_empty(run, spark):
     games, counts = run([])
     assert games == [] and counts == {}
     assert repaired(spark, [], [("a", "b")]) == ([], [])
+
+
+def dealt_by_scan(times, ids, told, sources, new_times, new_ids):
+    """The rule itself: every candidate looks at every game."""
+    times, ids, told, taken = list(times), list(ids), set(told), [[] for _ in times]
+    for n, (s, t, i) in enumerate(zip(sources, new_times, new_ids)):
+        at = next((k for k, x in enumerate(times) if t is not None and x == t), next((k for k, x in enumerate(ids) if x == i), None))
+        if at is None:
+            at = 0 if len(times) == 1 and s not in told and (times[0] is None or t is None) else len(times)
+        if at == len(times):
+            times.append(t), ids.append(i), taken.append([])
+        taken[at].append(n)
+        times[at] = times[at] if t is None else t
+        told |= {s} if at == 0 else set()
+    return taken
+
+
+def events_by_scan(times, publishers):
+    events = []
+    for n, (t, p) in enumerate(zip(times, publishers)):
+        e = next((e for e in events if not e[1] & set(p) and (None in (e[0], t) or e[0] == t or len(times) == 2)), None)
+        if e is None:
+            events.append([t, set(p), [n]])
+        else:
+            e[0], e[1] = e[0] if e[0] is not None else t, e[1] | set(p)
+            e[2].append(n)
+    return [e[2] for e in events]
+
+
+def test_look_ups_deal_as_a_scan_does():
+    rng = random.Random(3)
+    for k in range(400):
+        pick = lambda xs, n: [rng.choice(xs) for _ in range(n)]  # noqa: E731, B023
+        held, n = rng.randint(0, 4), rng.randint(0, 1 + k % 14)
+        clock = [None, "1", "2", "3"][: rng.randint(1, 4)]
+        bucket = (pick(clock, held), [f"g{i}" for i in range(held)], pick("abc", rng.randint(0, 2)), pick("abc", n), pick(clock, n), [f"g{rng.randint(0, 5)}" for _ in range(n)])
+        assert archive._deal(*bucket) == dealt_by_scan(*bucket)
+        publishers = [rng.sample("abcd", rng.randint(0, 2)) for _ in range(n)]
+        assert archive._one_event(bucket[4], publishers) == events_by_scan(bucket[4], publishers)
+
+
+def test_a_bucket_of_very_many_readings():
+    """Each reading looks at few games however many there are: 200,000 games in one bucket are a matter of a second."""
+    n = 200_000
+    ids, names = [f"g{i}" for i in range(n)], [*"ab"] * (n // 2)
+    begin = time.perf_counter()
+    assert len(archive._deal([], [], [], ["a"] * n, [None] * n, ids)) == n
+    assert len(archive._one_event([None] * n, [[x] for x in names])) == n / 2
+    assert time.perf_counter() - begin < 20
