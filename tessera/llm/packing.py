@@ -8,6 +8,7 @@ one length are interchangeable, so the plan says which ranks of a length go wher
 
 from __future__ import annotations
 
+import functools
 import string
 import unicodedata
 import zlib
@@ -17,6 +18,7 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,7 +37,8 @@ def byte_letters() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts, found space-separated chunk by chunk; the ids of a chunk are remembered, up to a number.
+    """Token ids of whole texts, found space-separated chunk by chunk; the ids of a chunk are remembered, up to a number;
+    when that is reached, those that were met again stay.
 
     The tokenizer lower-cases, drops white space and never joins across it or between a letter and ASCII punctuation other than
     an apostrophe, so A-Z can be lower-cased first, chunks are independent, and the punctuation at a word's end has ids of its
@@ -46,7 +49,7 @@ class Encoder:
     TAIL = string.punctuation.replace("'", "")
     LATIN = frozenset(chr(c) for c in range(0x61, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower())
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -55,9 +58,17 @@ class Encoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {"": 0}
-        self.start, self.size = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
+        self.start, self.size, self.hot = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, bool)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _sweep(self) -> None:
+        """Forgets chunks that were not met again since the last sweep, and the older of the others beyond half of the memory."""
+        kept = np.flatnonzero(self.hot[: len(self.at)])
+        kept = kept[kept > 0][-(self.most // 2) :]
+        names, sizes, ids = list(self.at), self.size[kept], self._gathered(kept)
+        self._forget()
+        self._remember([names[i] for i in kept.tolist()], sizes, ids)
+
     def _remember(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
@@ -85,10 +96,13 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         stems = {c: stem for c in chunks if c[-1] in self.TAIL and self._is_word(stem := c.rstrip(self.TAIL))}
         tails = {c[len(stem) :] for c, stem in stems.items()}
-        bare = [c for c in chunks.difference(stems).union(stems.values(), tails) if c not in self.at]
-        plain = [c for c in bare if self.LATIN.issuperset(c)]
-        odd = [c for c in bare if not self.LATIN.issuperset(c)]
-        lists = [self._word(c) for c in plain]
+        plain, odd, lists, latin, model = [], [], [], self.LATIN.issuperset, self.model.tokenize
+        for c in chunks.difference(stems).union(stems.values(), tails).difference(self.at):
+            if latin(c):
+                plain.append(c)
+                lists.append([t.id for t in model(c)] if c.isascii() else self._word(c))
+            else:
+                odd.append(c)
         if odd:
             lists += [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -98,25 +112,47 @@ class Encoder:
             self._remember(list(stems), self.size[both].reshape(-1, 2).sum(axis=1), self._gathered(both))
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        whole = lambda: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if "<|" in text:  # may name a special token, which is matched before lower-casing
-            return whole()
-        lowered = text.lower() if text.isascii() else text.encode().lower().decode()
-        chunks = lowered.replace("\n", " ").split(" ")
+        return self.of(pa.array([text], pa.string()))[0]
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Texts are split together, so that a chunk is looked up once however often it occurs in them."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        named = pc.match_substring(texts, "<|")  # may name a special token, which is matched before lower-casing
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(pc.if_else(named, "", texts)), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         at = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(at < 0)
+        if len(self.at) + 3 * len(missing) > self.most or self.used > 16 * self.most:
+            self._sweep()
+            at = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+            missing = np.flatnonzero(at < 0)
+            if len(self.at) + 3 * len(missing) > self.most:
+                if len(texts) > 1:
+                    return self.of(texts[: len(texts) // 2]) + self.of(texts[len(texts) // 2 :])
+                return [self._whole(texts[0].as_py())]
+        self.hot[at[at >= 0]] = True
         if len(missing):
-            new = {chunks[i] for i in missing.tolist()}
-            if len(self.at) + 3 * len(new) > self.most or self.used > 16 * self.most:
-                self._forget()
-                missing, new = np.arange(len(chunks)), set(chunks) - {""}
-                if 3 * len(new) >= self.most:
-                    return whole()
-            self._learn(new)
-            at[missing] = np.fromiter((self.at[chunks[i]] for i in missing.tolist()), np.int64, len(missing))
-        return self._gathered(at)
+            new = [chunks[i] for i in missing.tolist()]
+            self._learn(set(new))
+            at[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        at = at[place]
+        ends = np.concatenate([[0], np.cumsum(self.size[at])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        found = np.split(self._gathered(at), ends[1:-1])
+        for i in np.flatnonzero(named.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = self._whole(texts[i].as_py())
+        return found
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that its tasks share what is remembered; ids never depend on that."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,13 +160,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     kinds = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long" + (", ids array<int>" if with_ids else "")
 
     def start():
-        encoder, seen = Encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        encoder, seen = encoder_of(tokenizer), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
 
         def each(batch: pa.RecordBatch):
             out, row_of, all_ids = defaultdict(list), [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(encoder.ids(text), np.uint32(end_id)).astype("<u4")
+            for row, found in enumerate(encoder.of(batch.column("text"))):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     cut = ids[at : at + capacity]
                     row_of.append(row)

@@ -3,10 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from helpers import frame, mixed_rows
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import Encoder, configurations, grouped, pack, plan, sequences, vocabulary
+from tessera.llm.packing import Encoder, configurations, encoder_of, grouped, pack, plan, sequences, vocabulary
 from tessera.llm.queries import QUERIES
 
 ODD = ["<|endoftext|> a<|startoftext|>b  c", "É́ é ﬁ Σας ΟΔΟΣ don't it's 'll x y z\x1cq\x85r", "日本語 テキスト 12345 a1b2", "\t\n\r\x0b ", "I'M WE'LL", "e ́x \ń", "", "x" * 500, "ʼİ< b漢İ| \u0958! #?é_ (word)-,", "Ünïcödé ñandú straße ÿ ŉ ǆ ªº µ word., İstanbul ıI ſt ŀl"]
@@ -21,6 +22,20 @@ def test_encoder_equals_the_tokenizer():
             assert encoder.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_what_is_met_again():
+    whole = Tokenizer.from_file(vocabulary())
+    encoder = Encoder(vocabulary(), 300)
+    texts = [f"again, and Again {' '.join(f'w{a}{b}' for b in range(40))}" for a in range(30)]
+    for t in texts:
+        assert encoder.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert {"again", "again,", "and"} <= set(encoder.at) and "w00" not in encoder.at and len(encoder.at) <= 301
+    rows = [t for _, t in mixed_rows()] + [None] + ODD + texts  # texts of one batch
+    for most in (300, 300_000):
+        got = Encoder(vocabulary(), most).of(pa.array(rows, pa.string()).slice(1))
+        assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in rows[1:]]
+    assert encoder_of(vocabulary()) is encoder_of(vocabulary())  # one a worker process
+
+
 def valid(rows, out, capacity):
     whole = Tokenizer.from_file(vocabulary())
     want = sorted((i, p, at, len(cut), zlib.crc32(np.array(cut, "<u4").tobytes())) for i, t in rows for ids in [whole.encode(t or "", add_special_tokens=False).ids + [0]] for p, at in enumerate(range(0, len(ids), capacity)) for cut in [ids[at : at + capacity]])
