@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: How candidates of a session are ranked: rows with `test` (null: passed so far) come back with test, score and late.
+#: How candidates of a session are ranked: rows with `test` (null: passed so far) come back with test, score and late. Rows that fail
+#: count for nothing in the scores of the others.
 Score = Callable[[DataFrame], DataFrame]
 
 
@@ -83,25 +84,39 @@ def composite_of(rows: DataFrame, signals: Sequence[Signal], least_peers: int =
     its session where the group has fewer than `least_peers`. Values are clipped to the p and 1 - p quantiles first (from
     `least_clipped` values on); a signal with fewer than `least_values` values in the cohort does not count; null without any.
 
-    Signals are rows here, so that a cohort's statistics of one signal are one window over one shuffle.
+    All windows are of a session or parts of it, so rows that are dealt by session are not shuffled again.
     """
-    passed = rows.where("test is null").select("session", "ticker", "grp", *[F.col(s.name).cast("double").alias(s.name) for s in signals])
-    passed = passed.withColumn("small", F.count("*").over(W.partitionBy("session", "grp")) < least_peers)
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
-    defined = lambda s: F.lit(True) if s.groups is None else F.coalesce(F.col("grp").isin(*s.groups), F.lit(False))
-    each = F.array(*[F.struct(F.lit(s.name).alias("signal"), finite(s.name).alias("v"), F.lit(s.direction).alias("way"), defined(s).alias("defined")) for s in signals])
-    long = passed.select("session", "ticker", "grp", "small", F.explode(each).alias("x")).select("session", "ticker", "grp", "small", "x.*").where("v is not null")
+    passes, session, group, cohort = F.col("test").isNull(), W.partitionBy("session"), W.partitionBy("session", "grp"), W.partitionBy("session", "_grp")
+    rows = rows.withColumns({"_grp": F.coalesce("grp", F.lit("")), "_small": passes & (F.count_if(passes).over(group) < least_peers)})
+    rows = rows.withColumn("_any", F.max("_small").over(session))
+    finite = lambda c: F.when(passes & ~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    at = range(len(signals))
     # a row counts among its group, and among all of its session for the groups that are too small
-    own = long.withColumns({"cohort": F.concat(F.lit("="), F.coalesce("grp", F.lit(""))), "counts": ~F.col("small") & F.col("defined")})
-    all_ = long.withColumns({"cohort": F.lit("*"), "counts": F.col("small") & F.col("defined")})
-    cohort = W.partitionBy("session", "signal", "cohort")
-    both = own.unionByName(all_).withColumn("n", F.count("*").over(cohort))
-    both = both.withColumns({"lo": F.percentile("v", F.lit(p)).over(cohort), "hi": F.percentile("v", F.lit(1 - p)).over(cohort)})
-    both = both.withColumn("v", F.when(F.col("n") < least_clipped, F.col("v")).otherwise(F.least("hi", F.greatest("lo", "v"))))
-    both = both.withColumns({"m": F.avg("v").over(cohort), "d": F.stddev_samp("v").over(cohort)}).where("counts").where(F.col("n") >= least_values)
-    z = F.when(F.col("d") > 0, (F.col("v") - F.col("m")) / F.col("d")).otherwise(0.0) * F.col("way")
-    scores = both.groupBy("session", "ticker").agg(F.avg(z).alias("score"), F.count("*").alias("signals_used"))
-    return rows.join(scores, ["session", "ticker"], "left")
+    kinds = {"own": cohort, "all": session}
+    values = {f"_own{i}": finite(F.col(s.name).cast("double")) for i, s in enumerate(signals)}
+    rows = rows.withColumns(values).withColumns({f"_all{i}": F.when(F.col("_any"), F.col(f"_own{i}")) for i in at})
+    for kind, w in kinds.items():
+        rows = rows.withColumns({f"_n_{kind}{i}": F.count(f"_{kind}{i}").over(w) for i in at} | {f"_q_{kind}{i}": F.percentile(f"_{kind}{i}", F.array(F.lit(p), F.lit(1 - p))).over(w) for i in at})
+
+    def clipped(kind: str, i: int) -> Column:
+        v, q = F.col(f"_{kind}{i}"), F.col(f"_q_{kind}{i}")
+        return F.when(v.isNotNull(), F.when(F.col(f"_n_{kind}{i}") < least_clipped, v).otherwise(F.least(q[1], F.greatest(q[0], v))))
+
+    rows = rows.withColumns({f"_{kind}{i}": clipped(kind, i) for kind in kinds for i in at})
+    for kind, w in kinds.items():
+        rows = rows.withColumns({f"_m_{kind}{i}": F.avg(f"_{kind}{i}").over(w) for i in at} | {f"_d_{kind}{i}": F.stddev_samp(f"_{kind}{i}").over(w) for i in at})
+
+    def z(kind: str, i: int) -> Column:
+        v, n, m, d = (F.col(f"_{x}{kind}{i}") for x in ("", "n_", "m_", "d_"))
+        return F.when(v.isNotNull() & (n >= least_values), F.when(d > 0, (v - m) / d).otherwise(0.0) * signals[i].direction)
+
+    defined = lambda s: F.lit(True) if s.groups is None else F.coalesce(F.col("grp").isin(*s.groups), F.lit(False))
+    rows = rows.withColumns({f"_z{i}": F.when(defined(s), F.when(F.col("_small"), z("all", i)).otherwise(z("own", i))) for i, s in enumerate(signals)})
+    used = sum((F.col(f"_z{i}").isNotNull().cast("long") for i in at), F.lit(0).cast("long"))
+    total = sum((F.coalesce(f"_z{i}", F.lit(0.0)) for i in at), F.lit(0.0))
+    rows = rows.withColumns({"signals_used": F.nullif(used, F.lit(0).cast("long")), "_total": total}).withColumn("score", F.col("_total") / F.col("signals_used"))
+    made = [f"_{x}{kind}{i}" for x in ("", "n_", "q_", "m_", "d_") for kind in kinds for i in at]
+    return rows.drop("_grp", "_small", "_any", "_total", *[f"_z{i}" for i in at], *made)
 
 
 def by_composite(signals: Sequence[Signal], measure: str, extension: str = "extension", most_extension: float = 3, **limits) -> Score:
@@ -192,7 +207,8 @@ def walk(rows: DataFrame, strategies: Sequence[Strategy], write: Callable[[DataF
         for s in going:
             left = sessions[first[s.name] :]
             tested = _tested(spark, rows.where(F.col("session") >= left[0]), s, {at: books[s.name][at] for at in left})
-            ranked = _scored(s, tested).where("test is null and score is not null")
+            # dealt by session once; every window after that is within a session
+            ranked = _scored(s, tested.where("test is null").repartition("session")).where("test is null and score is not null")
             near = F.row_number().over(W.partitionBy("session", "division").orderBy(*_order(ranked)))
             part = ranked.withColumn("n", near).where(F.col("n") <= s.hold + runners).select(F.lit(s.name).alias("strategy"), "session", "ticker", "division", "score", "late")
             lists = part if lists is None else lists.unionByName(part)
@@ -209,7 +225,7 @@ def walk(rows: DataFrame, strategies: Sequence[Strategy], write: Callable[[DataF
             first[s.name] += n
     out = {}
     for s in strategies:
-        scored = _scored(s, _tested(spark, rows, s, books[s.name]))
+        scored = _scored(s, _tested(spark, rows, s, books[s.name]).repartition("session"))
         passed = F.col("test").isNull() & F.col("score").isNotNull()
         place = F.when(passed, F.row_number().over(W.partitionBy("session", passed).orderBy(*_order(scored))))
         out[s.name] = write(scored.withColumn("place", F.when(place <= runners + 1, place)), f"walk-{s.name.replace(' ', '-')}")
@@ -222,10 +238,10 @@ def decisions(scored: DataFrame) -> DataFrame:
     rank = F.floor(100 * F.count("score").over(W.partitionBy("session").orderBy(F.col("score").asc_nulls_first()).rangeBetween(W.unboundedPreceding, 0)) / F.count("score").over(W.partitionBy("session")) + 0.5)
     passed = F.col("test").isNull()
     chosen = scored.where("place is not null").select("session", F.struct("place", "ticker", "division", "score").alias("p"))
-    scores = scored.select("session", "ticker", F.when(passed, F.col("score")).alias("score")).withColumn("rank_score", F.when(F.col("score").isNotNull(), rank).cast("int"))
+    scores = scored.select("session", "ticker", F.when(passed, F.col("score")).alias("score")).where("score is not null").withColumn("rank_score", rank.cast("int"))
     picks = chosen.groupBy("session").agg(F.sort_array(F.collect_list("p")).alias("p"))  # runners + 1 rows
     best = picks.select("session", F.col("p")[0].alias("x"), F.transform(F.slice("p", 2, 100), lambda x: x["ticker"]).alias("runners_up"))
-    best = best.select("session", "x.ticker", "x.division", "x.score", "runners_up").join(scores.select("session", "ticker", "rank_score"), ["session", "ticker"])
+    best = scores.select("session", "ticker", "rank_score").join(F.broadcast(best.select("session", "x.ticker", "x.division", "x.score", "runners_up")), ["session", "ticker"])  # a row a session
     counts = scored.groupBy("session", "test").agg(F.count("*").alias("n"))
     day = counts.groupBy("session").agg(
         F.sum("n").alias("scanned"), F.coalesce(F.sum(F.when(passed, F.col("n"))), F.lit(0)).alias("eligible"),

@@ -35,9 +35,9 @@ def monthly_bars(spark, sf_dir) -> DataFrame:
         F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.avg("l_tax"), 6).alias("tax"))
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    """One row a session and supplier with a bar in it: tests, signals and groups."""
-    bars = ts.with_log_returns(monthly_bars(spark, sf_dir))
+def candidates(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    """One row a session and supplier with a bar in it: tests, signals and groups. bars: the monthly ones, where they are written already."""
+    bars = ts.with_log_returns(monthly_bars(spark, sf_dir) if bars is None else bars)
     w = ts.by_session()
     revenue = ts.full_frame(F.sum("revenue").over(w.rowsBetween(-2, 0)), 3)
     out = bars.select(
@@ -66,14 +66,16 @@ def candidates(spark, sf_dir) -> DataFrame:
     ).where("session >= 12")
 
 
-def _walked(spark, sf_dir) -> dict[str, DataFrame]:
-    return book.walk(candidates(spark, sf_dir), STRATEGIES, stored)
+def _walked(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The walk and the monthly bars, which are summed and written once."""
+    bars = stored(monthly_bars(spark, sf_dir), "monthly-bars")
+    return book.walk(candidates(spark, sf_dir, bars), STRATEGIES, stored), bars
 
 
 def strategy_walk(spark, sf_dir):
     """The choice of each strategy and session: three strategies share one walk, each with its own book."""
     out = None
-    for name, scored in _walked(spark, sf_dir).items():
+    for name, scored in _walked(spark, sf_dir)[0].items():
         d = book.decisions(scored).select(F.lit(name).alias("strategy"), "session", "scanned", "eligible", "ticker", "division", F.round("score", 6).alias("score"), "rank_score", F.concat_ws(",", "runners_up").alias("runners_up"), "binding")
         out = d if out is None else out.unionByName(d)
     return out
@@ -82,13 +84,12 @@ def strategy_walk(spark, sf_dir):
 def strategy_results(spark, sf_dir):
     """What the choices earned, from the next session's open to the close of the last one held: sessions, positions, mean, win rate, gains,
     losses, and the growth of a portfolio of equal slots. A random choice among the composite's candidates stands beside them."""
-    rows = _walked(spark, sf_dir)
+    rows, bars = _walked(spark, sf_dir)
     choices = None
     for name, scored in rows.items():
         c = scored.where("place = 1").select(F.lit(name).alias("strategy"), "session", "ticker")
         choices = c if choices is None else choices.unionByName(c)
     choices = choices.unionByName(book.seeded_choices(rows["composite"], 12).select(F.lit("random").alias("strategy"), "session", "ticker"))
-    bars = monthly_bars(spark, sf_dir)
     bars = bars.join(ts.calendar(bars), "date").select("ticker", F.col("session_idx").cast("long").alias("at"), "open", "close")
     entry, exit_ = (bars.select("ticker", (F.col("at") - n).alias("session"), c) for n, c in ((1, "open"), (HOLD, "close")))
     positions = choices.join(entry, ["ticker", "session"]).join(exit_, ["ticker", "session"]).withColumn("net", F.round(ranking.position_return("open", "close", 0.001), 6)).where("net is not null")

@@ -5,6 +5,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import book
 from tessera.plans.tables import stored
@@ -139,3 +140,10 @@ def test_open_book(spark):
     assert got("2024-01-05") == {"c": 2, "d": 2, "e": 1, "f": 0, "g": 0}
     assert got("2024-01-04") == {"b": 2, "c": 1, "d": 1, "e": 0, "f": 0, "g": 0}
     assert got("2024-01-03") == {"a": 2, "b": 1, "c": 0, "d": 0, "e": 0, "f": 0, "g": 0}
+
+
+def test_windows_of_a_session_share_one_shuffle(spark):
+    """Statistics of all signals and cohorts stay where the rows of a session are."""
+    df = spark.range(50).select(*[F.col("id").cast(kind).alias(name) for name, kind in (x.split() for x in SCHEMA.split(", "))], F.when(F.col("id") < 5, "x").alias("test")).repartition("session")
+    plan = book.by_composite(SIGNALS, "yield")(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
