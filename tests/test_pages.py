@@ -142,3 +142,26 @@ def test_evidence_for_one_team(spark):
     own = evidence(spark, [("Pomona-Pitzer", "pomona-pitzer", "sage.com"), (None, "pomona-pitzer-colleges", "sage.com")]).collect()[0]
     assert (own.merged, own.winner) == (True, "pomona-pitzer-colleges")
     assert evidence(spark, []).count() == 0
+
+
+def test_plain_pages_read_as_the_parser_reads_them():
+    """Pages that the one expression reads equal the parser's elements; odd ones are left to the parser."""
+    import random
+
+    from tessera.sources.markup import _Elements
+
+    pieces = [
+        "<table>", "</table>", "<tr>", "</tr>", "<td class='a b'>", "</TD>", "<th>", "<b>", "</b>", "<li class=\"a\" data-game-id='7'>", "</li>", "<ul>", "</ul>", "<p>", "x y", " a&amp;b ", "<br/>", "<br>", "<img src='u' data-src=\"v\" alt>", "<a href='/x?y=1'>",
+        "</a>", "<i/>", "<!-- <td> -->", "<script>var t = '<table>';</script>", "<style>td > b</style>", "<div data-test-id='root a'>", "</div>", "\n",
+    ]
+    odd = ["<td width=3>", "a < b", "<!doctype html>", "<a href='?a&amp;b'>", "<title>t</title>", "<!---->", "<!-->", "</ td>", "<td", "&amp", "<script>'</b>'</script>", "<script/>", "<td a='1'b='2'>", "<script><!-- <script> --></script>", "<textarea><td></textarea>", "&"]
+    rng, plain = random.Random(5), 0
+    for n in range(3000):
+        html = "".join(rng.choice(pieces + odd * (n % 3 == 0)) for _ in range(rng.randint(0, 25)))
+        want = _Elements({"table", "tr", "td", "th", "a", "img", "p"}, {"a", "root"})
+        want.feed(html)
+        want.close()
+        got = _Elements({"table", "tr", "td", "th", "a", "img", "p"}, {"a", "root"})
+        plain += got._read_plain(html)
+        assert _Elements({"table", "tr", "td", "th", "a", "img", "p"}, {"a", "root"}).read(html) == want.found, html
+    assert plain > 1500
