@@ -103,3 +103,21 @@ def test_base_columns_against_sql(spark):
 
 BASE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents)
 SELECT doc_id, len(w), coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), len(l) - len(list_distinct(l)) FROM d"""
+
+
+def test_limits_count_every_good_row(spark):
+    """More good rows than any sample of old: the limits are those of all of them."""
+    from zlib import crc32
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm.quality_rules import limits_of
+
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_repeat_words"), (500 + F.col("id") % 3000).alias("size"), (2 + F.col("id") * 7919 % 1000 / 1000).alias("whole"), F.array(2.2 + F.col("id") % 100 / 1000).alias("parts"))
+    got = limits_of(rows, rows.select("doc_id", F.lit(1).alias("quality")))
+    ids = np.array([i for i in range(9000) if crc32(str(i).encode()) % 4 != 2])
+    want = fit((500 + ids % 3000).astype(float), 2 + ids * 7919 % 1000 / 1000, np.sort(2.2 + ids % 100 / 1000))
+    assert len(ids) > 6000 and abs(got.chunk_band.least - want.chunk_band.least) < 0.002 and abs(got.chunk_band.most - want.chunk_band.most) < 0.002
+    for size in (500, 700, 1500, 3000, 3499):
+        a, b = (next(x for x in limits.bands if size <= x.upto) for limits in (got, want))
+        assert abs(a.least - b.least) < 0.02 and abs(a.most - b.most) < 0.02
