@@ -5,7 +5,7 @@ import numpy as np
 from helpers import frame, mixed_rows, prose
 
 from tessera.llm.lcp_merge import common_prefix, decoded, front_code, merged
-from tessera.llm.suffix_dedup import repeated_spans
+from tessera.llm.suffix_dedup import op8_anchored_suffix_dedup, repeated_spans
 
 
 def brute(rows, length):
@@ -60,6 +60,20 @@ def test_production_parameters(spark):
     assert got(repeated_spans(frame(spark, mixed_rows(5)))) == brute(mixed_rows(5), 400)
 
 
+def test_planted_passages(spark, tmp_path):
+    """Passages of over 50 words: from 400 bytes on, also with fewer characters, they go; shorter ones and clean documents stay. n_bytes tells nothing of it."""
+    rng = random.Random(12)
+    long, short = prose(rng, 90), prose(rng, 51, 10)
+    accents = " ".join(f"é{w}é" for w in prose(rng, 51, 10).split()[:51])
+    assert len(long) > 400 and len(short) < 396 and len(accents) < 396 and len(accents.encode()) >= 400
+    rows = [(100 * k + i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for k, passage in enumerate((long, accents, short, "")) for i in range(5)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op8_anchored_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((i, n, sum(b - a for a, b in spans), len(spans), sha) for i, n, spans, sha in brute(rows, 400))
+    assert all((r.n_removed > 0) == (r.doc_id < 200) for r in found)
+    assert [r.n_bytes for r in sorted(found, key=lambda r: r.doc_id)] == [len(t.encode()) for _, t in rows]
+
+
 def test_empty_table(spark):
     assert got(repeated_spans(frame(spark, []))) == []
 
