@@ -124,6 +124,12 @@ def position_return(entry_open: str, exit_close: str, cost: float) -> Column:
     return F.when(F.col(entry_open) > 0, F.col(exit_close) * (1 - cost) / (F.col(entry_open) * (1 + cost)) - 1)
 
 
+def mean_of_rounded(value: Column, digits: int = 6) -> Column:
+    """The mean of values of so many digits, to as many (ties away from 0), in any order of the rows: sums of whole units are exact up to 2**53."""
+    unit = float(10**digits)
+    return F.round(F.avg(F.round(value * unit))) / unit
+
+
 def recap(rows: DataFrame, by: str, net: str, status: str) -> DataFrame:
     """Complete positions only: count, wins (> 0), losses (<= 0), mean, win rate; null where there are none."""
     done = F.col(status) == "complete"

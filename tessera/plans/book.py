@@ -96,7 +96,8 @@ def strategy_results(spark, sf_dir):
     slots = positions.groupBy("strategy", ((F.col("session") + 1) % HOLD).alias("slot")).agg(F.product(1 + F.col("net")).alias("growth"), F.count("*").alias("n"))
     folio = slots.groupBy("strategy").agg((F.sum("growth") + HOLD - F.count("*")).alias("growth"))
     gain, loss = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") <= 0, F.col("net"))
-    out = positions.groupBy("strategy").agg(F.count("*").alias("positions"), F.avg("net").alias("mean_net"), (F.count(gain) / F.count("*")).alias("win_rate"), F.avg(gain).alias("gain"), F.avg(loss).alias("loss"), F.count_distinct("ticker").alias("names"))
+    mean = ranking.mean_of_rounded
+    out = positions.groupBy("strategy").agg(F.count("*").alias("positions"), mean(F.col("net")).alias("mean_net"), (F.count(gain) / F.count("*")).alias("win_rate"), mean(gain).alias("gain"), mean(loss).alias("loss"), F.count_distinct("ticker").alias("names"))
     return out.join(folio, "strategy").select("strategy", "positions", *[F.round(c, 6).alias(c) for c in ("mean_net", "win_rate", "gain", "loss")], "names", F.round(F.col("growth") / HOLD - 1, 6).alias("portfolio"))
 
 

@@ -19,6 +19,14 @@ def test_known_at_prefers_not_superseded_then_latest_then_greatest(spark):
     assert at("2024-01-10") == [3.0] and at("2024-01-01") == [1.0] and at("2023-12-31") == [] and at("2024-03-01") == [5.0]
 
 
+def test_mean_of_rounded_does_not_hang_on_the_order(spark):
+    """The exact mean -0.8322135 is a tie; a sum of doubles gives -0.832213 for one of these orders."""
+    values = [-0.401383, -0.391154, -1.995584, -0.540733]
+    mean = lambda rows: spark.createDataFrame([(x,) for x in rows], "x double").coalesce(1).agg(ranking.mean_of_rounded(F.col("x"))).first()[0]
+    assert mean(values) == mean(values[::-1]) == -0.832214
+    assert mean([0.000001, 0.000002, None]) == 0.000002 and mean([None]) is None
+
+
 def bars(spark, closes, ticker="t"):
     return spark.createDataFrame([(ticker, date.fromordinal(738000 + i), float(c), 10.0 + i) for i, c in enumerate(closes)], "ticker string, date date, close double, volume double")
 
