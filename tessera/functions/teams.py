@@ -52,6 +52,11 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _bound(values: list[Column], use: Callable[..., Column]) -> Column:
+    """As _once for several values."""
+    return _once(F.struct(*[v.alias(f"_{i}") for i, v in enumerate(values)]), lambda x: use(*[x[f"_{i}"] for i in range(len(values))]))
+
+
 def folded(text) -> Column:
     """Without space around it and with single spaces in it; null reads empty. Spaces that do not break are spaces."""
     return F.trim(F.regexp_replace(F.translate(F.coalesce(_c(text), F.lit("")), " ", " "), r"\s+", " "))
@@ -66,8 +71,13 @@ def team_name(raw) -> Column:
     return F.trim(F.regexp_replace(F.trim(bare), rf"(?i)\s*\((?:{states})\.?\)\s*$", ""))
 
 
+def names_no_team(name) -> Column:
+    """Whether a team_name is page furniture."""
+    return (_c(name) == "") | _c(name).rlike("(?i)" + "|".join(NON_TEAM))
+
+
 def is_non_team(raw) -> Column:
-    return _once(team_name(raw), lambda name: (name == "") | name.rlike("(?i)" + "|".join(NON_TEAM)))
+    return _once(team_name(raw), names_no_team)
 
 
 def name_words(raw) -> Column:
@@ -104,11 +114,14 @@ def team_slug(raw, aliases: dict[str, str], beginnings: dict[str, str] | None =
 def clock(raw) -> Column:
     """The first time of day in a text as HH:MM of 24 hours, null without one."""
 
+    def time(hour, minute, half):
+        minute = F.coalesce(F.nullif(minute, F.lit("")).cast("int"), F.lit(0))
+        hour = hour.try_cast("int") % F.when(hour == "12", 12).otherwise(100) + F.when(F.lower(F.substring(half, 1, 1)) == "p", 12).otherwise(0)
+        return F.when((half != "") & (hour <= 23) & (minute <= 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
+
     def read(text):
         at = lambda i: F.regexp_extract(text, r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*(a\.?m\.?|p\.?m\.?)", i)
-        minute = F.coalesce(F.nullif(at(2), F.lit("")).cast("int"), F.lit(0))
-        hour = at(1).try_cast("int") % F.when(at(1) == "12", 12).otherwise(100) + F.when(F.lower(F.substring(at(3), 1, 1)) == "p", 12).otherwise(0)
-        return F.when((at(3) != "") & (hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour, minute))
+        return _bound([at(1), at(2), at(3)], time)
 
     return _once(folded(raw), read)
 
@@ -118,11 +131,13 @@ def season_date(raw, season) -> Column:
     days are checked against 31 only."""
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
 
+    def date(month, day):
+        year = _c(season).cast("int") + F.when(month >= 8, 0).otherwise(1)
+        return F.when(month.isNotNull() & day.between(1, 31), F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")))
+
     def read(text):
         at = lambda i: F.regexp_extract(text, r"\b([A-Za-z]{3,5})\.?\s+(\d{1,2})\b", i)
-        month, day = F.try_element_at(months, F.lower(at(1))), at(2).try_cast("int")
-        year = _c(season).cast("int") + F.when(month >= 8, 0).otherwise(1)
-        return F.when(month.isNotNull() & day.between(1, 31), F.format_string("%d-%02d-%02d", year, month, day))
+        return _bound([F.try_element_at(months, F.lower(at(1))), at(2).try_cast("int")], date)
 
     return _once(folded(raw), read)
 
@@ -136,11 +151,13 @@ def overtime(raw) -> Column:
 def result(raw) -> Column:
     """outcome, us, them, ot of a result as the page's owner prints it; null without a final score, and where the letter and the score do not agree."""
 
+    def score(outcome, us, them, more):
+        sound = F.when(outcome == "W", us >= them).when(outcome == "L", us <= them).otherwise(us == them)
+        return F.when(sound, F.struct(outcome.alias("outcome"), us.alias("us"), them.alias("them"), overtime(more).alias("ot")))
+
     def read(text):
         at = lambda i: F.regexp_extract(text, _RESULT, i)
-        us, them = at(2).try_cast("int"), at(3).try_cast("int")
-        sound = F.when(at(1) == "W", us >= them).when(at(1) == "L", us <= them).otherwise(us == them)
-        return F.when(~text.rlike(_NOT_FINAL) & text.rlike(_RESULT) & sound, F.struct(at(1).alias("outcome"), us.alias("us"), them.alias("them"), overtime(at(4)).alias("ot")))
+        return F.when(text.rlike(_RESULT) & ~text.rlike(_NOT_FINAL), _bound([at(1), at(2).try_cast("int"), at(3).try_cast("int"), at(4)], score))
 
     return _once(folded(raw), read)
 
@@ -151,9 +168,12 @@ def game_status(text, scored: Column) -> Column:
 
 def site_hint(href) -> Column:
     """https:// and the host of a link as pages write it, without www.; null for fragments, paths and hosts without a dot."""
-    raw = F.trim(_c(href))
-    host = F.regexp_replace(F.lower(F.try_parse_url(F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw)), F.lit("HOST"))), r"^www\.", "")
-    return F.when((raw != "") & ~raw.rlike("^[#/]") & host.contains("."), F.concat(F.lit("https://"), host))
+
+    def read(raw):
+        host = F.regexp_replace(F.lower(F.try_parse_url(F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw)), F.lit("HOST"))), r"^www\.", "")
+        return F.when((raw != "") & ~raw.rlike("^[#/]"), _once(host, lambda h: F.when(h.contains("."), F.concat(F.lit("https://"), h))))
+
+    return _once(F.trim(_c(href)), read)
 
 
 def absolute(link, page_url) -> Column:

@@ -85,10 +85,6 @@ def _first(parts: Column, test) -> Column:
     return F.get(F.filter(parts, test), F.lit(0))
 
 
-def _named(name: str):
-    return lambda p: F.array_contains(p["names"], name)
-
-
 def _details(parts: Column, url: str) -> Column:
     links = F.filter(parts, lambda p: (p["tag"] == "a") & p["text"].rlike(_DETAIL))
     return F.get(F.filter(F.transform(links, lambda p: T.absolute(p["href"], F.col(url))), lambda u: u.isNotNull()), F.lit(0))
@@ -96,10 +92,11 @@ def _details(parts: Column, url: str) -> Column:
 
 def _games(x: DataFrame, page: list[str], scored: Column, said: Column, opponent: Column, day: Column, time: Column, more: dict[str, Column]) -> DataFrame:
     """The rows of cards with an opponent that is a team and a readable date."""
-    x = x.withColumns({"_scored": T.result(scored), "_blob": F.concat_ws(" ", scored, said), "_opp": opponent, "date": day, "time": time})
-    x = x.where(~T.is_non_team(F.col("_opp")) & F.col("date").isNotNull())
+    # one row is exploded to itself, so that what decides about a card is worked out once and not again where cards are left out
+    x = x.withColumn("_opp", opponent).select("*", F.explode(F.array(F.struct(day.alias("date"), T.team_name(F.col("_opp")).alias("name")))).alias("_g"))
+    x = x.where(~T.names_no_team(F.col("_g.name")) & F.col("_g.date").isNotNull()).withColumns({"_scored": T.result(scored), "_blob": F.concat_ws(" ", scored, said)})
     return x.select(
-        *page, F.col("_c.id").alias("game_id"), "date", "time", F.col("_opp").alias("printed"), T.team_name(F.col("_opp")).alias("opponent"), T.game_status(F.col("_blob"), F.col("_scored").isNotNull()).alias("status"),
+        *page, F.col("_c.id").alias("game_id"), F.col("_g.date").alias("date"), time.alias("time"), F.col("_opp").alias("printed"), F.col("_g.name").alias("opponent"), T.game_status(F.col("_blob"), F.col("_scored").isNotNull()).alias("status"),
         *[F.col(f"_scored.{c}").alias(c) for c in ("us", "them", "outcome", "ot")], *[c.alias(n) for n, c in more.items()],
     )
 
@@ -111,10 +108,11 @@ def classic_schedule(pages: DataFrame, html: str, page: list[str], url: str, sea
     n = {k: CLASSIC + f"game-{k}" for k in ("result", "status", "opponent-name", "opponent-date", "location", "conference", "opponent-promotion", "note", "opponent-logo")}
     card = markup.cards(F.col(html), CLASSIC + "game", list(n.values()), "data-game-id", CLASSIC + "tournament")
     x = pages.select(*{*page, url, season}, F.explode(card).alias("_c")).withColumn("_p", F.col("_c.parts"))
-    text = lambda k: F.coalesce(_first(F.col("_p"), _named(n[k]))["text"], F.lit(""))
-    link = _first(F.col("_p"), lambda p: (p["tag"] == "a") & F.array_contains(p["within"], n["opponent-name"]))
+    text = lambda k: F.coalesce(F.get("_c.first", F.lit(list(n).index(k)))["text"], F.lit(""))
+    x = x.withColumn("_link", _first(F.col("_p"), lambda p: (p["tag"] == "a") & F.array_contains(p["within"], n["opponent-name"])))
+    link = F.col("_link")
     logo = _first(F.col("_p"), lambda p: (p["tag"] == "img") & F.array_contains(p["within"], n["opponent-logo"]))["src"]
-    badge = F.exists("_p", lambda p: F.arrays_overlap(p["names"], F.array(F.lit(n["opponent-promotion"]), F.lit(n["note"]))) & p["text"].rlike("(?i)exhibition|scrimmage"))
+    badge = F.exists("_p", lambda p: (F.array_contains(p["names"], n["opponent-promotion"]) | F.array_contains(p["names"], n["note"])) & p["text"].rlike("(?i)exhibition|scrimmage"))
     marked = lambda kind: F.exists("_c.names", lambda c: c.contains(f"{CLASSIC}{kind}-game"))
     neutral, away = marked("neutral"), marked("away")
     when = text("opponent-date")
@@ -132,13 +130,14 @@ def newer_schedule(pages: DataFrame, html: str, page: list[str], url: str, seaso
     conf, stamp, pill, state = "s-game-card__header__conf-text", "s-game-card__header__stamp", "s-descriptor__text", "s-game-card__header__status"
     badge = "s-game-card__promotion-btn-text"
     n = {k: NEWER + f"header-{k}" for k in ("game-team-score", "game-status", "team-opponent-link", "game-date-details", "game-date", "game-time")}
-    card = markup.cards(F.col(html), NEWER + "root", [*n.values(), conf, stamp, pill, state, badge, _NEWER_PLACE, _NEWER_LOGO])
+    names = [*n.values(), conf, stamp, pill, state, badge, _NEWER_PLACE, _NEWER_LOGO]
+    card = markup.cards(F.col(html), NEWER + "root", names)
     x = pages.select(*{*page, url, season}, F.explode(card).alias("_c")).withColumn("_p", F.col("_c.parts"))
-    part = lambda name: _first(F.col("_p"), _named(name))
+    part = lambda name: F.get("_c.first", F.lit(names.index(name)))
     said = lambda *names: F.coalesce(*[F.nullif(part(m)["text"], F.lit("")) for m in names], F.lit(""))
     when, hour = said(n["game-date-details"], n["game-date"]), said(n["game-time"])
     any_date = F.when(when != "", when).otherwise(hour)
-    chip = _first(F.col("_p"), lambda p: F.array_contains(p["names"], pill) & ~F.array_contains(F.concat(p["names"], p["within"]), conf) & (p["text"] != ""))["text"]
+    chip = _first(F.col("_p"), lambda p: F.array_contains(p["names"], pill) & ~F.array_contains(p["names"], conf) & ~F.array_contains(p["within"], conf) & (p["text"] != ""))["text"]
     logo = _first(F.col("_p"), lambda p: (p["tag"] == "img") & F.array_contains(p["within"], _NEWER_LOGO))["src"]
     more = {
         "neutral": F.lit(None).cast("boolean"), "away": F.lower(said(stamp)) == "at", "exhibition": F.exists("_p", lambda p: F.array_contains(p["names"], badge) & p["text"].rlike("(?i)exhibition|scrimmage")),

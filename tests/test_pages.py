@@ -165,3 +165,20 @@ def test_plain_pages_read_as_the_parser_reads_them():
         plain += got._read_plain(html)
         assert _Elements({"table", "tr", "td", "th", "a", "img", "p"}, {"a", "root"}).read(html) == want.found, html
     assert plain > 1500
+
+
+def test_what_decides_about_a_card_is_worked_out_once(spark):
+    """A card's date and name decide whether it is a game; the cards that stay do not have them read again."""
+    df = spark.createDataFrame([("p", "", 2026, "https://own.com")], "page string, html string, season int, url string")
+    for schedule in (schedules.classic_schedule, schedules.newer_schedule):
+        plan = schedule(df, "html", ["page"], "url", "season")._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.split("\n") if "Filter" in line.split("(")[0]]
+        assert filters and not any("regexp_extract" in line or "translate(" in line for line in filters)
+
+
+def test_the_first_elements_of_a_card(spark):
+    html = "<div class='root'><a class='x' href='/1'>one</a><b class='x y'>two</b><p class='z'></p></div><div class='root'></div>"
+    cards = values(spark, [html, None], lambda t: markup.cards(t, "root", ["y", "x", "w", "z"]))
+    firsts = [[f and (f.text, f.href) for f in c.first] for c in cards[0]]
+    assert firsts == [[("two", None), ("one", "/1"), None, ("", None)], [None] * 4] and cards[1] == []
+    assert [[(p.tag, p.text) for p in c.parts] for c in cards[0]] == [[("a", "one"), ("b", "two"), ("p", "")], []]
