@@ -30,11 +30,20 @@ def _facts(spark, sf_dir) -> DataFrame:
     )
 
 
-def _dates(spark, sf_dir) -> DataFrame:
-    """The middle of each month for each supplier, with the last price of the month before."""
-    bars = monthly_bars(spark, sf_dir).select(F.col("ticker").alias("cik"), F.add_months("date", 1).alias("date"), "close")
-    months = bars.select("date").distinct().crossJoin(bars.select("cik").distinct())  # the calendar of every company
-    return months.join(bars, ["date", "cik"], "left").select("cik", F.date_add("date", 14).alias("day"), "close", (F.col("cik").cast("int") * 97 % 10_000).cast("string").alias("sic"))
+def _bars(spark, sf_dir) -> DataFrame:
+    """cik, date (the month after a bar's) and close of each supplier's bars."""
+    return monthly_bars(spark, sf_dir).select(F.col("ticker").alias("cik"), F.add_months("date", 1).alias("date"), "close")
+
+
+def _dates(spark, sf_dir, bars: DataFrame) -> DataFrame:
+    """The middle of each month for each supplier, with what its bars (cik, date and more) say of the month before, null without one."""
+    more = [c for c in bars.columns if c not in ("cik", "date")]
+    # the calendar of every company; a company's bars stay in one row that the months look into
+    shipped = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.add_months(F.trunc("l_shipdate", "month"), 1).alias("date"))
+    months = shipped.where("date is not null").distinct().agg(F.array_sort(F.collect_list("date")).alias("months"))
+    held = bars.where("cik is not null and date is not null").groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("date", F.struct(*more)))).alias("of"))
+    each = held.crossJoin(F.broadcast(months)).select("cik", "of", F.explode("months").alias("date")).withColumn("bar", F.try_element_at("of", "date"))
+    return each.select("cik", F.date_add("date", 14).alias("day"), *[f"bar.{c}" for c in more], (F.col("cik").cast("int") * 97 % 10_000).cast("string").alias("sic"))
 
 
 FIGURES = [
@@ -45,7 +54,7 @@ FIGURES = [
 
 def company_figures(spark, sf_dir):
     """The figures of every company in the middle of every month, as its filings were known then."""
-    out = fundamentals.company_figures(_facts(spark, sf_dir), _dates(spark, sf_dir))
+    out = fundamentals.company_figures(_facts(spark, sf_dir), _dates(spark, sf_dir, _bars(spark, sf_dir)))
     tags = F.concat_ws(",", *[F.col(f"tags.{t}") for t in ("revenue", "net_income", "gross_profit", "operating_cash_flow", "capex", "assets", "equity", "shares", "cash", "debt")])
     return out.select("cik", F.col("day").cast("string").alias("day"), "reason", "grp", F.col("period_end").cast("string").alias("period_end"), F.col("year_ago").cast("string").alias("year_ago"), *[F.round(c, 1 if c == "market_cap" else 4).alias(c) for c in FIGURES], "derived_quarters", tags.alias("tags"), F.concat_ws(",", "dropped").alias("dropped"))
 
@@ -61,7 +70,7 @@ def candidate_screen(spark, sf_dir):
     bars = ts.with_log_returns(monthly_bars(spark, sf_dir))
     w = ts.by_session()
     prices = bars.select(F.col("ticker").alias("cik"), F.add_months("date", 1).alias("month"), F.row_number().over(w).alias("sessions"), ts.median_dollar_volume(6).alias("liquidity"), ts.sma(6).alias("sma200"))
-    facts, dates = _facts(spark, sf_dir), _dates(spark, sf_dir)
+    facts, dates = _facts(spark, sf_dir), _dates(spark, sf_dir, _bars(spark, sf_dir))
     filings = facts.groupBy("cik", "adsh").agg(F.max("ddate").alias("period"), F.max("accepted").alias("accepted"))
     rows = fundamentals.company_figures(facts, dates).join(dates.select("cik", "day", "close"), ["cik", "day"])
     rows = rows.withColumn("month", F.trunc("day", "month")).join(prices, ["cik", "month"], "left").join(fundamentals.latest_filing(filings, dates), ["cik", "day"], "left")

@@ -123,3 +123,44 @@ def test_a_company_is_one_row_however_many_dates_ask(spark):
     got = rows.select("state", fu.single_quarters(F.col("revenue")).alias("q"), fu.latest_instant(F.col("assets")).alias("i")).orderBy("state").collect()
     assert [r.q and [(x.value, x.derived) for x in r.q] for r in got] == [None, [(10.0, False)], [(10.0, False), (15.0, True)], [(10.0, False), (17.0, True)]]
     assert [r.i and r.i.value for r in got] == [None, None, 5.0, 5.0]
+
+
+def test_what_is_looked_up_equals_what_one_state_says(spark):
+    """Random facts, with values and acceptances missing, ends off the quarter and far ahead: the look-up against the expressions on one state's row."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for cik in "abcde":
+        for y, (m, d) in ((y, x) for y in range(2019, 2024) for x in ((3, 31), (6, 30), (9, 30), (12, 31))):
+            for tag in ("Revenues", "Revenues", "Assets", "ProfitLoss"):
+                for q in [0] if tag == "Assets" else rng.sample([1, 1, 1, 2, 3, 4, 5], 3):
+                    end = D(y, m, d) + datetime.timedelta(rng.choice([0] * 30 + [-7, 45, 500]))
+                    accepted = at(D(y, m, d) + datetime.timedelta(rng.randint(0, 90)), rng.choice([0, 12]))
+                    rows.append((cik, tag, q, "USD", end, rng.choice([None, *map(float, range(1, 30))]), rng.choice([None, *[accepted] * 50]), rng.choice("xyz"), rng.choice([True, False, False, None])))
+    facts = spark.createDataFrame(rows, FACT)
+    dates = spark.createDataFrame([(c, D(2019, 1, 1) + datetime.timedelta(37 * i), 10.0, "3000") for c in "abcdef" for i in range(55)], "cik string, day date, close double, sic string")
+    v = fu.versions(facts)
+    x = dates.join(fu.states(v, dates), ["cik", "day"]).join(fu.histories(v, {"r": ("Revenues", "USD"), "i": ("ProfitLoss", "USD"), "a": ("Assets", "USD")}), "cik", "left")
+    x = x.withColumns({c: fu.known_at(F.col(c), F.col("state")) for c in "ria"})
+    x = x.withColumns({"r": fu.single_quarters(F.col("r")), "i": fu.single_quarters(F.col("i")), "a": fu.latest_instant(F.col("a")), "t": F.datediff("day", F.lit("1970-01-01").cast("date"))})
+    x = x.withColumn("c", fu.chain(F.col("r"), F.get("r", F.size("r") - 1)["d"])).withColumn("end", F.get("c", F.lit(0))["d"])
+    income, sheet = fu.trailing_year(fu.chain(F.col("i"), F.col("end"), 4)), F.when(F.col("t") - F.col("a.d") <= fu.STALE_DAYS, F.col("a.value"))
+    want = x.where((F.size("c") >= 8) & (F.col("t") - F.col("end") <= fu.STALE_DAYS)).select("cik", "day", fu.trailing_year(F.col("c")).alias("ttm"), fu.trailing_year(F.col("c"), 4).alias("prior"), income.alias("income"), sheet.alias("assets"))
+    want = {(r.cik, r.day): tuple(r)[2:] for r in want.collect()}
+    got = fu.company_figures(facts, dates).collect()
+    assert len(got) == dates.count() and {(r.cik, r.day) for r in got if not r.reason or "consecutive" not in r.reason} == want.keys()
+    ok = [r for r in got if r.ok]
+    assert len(ok) > 20 and sum(r.net_income_ttm is not None for r in ok) > 5
+    assert all((r.revenue_ttm, r.revenue_ttm_prior, r.net_income_ttm, r.assets) == want[r.cik, r.day] for r in ok)
+
+
+def scans_of_facts(query, spark):
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and "l_partkey" in line for line in plan.split("\n"))
+
+
+def test_facts_are_dealt_once(spark):
+    """One scan and one shuffle of the facts serve the versions, the states and what is known at each date."""
+    from tessera.plans import fundamentals as plans
+
+    assert scans_of_facts(plans.company_figures, spark) == 1
