@@ -69,14 +69,15 @@ def candidate_screen(spark, sf_dir):
     """Companies, their bars, facts and last filing on every decision date: the first of the screen's tests that a company fails, by date."""
     bars = ts.with_log_returns(monthly_bars(spark, sf_dir))
     w = ts.by_session()
-    prices = bars.select(F.col("ticker").alias("cik"), F.add_months("date", 1).alias("month"), F.row_number().over(w).alias("sessions"), ts.median_dollar_volume(6).alias("liquidity"), ts.sma(6).alias("sma200"))
-    facts, dates = _facts(spark, sf_dir), _dates(spark, sf_dir, _bars(spark, sf_dir))
-    filings = facts.groupBy("cik", "adsh").agg(F.max("ddate").alias("period"), F.max("accepted").alias("accepted"))
-    rows = fundamentals.company_figures(facts, dates).join(dates.select("cik", "day", "close"), ["cik", "day"])
-    rows = rows.withColumn("month", F.trunc("day", "month")).join(prices, ["cik", "month"], "left").join(fundamentals.latest_filing(filings, dates), ["cik", "day"], "left")
+    prices = bars.select(
+        F.col("ticker").alias("cik"), F.add_months("date", 1).alias("date"), "close", F.row_number().over(w).alias("sessions"), ts.median_dollar_volume(6).alias("liquidity"), ts.sma(6).alias("sma200")
+    )
+    keep = ["close", "sessions", "liquidity", "sma200"]
+    rows = fundamentals.company_figures(_facts(spark, sf_dir), _dates(spark, sf_dir, prices), keep=keep, filed=True)
+    rows = rows.withColumn("month", F.trunc("day", "month")).withColumnRenamed("filed", "period")
     # a shipment of the largest size in the days before stands for an announcement
-    large = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 50").select(F.col("l_suppkey").cast("string").alias("cik"), F.trunc("l_shipdate", "month").alias("month")).distinct().withColumn("announced", F.lit(True))
-    rows = rows.join(large, ["cik", "month"], "left")
+    large = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 50").groupBy(F.col("l_suppkey").cast("string").alias("cik")).agg(F.collect_set(F.trunc("l_shipdate", "month")).alias("months"))
+    rows = rows.join(large, "cik", "left").withColumn("announced", F.array_contains("months", F.col("month")))
     limits = screen.Limits(min_close=905, min_liquidity=100_000, min_sessions=13, max_financials_age=120)
     tested = rows.withColumn("test", screen.first_failure(screen.tests_before_book(limits) + screen.tests_after_book(limits)))
     return tested.groupBy(F.col("day").cast("string").alias("day"), F.coalesce("test", F.lit("eligible")).alias("test")).agg(F.count("*").alias("n"))

@@ -164,3 +164,22 @@ def test_facts_are_dealt_once(spark):
     from tessera.plans import fundamentals as plans
 
     assert scans_of_facts(plans.company_figures, spark) == 1
+
+
+def test_the_last_filing_comes_with_the_figures(spark):
+    """The screen's filings ride on the facts' one shuffle; they are those of latest_filing, of tags and units without a figure, too."""
+    from tessera.plans import fundamentals as plans
+
+    assert scans_of_facts(plans.candidate_screen, spark) == 1
+    d, none = D(2024, 1, 31), None
+    rows = [
+        fact("Revenues", D(2023, 9, 30), 1, adsh="a"), fact("Other", D(2023, 12, 31), 1, adsh="c", lag=31), fact("Assets", D(2023, 10, 31), 1, qtrs=0, adsh="b", lag=92, uom="EUR"), fact("Revenues", D(2022, 1, 1), 5, adsh="c"),
+        ("1", "Revenues", 1, "USD", none, 1.0, at(D(2024, 2, 2)), "d", False), ("1", "Revenues", 1, "USD", D(2024, 1, 1), 1.0, none, "e", False), (none, "Revenues", 1, "USD", d, 1.0, at(d), "f", False),
+    ]
+    facts = spark.createDataFrame(rows, FACT)
+    dates = spark.createDataFrame([(c, x, 7.0, "3000") for c in "12" for x in (D(2023, 10, 29), D(2023, 10, 30), D(2024, 1, 30), d, D(2024, 2, 2))], "cik string, day date, close double, sic string")
+    filings = facts.groupBy("cik", "adsh").agg(F.max("ddate").alias("period"), F.max("accepted").alias("accepted"))
+    want = {(r.cik, r.day): r.period for r in fu.latest_filing(filings, dates).collect()}
+    got = fu.company_figures(facts, dates, keep=["close"], filed=True).collect()
+    assert {(r.cik, r.day): (r.filed, r.close) for r in got} == {(c, x): (want.get((c, x)), 7.0) for c in "12" for x in {r.day for r in got}}
+    assert want["1", d] == D(2023, 12, 31) and want["1", D(2023, 10, 30)] == D(2023, 9, 30) and len(want) == 4 and want["1", D(2024, 2, 2)] is none
