@@ -38,6 +38,9 @@ def _printed(team, k):
 
 def _paged(rows, by: list[str], body):
     """One page for each key (a customer's orders of a season), its rows in the order of k."""
+    # rows are dealt before they are written as markup, into a number of tasks that stays, since pages take long to read for their size
+    spark = rows.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
     return rows.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", body.alias("row")))), lambda x: x["row"]), "").alias("body"))
 
 

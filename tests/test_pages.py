@@ -182,3 +182,13 @@ def test_the_first_elements_of_a_card(spark):
     firsts = [[f and (f.text, f.href) for f in c.first] for c in cards[0]]
     assert firsts == [[("two", None), ("one", "/1"), None, ("", None)], [None] * 4] and cards[1] == []
     assert [[(p.tag, p.text) for p in c.parts] for c in cards[0]] == [[("a", "one"), ("b", "two"), ("p", "")], []]
+
+
+def test_rows_are_dealt_before_they_are_written_as_pages(spark):
+    """Orders travel, not markup, and into a number of tasks that does not shrink with their bytes."""
+    from tessera.plans import pages as plans
+
+    for query, n in ((plans.school_schedules, 2), (plans.conference_schedule, 1)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+        dealt = [i for i, line in enumerate(plan) if "Exchange" in line and "REPARTITION_BY_NUM" in line]
+        assert len(dealt) == n and not any("collect_list" in line or "<td>" in line or "<li" in line for i in dealt for line in plan[i : i + 3])
